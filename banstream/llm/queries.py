@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from banstream.llm.exact_dedup import exact_groups
+from banstream.llm.mixing import mix_sources
 from banstream.llm.shared import read_table
+from banstream.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,57 @@ Query = Callable[[SparkSession, str], DataFrame]
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
+_PASS = """
+p{i} AS (SELECT *, CASE WHEN NOT x{j} AND size <= g{j} THEN size ELSE 0 END AS f{i} FROM {last}),
+q{i} AS (SELECT *, sum(f{i}) OVER (PARTITION BY source, bucket ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS c{i} FROM p{i}),
+r{i} AS (SELECT *, g{j} - coalesce(max(CASE WHEN f{i} > 0 AND c{i} <= g{j} THEN c{i} END) OVER (PARTITION BY source, bucket), 0) AS g{i},
+         x{j} OR (f{i} > 0 AND c{i} <= g{j}) AS x{i} FROM q{i})"""
+
+OP1_SQL = f"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM sized GROUP BY source),
+s1 AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, (2 * source_size)::DOUBLE AS cap,
+              sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS total FROM s0),
+s2 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
+s3 AS (SELECT source, source_size, n_rows, least(cap, max(level) OVER () * w) AS target FROM s2),
+d0 AS (SELECT d.*, s.source_size, s.n_rows, s.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS owed,
+              (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+       FROM sized d JOIN s3 s ON d.source IS NOT DISTINCT FROM s.source),
+d1 AS (SELECT *, floor(owed)::BIGINT AS certain, owed - floor(owed) AS p FROM d0),
+d2 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE u END AS rank FROM d1),
+d3 AS (SELECT *, floor(rank / (1 + rank) * ceil(n_rows / 10000.0::DOUBLE)) AS bucket FROM d2),
+b0 AS (SELECT source, bucket, sum(size) AS words FROM d3 GROUP BY ALL),
+b1 AS (SELECT source, bucket, coalesce(sum(words) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM b0),
+r0 AS (SELECT d3.*, target - certain * source_size - earlier AS g0, false AS x0
+       FROM d3 JOIN b1 ON d3.source IS NOT DISTINCT FROM b1.source AND d3.bucket = b1.bucket),
+{",".join(_PASS.format(i=i, j=i - 1, last=f"r{i - 1}") for i in range(1, 5))}
+SELECT doc_id, size, source_size, target, (size * (certain + x4::INT))::BIGINT AS taken, (certain + x4::INT)::INT AS copies FROM r4
+"""
+
+ALLOW_RULES = ("org/", "com/fr/")
+BLOCK_RULES = ("example.org/es/", "example.org/en/1", "com/de/")
+
+
+def op4_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), ALLOW_RULES, BLOCK_RULES)
+
+
+OP4_SQL = r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+     r(rule, rule_host, rule_path, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+       ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block'))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(verdict, length(rule)), 'allow') AS verdict
+FROM u LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+GROUP BY page_id, host, path
+"""
+
+
 def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"), keep="max")
 
@@ -25,5 +78,5 @@ WITH t AS (SELECT doc_id, sha256({_LOWERED}) AS text_sha256 FROM documents),
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
-QUERIES: dict[str, Query] = {"op6_content_sort": op6_content_sort}
-SQL: dict[str, str] = {"op6_content_sort": OP6_SQL}
+QUERIES: dict[str, Query] = {"op1_pareto_mix": op1_pareto_mix, "op4_bloom_cascade": op4_bloom_cascade, "op6_content_sort": op6_content_sort}
+SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op4_bloom_cascade": OP4_SQL, "op6_content_sort": OP6_SQL}
