@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from banstream.llm.exact_dedup import exact_groups
 from banstream.llm.mixing import mix_sources
 from banstream.llm.shared import read_table
+from banstream.llm.token_counts import count_tokens
+from banstream.llm.token_files import stored_tokens
 from banstream.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +52,10 @@ r0 AS (SELECT d3.*, target - certain * source_size - earlier AS g0, false AS x0
 SELECT doc_id, size, source_size, target, (size * (certain + x4::INT))::BIGINT AS taken, (certain + x4::INT)::INT AS copies FROM r4
 """
 
+def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tokens(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 ALLOW_RULES = ("org/", "com/fr/")
 BLOCK_RULES = ("example.org/es/", "example.org/en/1", "com/de/")
 
@@ -78,5 +85,16 @@ WITH t AS (SELECT doc_id, sha256({_LOWERED}) AS text_sha256 FROM documents),
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
 
-QUERIES: dict[str, Query] = {"op1_pareto_mix": op1_pareto_mix, "op4_bloom_cascade": op4_bloom_cascade, "op6_content_sort": op6_content_sort}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_pareto_mix": op1_pareto_mix,
+    "op2_packed_ids": op2_packed_ids,
+    "op4_bloom_cascade": op4_bloom_cascade,
+    "op6_content_sort": op6_content_sort,
+    "op7_token_counts": op7_token_counts,
+}
+#: The others are held against brute force in tests/llm.
 SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op4_bloom_cascade": OP4_SQL, "op6_content_sort": OP6_SQL}
