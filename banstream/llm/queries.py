@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from banstream.llm.byte_bpe import encode_documents
 from banstream.llm.exact_dedup import exact_groups
 from banstream.llm.mixing import mix_sources
 from banstream.llm.shared import read_table
@@ -89,12 +90,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_packed_ids": op2_packed_ids,
     "op4_bloom_cascade": op4_bloom_cascade,
     "op6_content_sort": op6_content_sort,
     "op7_token_counts": op7_token_counts,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 #: The others are held against brute force in tests/llm.
 SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op4_bloom_cascade": OP4_SQL, "op6_content_sort": OP6_SQL}
