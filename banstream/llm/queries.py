@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from banstream.llm.byte_bpe import encode_documents
 from banstream.llm.exact_dedup import exact_groups
+from banstream.llm.fingerprints import fingerprint_with_edits
 from banstream.llm.mixing import mix_sources
 from banstream.llm.shared import read_table
 from banstream.llm.token_counts import count_tokens
@@ -76,6 +77,10 @@ GROUP BY page_id, host, path
 """
 
 
+def op5_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op6_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"), keep="max")
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_packed_ids": op2_packed_ids,
     "op4_bloom_cascade": op4_bloom_cascade,
+    "op5_weighted_samples": op5_weighted_samples,
     "op6_content_sort": op6_content_sort,
     "op7_token_counts": op7_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
