@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from banstream.llm.byte_bpe import encode_documents
 from banstream.llm.exact_dedup import exact_groups
 from banstream.llm.fingerprints import fingerprint_with_edits
+from banstream.llm.language_id import identify
 from banstream.llm.mixing import mix_sources
 from banstream.llm.shared import read_table
 from banstream.llm.token_counts import count_tokens
@@ -95,6 +96,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -107,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op5_weighted_samples": op5_weighted_samples,
     "op6_content_sort": op6_content_sort,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
 }
 #: The others are held against brute force in tests/llm.
