@@ -12,6 +12,7 @@ from banstream.llm.exact_dedup import exact_groups
 from banstream.llm.fingerprints import fingerprint_with_edits
 from banstream.llm.language_id import identify
 from banstream.llm.mixing import mix_sources
+from banstream.llm.near_dedup import near_duplicates
 from banstream.llm.shared import read_table
 from banstream.llm.token_counts import count_tokens
 from banstream.llm.token_files import stored_tokens
@@ -59,6 +60,10 @@ def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tokens(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 ALLOW_RULES = ("org/", "com/fr/")
 BLOCK_RULES = ("example.org/es/", "example.org/en/1", "com/de/")
 
@@ -108,6 +113,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_packed_ids": op2_packed_ids,
+    "op3_signature_join": op3_signature_join,
     "op4_bloom_cascade": op4_bloom_cascade,
     "op5_weighted_samples": op5_weighted_samples,
     "op6_content_sort": op6_content_sort,
