@@ -13,6 +13,7 @@ from banstream.llm.fingerprints import fingerprint_with_edits
 from banstream.llm.language_id import identify
 from banstream.llm.mixing import mix_sources
 from banstream.llm.near_dedup import near_duplicates
+from banstream.llm.passage_dedup import repeated_passages
 from banstream.llm.shared import read_table
 from banstream.llm.token_counts import count_tokens
 from banstream.llm.token_files import stored_tokens
@@ -110,6 +111,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_packed_ids": op2_packed_ids,
@@ -120,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_paragraph_bands": op10_paragraph_bands,
 }
 #: The others are held against brute force in tests/llm.
 SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op4_bloom_cascade": OP4_SQL, "op6_content_sort": OP6_SQL}
