@@ -237,6 +237,23 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is found with at least this probability, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shipped.value
+        for batch in batches:
+            keep: list[bool] = []
+            for _, texts in by_bytes(batch.column(place)):
+                known = np.array(has_letter(texts), bool) & bool(own.languages)
+                keep += (known & (own.scores(texts).max(axis=1) >= min_score) if own.languages else known).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a document is kept from training: the CRC-32 of its identifier's text is a multiple of 5."""
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")), F.lit(5)) == 0, F.lit(False))
