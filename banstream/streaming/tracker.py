@@ -95,7 +95,8 @@ def track_bans(
     """The stream of actions (as ``ban_timeline``) for a stream of failures; it needs the RocksDB state store.
 
     ``clock="event"`` fires expiries as the watermark passes them, ``"processing"`` by the wall clock. ``late`` is how
-    far behind the newest date rows may come. ``initial``: (ip, jail, banned_at, expires_at) to start with.
+    far behind the newest date rows may come; rows at or before the watermark, and those dated 0 for want of a date, are
+    dropped by Spark (see ``late_rows``). ``initial``: (ip, jail, banned_at, expires_at) to start with.
     """
     known = {j.jail: j for j in jails if j.enabled}
     rows = events(failures, commands).withColumn("event_ts", F.timestamp_seconds("ts"))

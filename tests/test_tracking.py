@@ -66,7 +66,7 @@ def test_commands():
 
 @pytest.fixture(scope="module")
 def many():
-    rows, at = [], 0
+    rows, at = [], 1000
     for i in range(600):
         at += (i * 7919) % 3
         rows.append(("ab"[i % 3 == 0], f"10.0.0.{i % 7}", at))
