@@ -8,9 +8,9 @@ coordinates, each coordinate-value pair being a posting:
   postings, so a class is posted under those alone. Postings with a single class go.
 * A posting is never expanded into all its pairs. First each class is compared with the leaders (least class) of its
   postings, those it collides with most often. Confirmed pairs give components.
-* Skip: postings within one component are done with. In the others each class is compared with a leader of another
-  component, and what is still apart then is joined across components, for pairs of fit size whose 256 further
-  one-bit samples differ in no more places than similar sets do.
+* Skip: postings within one component are done with. In the others a class goes on if another of fit size in another
+  component differs in no more of 256 further one-bit samples than similar sets do. Of those that go on, pairs
+  across components are found by the prefixes of their full sets (``_across``), which loses none.
 * Every link is confirmed on the full sets, natively, as 100 * intersection >= percent * union.
 
 Two sets of similarity 0.8 agree in fewer than ``AGREE`` coordinates, or differ in more than ``FAR`` bits, with a
@@ -124,6 +124,29 @@ def _postings(classes: DataFrame) -> DataFrame:
     return materialize(classes.select("id", "n", "bits").join(rare, "id"), "postings")
 
 
+def _across(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the classes (id, component), across components, that can be similar by their sets' prefixes.
+
+    Sets are ordered by how often a run occurs among these classes. Similar sets share a run in the first
+    n - ceil(n * percent / 100) + 1 places of each, and from the first that they share on, enough places are left
+    in both; nearly all pairs of a large group that are not quite similar enough fail this.
+    """
+    sets = texts.join(open_.select("id"), "id", "left_semi").mapInArrow(_sketch(size, False), "id long, n int, k1 long, k2 long, grams array<long>")
+    runs = materialize(sets.select("id", "n", F.explode("grams").alias("g")).join(open_, "id"), "runs")
+    shared = runs.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # runs of one class alone come first in every order: they are counted, not sorted
+    own = runs.join(shared, "g").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("own"))  # at most a document's runs
+    alone = F.col("n") - F.size("own")
+    prefix = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone).cast("int")
+    placed = own.select("id", "n", "component", alone.alias("alone"), F.posexplode(F.slice("own.g", 1, prefix)).alias("at", "g"))
+    placed = materialize(placed.select("g", "id", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")), "prefixes")
+    left, right = (placed.select("g", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "rest"))) for s in "ab")
+    most = F.least("rest_a", "rest_b")  # of shared runs, from here on
+    can = most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent
+    pairs = left.join(right, "g").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _fits("n_a", "n_b", percent) & can)
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept (the least identifier of a component stays)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -139,31 +162,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     links = _confirm(_best(postings.join(heads, "post").where((F.col("id") != F.col("leader")) & _fits("n", "m", percent)).select("id", "leader")), texts, size, percent)
     labels = components(links)
 
-    def apart(labels: DataFrame) -> DataFrame:
-        """The postings that hold more than one component."""
-        placed = postings.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = placed.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("post", "low", "high")
-        return materialize(placed.join(mixed, "post"), "apart")
-
-    # each class with the least and the last component of its postings
-    open_ = apart(labels)
-    heads = open_.where("component = low or component = high").groupBy("post", "component").agg(F.min_by(F.struct(F.col("id").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("lead_bits")), "id").alias("h"))
-    other = heads.select("post", F.col("component").alias("c2"), "h.*")
-    tried = open_.join(other, "post").where((F.col("component") != F.col("c2")) & _fits("n", "m", percent) & _near("bits", "lead_bits"))
-    more = _confirm(_best(tried.select("id", "leader")), texts, size, percent)
-    links = links.unionByName(more)
-    labels = components(links)
-
-    # what is still apart, across components
-    open_ = apart(labels)
-    left, right = (open_.select("post", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "bits", "component"))) for s in "ab")
-    rest = (
-        left.join(right, "post")
-        .where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _fits("n_a", "n_b", percent) & _near("bits_a", "bits_b"))
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        .distinct()
-    )
-    labels = components(links.unionByName(_confirm(rest, texts, size, percent)))
+    # skip: postings within one component are done with
+    placed = postings.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("post")
+    apart = materialize(placed.join(mixed, "post"), "apart")
+    other = apart.select("post", *(F.col(c).alias(f"{c}_b") for c in ("n", "bits", "component")))
+    met = (F.col("component") != F.col("component_b")) & _fits("n", "n_b", percent) & _near("bits", "bits_b")
+    open_ = materialize(apart.join(other, (apart["post"] == other["post"]) & met, "left_semi").select("id", "component").distinct(), "open")
+    labels = components(links.unionByName(_confirm(_across(open_, texts, size, percent), texts, size, percent)))
 
     known = classes.select("k1", "k2", "n", F.col("id").alias("rep"))
     placed = known.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
