@@ -98,7 +98,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     pairs = materialize(pairs, "pairs")
     named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = materialize(
-        texts.join(named, "id", "left_semi").mapInArrow(_sketch(size, False), "id long, n int, k1 long, k2 long, grams array<long>").select("id", "grams"), "sets"
+        texts.join(named.hint("merge"), "id", "left_semi").mapInArrow(_sketch(size, False), "id long, n int, k1 long, k2 long, grams array<long>").select("id", "grams"), "sets"
     )
     one, other = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -131,7 +131,7 @@ def _across(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     n - ceil(n * percent / 100) + 1 places of each, and from the first that they share on, enough places are left
     in both; nearly all pairs of a large group that are not quite similar enough fail this.
     """
-    sets = texts.join(open_.select("id"), "id", "left_semi").mapInArrow(_sketch(size, False), "id long, n int, k1 long, k2 long, grams array<long>")
+    sets = texts.join(open_.select("id").hint("merge"), "id", "left_semi").mapInArrow(_sketch(size, False), "id long, n int, k1 long, k2 long, grams array<long>")
     runs = materialize(sets.select("id", "n", F.explode("grams").alias("g")).join(open_, "id"), "runs")
     shared = runs.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # runs of one class alone come first in every order: they are counted, not sorted
