@@ -29,10 +29,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from banstream.llm.segments import SegmentMemo, by_bytes, segments
+from banstream.llm.segments import SegmentMemo, by_bytes, resident, segments
 
-MAX_TRANSITIONS = 1_000_000
-MAX_PAIRS = 1_000_000
+MAX_TRANSITIONS = 500_000
+MAX_PAIRS = 400_000
+MEMO_SEGMENTS = 400_000
 
 Item = tuple[int, int, tuple[int, ...]]
 
@@ -158,9 +159,12 @@ class Utf8Stream:
         return rest.decode(errors="replace")
 
 
-@lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> tuple[Transducer, SegmentMemo]:
     """The transducer of a rank file and a memo of segments' ids (little-endian 32-bit strings)."""
+    return resident(("byte_bpe", path, pattern), lambda: _build(path, pattern))
+
+
+def _build(path: str, pattern: str) -> tuple[Transducer, SegmentMemo]:
     with open(path, "rb") as file:
         machine = Transducer({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
     split = regex.compile(pattern)
@@ -174,7 +178,7 @@ def load(path: str, pattern: str) -> tuple[Transducer, SegmentMemo]:
             out.append(np.array(ids, "<u4").tobytes())
         return out
 
-    return machine, SegmentMemo(encoded)
+    return machine, SegmentMemo(encoded, MEMO_SEGMENTS)
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[np.ndarray]:

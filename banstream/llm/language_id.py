@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from banstream.llm.segments import by_bytes
+from banstream.llm.segments import by_bytes, resident
 from banstream.llm.shingles import mix
 
 BUCKETS = 1 << 16
@@ -40,18 +40,14 @@ def _letters() -> np.ndarray:
     return np.array([(ord(low) if len(low := chr(i).lower()) == 1 else i) if chr(i).isalpha() else 0 for i in range(0x110000)], np.uint32)
 
 
-_table: list[np.ndarray] = []
-
-
 def ngrams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram size the buckets of all n-grams, one text after another, and each text's first.
 
     A run of anything but letters counts as one space; spaces alone are no n-gram.
     """
-    if not _table:
-        _table.append(_letters())
+    table = resident("letters", _letters)
     code = np.frombuffer("".join(f" {t} \n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = _table[0][code]
+    low = table[code]
     lengths = np.array([len(t) for t in texts], np.int64) + 3
     stops = np.cumsum(lengths)
     keep = low > 0
@@ -133,7 +129,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"bucket": met - 1, "n": counts[met]})
 
-    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(BUCKETS + 1, np.int64)
     table[counted["bucket"].to_numpy() + 1] = counted["n"].to_numpy()
     return table[1:], int(table[0])
@@ -176,7 +172,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(
-    docs: DataFrame, text_col: str = "text", label_col: str = "lang", rows_per_language: int = 600, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, passes: int = 3, seed: int = 7
+    docs: DataFrame, text_col: str = "text", label_col: str = "lang", rows_per_language: int = 400, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, passes: int = 3, seed: int = 7
 ) -> Model:
     """Fit on the rows with a label. ``rows_per_language`` bounds what the fit itself sees; document frequencies count all rows."""
     known = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null and label is not null")
@@ -201,13 +197,15 @@ def train(
         return Model((), idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     key = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30))
     limit = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, rows_per_language / sizes[lang]) * (1 << 30))]), F.col("label"))
-    sample = known.withColumn("key", key).where(F.col("key") < limit).mapInArrow(features, "label string, key long, at array<int>, n array<int>").toPandas()
+    sample = known.withColumn("key", key).where(F.col("key") < limit).mapInArrow(features, "label string, key long, at array<int>, n array<int>").toArrow().combine_chunks()
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     labels: list[int] = []
-    for lang, at, n in sample.sort_values(["key", "label"])[["label", "at", "n"]].itertuples(index=False):
+    names, keys = sample["label"].to_pylist(), sample["key"].to_pylist()
+    for i in sorted(range(len(names)), key=lambda i: (keys[i], names[i])):
+        at, n = (sample[c][i].values.to_numpy() for c in ("at", "n"))
         if len(at):
-            rows.append((np.asarray(at), SCALE * np.asarray(n) / np.sum(n) * idf[np.asarray(at)]))
-            labels.append(languages.index(lang))
+            rows.append((at, (SCALE * n / n.sum() * idf[at]).astype(np.float32)))
+            labels.append(languages.index(names[i]))
     y = np.array(labels, np.int64)
     held = np.arange(len(y)) % 5 == 0
     weights, bias = fit_ftrl([r for r, h in zip(rows, held, strict=True) if not h], y[~held], len(languages), alpha, beta, l1, l2, passes, seed)

@@ -8,8 +8,10 @@ worker's memory is bounded whatever the texts are.
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 
@@ -22,6 +24,21 @@ MEMO_SEGMENTS = 800_000
 LONG = 64
 
 
+_resident: dict[Hashable, Any] = {}
+
+
+def resident(owner: Hashable, build: Callable[[], Any]) -> Any:
+    """The large tables of an operator in this worker; those of the operator before are given up for them.
+
+    Spark keeps Python workers between stages, so without this a pipeline's workers would hold all stages' tables.
+    """
+    if owner not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[owner] = build()
+    return _resident[owner]
+
+
 def segments(text: str) -> list[str]:
     """Pieces that give ``text`` when joined; the empty text has none."""
     if not text:

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from banstream.llm.segments import resident
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -43,17 +45,22 @@ _SPACE = np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(_SPACES, np.uint8
 _PLACE = random64(2, 64) | np.uint64(1)
 with np.errstate(over="ignore"):
     _UNBASE = _inverse(_BASE)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 18))
-        for i, base in enumerate((_BASE, _UNBASE)):
+    """Powers of the base and of its inverse, at least ``n`` of each."""
+    size = SLICE_BYTES if n <= SLICE_BYTES else 1 << n.bit_length()
+
+    def build() -> list[np.ndarray]:
+        tables = []
+        for base in (_BASE, _UNBASE):
             table = np.full(size, base, np.uint64)
             table[0] = 1
-            _powers[i] = np.multiply.accumulate(table)
-    return _powers[0][:n], _powers[1][:n]
+            tables.append(np.multiply.accumulate(table))
+        return tables
+
+    power, unpower = resident(("powers", size), build)
+    return power[:n], unpower[:n]
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
