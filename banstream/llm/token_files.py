@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from banstream.llm.segments import SegmentMemo, by_bytes, in_chunks, segments
+from banstream.llm.segments import MEMO_SEGMENTS, SegmentMemo, by_bytes, in_chunks, segments
 from banstream.llm.shared import fresh_path, materialize
 
 MAGIC = b"IDPACK01"
@@ -187,7 +187,7 @@ def _memo(path: str) -> SegmentMemo | None:
         got.update((s, np.array(ids, "<u4").tobytes()) for s, ids in zip(others, encode(others), strict=True))
         return [got[s] for s in parts]
 
-    return SegmentMemo(encoded)
+    return SegmentMemo(encoded, 2 * MEMO_SEGMENTS)
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
