@@ -7,9 +7,10 @@ words or more that two documents share has a paragraph in common, wherever it st
 
 A paragraph is compared by its runs of five words. ``tune_bands`` picks the fewest hashes for the wanted recall;
 paragraphs that meet in a band in different documents are compared with the band's leader by exact Jaccard
-similarity, links are closed to clusters by components, and of a cluster all occurrences but those in its least
-document are removals, merged to spans. Bands are reduced before they are joined again; no band is gathered or
-expanded into pairs.
+similarity. Of the members of bands that then still hold several components, all other similar pairs are found
+exactly (``_across``), so the recall is that of the bands, whatever the leaders are. Links are closed to clusters by
+components, and of a cluster all occurrences but those in its least document are removals, merged to spans. Bands are
+reduced before they are joined again; no band is gathered or expanded into pairs.
 
 Defined cases: null text, and text with fewer than ``WORDS`` words, has no paragraphs; repeats inside one document
 alone are left; rows that share an identifier are one document; rows without identifier are ignored; an empty table
@@ -18,16 +19,18 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from banstream.llm.components import components
 from banstream.llm.shared import materialize
-from banstream.llm.shingles import _power_tables, mix, random64, text_slices, words
+from banstream.llm.shingles import _power_tables, mix, random64, row_sets, text_slices, words
 
 WORDS, SPAN, RUN = 28, 22, 5
 _ANCHOR, _COMBINE = random64(9, 3) | np.uint64(1), random64(10, RUN) | np.uint64(1)
@@ -110,7 +113,7 @@ def _banded(bands: int, rows: int):
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For (text, places): the runs of the paragraphs at these words, if it is these paragraphs that stand there."""
+    """For (text, places): the distinct runs of the paragraphs at these words, ascending, if it is these paragraphs that stand there."""
     for batch in batches:
         places = batch.column(1).to_pylist()
         for begin, data, offsets in text_slices(batch.column(0)):
@@ -119,8 +122,92 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if own:
                 para, at = (np.array(x) for x in zip(*own, strict=True))
                 there = _keys(hashes, at) == para
-                sets = _sets(hashes, at[there]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(para[there]), pa.array(list(sets), pa.list_(pa.int64()))], ["para", "grams"])
+                sets = _sets(hashes, at[there])
+                values, _, stops = row_sets(sets.reshape(-1), np.arange(len(sets) + 1) * sets.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(para[there]), pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(values.view(np.int64)))], ["para", "grams"])
+
+
+@cache
+def _prefixes(n: int, similarity: float) -> tuple[int, int]:
+    """Of how many places a set of ``n`` runs posts its neighbours, and its single runs, so that it meets all similar sets.
+
+    Sets in one order that share o runs and differ in d have o - 1 neighbours of the shared runs in common, of which
+    a run that differs parts one at most: of the first d + 1 one is left in both. It begins at place d + 1, or later
+    by the runs that only this set has. Where o - 1 < d + 1 (the smallest sets) a single run of the prefix is shared.
+    """
+    double = single = 0
+    for m in range(max(1, math.ceil(similarity * n - 1e-9)), int(n / similarity + 1e-9) + 1):
+        both = math.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+        apart = n + m - 2 * both
+        if both >= apart + 2:
+            double = max(double, apart + 1 + n - both)
+        else:
+            single = max(single, n - both + 1)
+    return min(double, n - 1), min(single, n)
+
+
+def _posted(similarity: float):
+    """A function over batches (para, component, grams): post, para, component, n, and bits, the parity of the runs dealt over 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            para, component = (batch.column(i).to_numpy() for i in (0, 1))
+            begin = batch.column(2).offsets.to_numpy().astype(np.int64)
+            values = batch.column(2).values.to_numpy().view(np.uint64)[begin[0] : begin[-1]]
+            begin = begin - begin[0]
+            n = np.diff(begin)
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(values) & np.uint64(63)), begin[:-1])
+            sizes, which = np.unique(n, return_inverse=True)
+            limits = np.array([_prefixes(int(x), similarity) for x in sizes])[which]
+            for kind in range(2):
+                many = limits[:, kind]
+                row = np.repeat(np.arange(len(n)), many)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[:-1][row]
+                post = values[at] if kind else mix(values[at]) ^ values[np.minimum(at + 1, len(values) - 1)]
+                yield pa.RecordBatch.from_pydict({"post": post.view(np.int64), "para": para[row], "component": component[row], "n": n[row].astype(np.int32), "bits": bits[row].view(np.int64)})
+
+    return run
+
+
+def _can(similarity: float) -> Column:
+    """Whether two paragraphs can be similar: no more bits differ than their runs may, and sizes fit."""
+    return (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9) & (
+        F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    )
+
+
+def _confirm(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Of distinct pairs (a, b) those whose full sets are similar."""
+    one, other = (grams.select(F.col("para").alias(c), F.col("grams").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(one, "a").join(other, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+
+
+def _open(members: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The members (key, para, ..) of groups that hold several components, with their component."""
+    placed = members.join(labels.withColumnRenamed("node", "para"), "para", "left").withColumn("component", F.coalesce("component", "para"))
+    mixed = placed.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(key)
+    return placed.join(mixed, key)
+
+
+def _across(open_: DataFrame, grams: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """The links and all others between similar paragraphs of ``open_`` (para, component) in different components."""
+    sets = grams.join(open_, "para").select("para", "component", "grams")
+    posted = sets.mapInArrow(_posted(similarity), "post long, para long, component long, n int, bits long")
+    mixed = posted.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("post")
+    postings = materialize(posted.join(mixed, "post"), "postings")
+    # leaders first, so that a large group that is one cluster is not expanded into its pairs
+    one = postings.select("post", *(F.col(c).alias(f"{c}_a") for c in ("para", "component", "n", "bits")))
+    heads = postings.groupBy("post").agg(F.min(F.struct("para", "component", "n", "bits")).alias("h")).select("post", *(F.col(f"h.{c}").alias(f"{c}_b") for c in ("para", "component", "n", "bits")))
+    met = one.join(heads, "post").where((F.col("component_a") != F.col("component_b")) & _can(similarity))
+    links = materialize(links.unionByName(_confirm(met.select(F.col("para_a").alias("a"), F.col("para_b").alias("b")).distinct(), grams, similarity)), "links")
+
+    left = materialize(_open(postings.drop("component"), components(links), "post"), "open-postings")
+    one, other = (left.select("post", *(F.col(c).alias(f"{c}_{s}") for c in ("para", "component", "n", "bits"))) for s in "ab")
+    met = one.join(other, "post").where((F.col("para_a") < F.col("para_b")) & (F.col("component_a") != F.col("component_b")) & _can(similarity))
+    return links.unionByName(_confirm(met.select(F.col("para_a").alias("a"), F.col("para_b").alias("b")).distinct(), grams, similarity))
 
 
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,11 +224,9 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, recall: float =
     places = members.join(named, "para").groupBy("para").agg(F.min(F.struct("doc", "word")).alias("at"))
     wanted = places.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("para", F.col("at.word").alias("word"))).alias("places"))  # at most a document's paragraphs
     grams = materialize(texts.join(wanted, "doc").select("text", "places").mapInArrow(_grams, "para long, grams array<long>"), "grams")
-    one, other = (grams.select(F.col("para").alias(c), F.array_distinct("grams").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = near.join(one, "a").join(other, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-    clusters = components(links).withColumnRenamed("node", "para")
+    links = materialize(_confirm(near, grams, similarity), "links")
+    open_ = _open(members.select("band", "para"), components(links), "band").select("para", "component").distinct()
+    clusters = components(_across(open_, grams, links, similarity)).withColumnRenamed("node", "para")
     found = materialize(
         members.select("doc", "word", "para").distinct().join(clusters, "para", "left").select("doc", "word", F.coalesce("component", "para").alias("cluster")), "occurrences"
     )
