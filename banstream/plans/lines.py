@@ -25,7 +25,10 @@ def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def address(user: Column) -> Column:
-    return F.format_string("203.0.%d.%d", F.floor(user / 256), user % 256)
+    """An address of its own for every user: 203.0.0.0/8 for the first 16,777,216, and IPv6 for the rest."""
+    octets = [F.shiftright(user.cast("long"), bits) % 256 for bits in (16, 8, 0)]
+    groups = [F.shiftright(user.cast("long"), bits) % 65536 for bits in (48, 32, 16, 0)]
+    return F.when(user >= 1 << 24, F.format_string("2001:db8:1:1:%x:%x:%x:%x", *groups)).otherwise(F.format_string("203.%d.%d.%d", *octets))
 
 
 def log_lines(spark: SparkSession, sf_dir: str, prefix: str = "iso8601") -> DataFrame:

@@ -12,7 +12,7 @@ from banstream.functions import addresses, bans as ban_times, rendering, times
 from banstream.operators import allowlist, bans, failures, matching
 from banstream.operators.patterns import expand_host, host_group_index
 from banstream.operators.timeline import ban_rows, ban_timeline
-from banstream.plans.lines import CLOSED, JAILS, NOW, SSHD, events_of, failures_of, log_lines, networks
+from banstream.plans.lines import CLOSED, JAILS, NOW, SSHD, address, events_of, failures_of, log_lines, networks
 from banstream.jails import jails_frame
 from banstream.sources import state
 from banstream.sources.catalog import FILTERS
@@ -62,7 +62,7 @@ def _customer_jails(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
 def _customer_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events_of(spark, sf_dir)
     return e.select(
-        F.format_string("203.0.%d.%d", F.floor(F.col("user_id") / 256), F.col("user_id") % 256).alias("ip"),
+        address(F.col("user_id")).alias("ip"),
         F.concat(F.lit("jail-"), F.col("event_id") % 2000).alias("jail"),
         F.lit(NOW).cast("long").alias("banned_at"),
         F.when(F.col("event_id") % 3 != 0, F.lit(NOW) + F.col("event_id") % 100 - 20).cast("long").alias("expires_at"),
