@@ -11,7 +11,8 @@ A fitted model is a table of ``BUCKETS`` x languages numbers, whatever the corpu
 a shuffle, over whole texts.
 
 Defined cases: null text and text without a letter are ``und`` with score 0; rows without a language are not
-learned from; with no labelled row everything is ``und``; repeated rows count each; an empty table gives an empty
+learned from; with no labelled row everything is ``und``; repeated rows count each in document frequencies and once
+in the fit; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from banstream.llm.segments import by_bytes, resident
@@ -32,6 +33,8 @@ from banstream.llm.shingles import mix
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
+#: Parts of each language whose least hashes are taken first.
+PARTS = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,24 +193,31 @@ def train(
                         [pa.array([labels[start + i]]), pa.array([keys[start + i]]), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([n.tolist()], pa.list_(pa.int32()))], ["label", "key", "at", "n"]
                     )
 
-    # the rows with the least hashes of each language: a threshold first, so that about as many come to the driver
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    languages = tuple(sorted(sizes))
-    if not languages:
-        return Model((), idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    key = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30))
-    limit = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, rows_per_language / sizes[lang]) * (1 << 30))]), F.col("label"))
-    sample = known.withColumn("key", key).where(F.col("key") < limit).mapInArrow(features, "label string, key long, at array<int>, n array<int>").toArrow().combine_chunks()
+    # the distinct texts with the least hashes of each language: those of each of PARTS parts first, so that no language is one task
+    keyed = known.withColumn("key", F.xxhash64("text", F.lit(seed)))
+    part = F.pmod(F.col("key"), F.lit(PARTS))
+    chosen = keyed.select("label", "key").distinct()
+    for own in (Window.partitionBy("label", part), Window.partitionBy("label")):
+        chosen = chosen.withColumn("_place", F.row_number().over(own.orderBy("key"))).where(F.col("_place") <= rows_per_language).drop("_place")
+    # copies go before their texts are moved, and again after
+    texts = keyed.join(F.broadcast(chosen), ["label", "key"]).groupBy("label", "key").agg(F.min("text").alias("text"))
+    sample = texts.select("text", "label", "key").mapInArrow(features, "label string, key long, at array<int>, n array<int>").toArrow().combine_chunks()
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     labels: list[int] = []
     names, keys = sample["label"].to_pylist(), sample["key"].to_pylist()
+    languages = tuple(sorted(set(names)))
+    if not languages:
+        return Model((), idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     for i in sorted(range(len(names)), key=lambda i: (keys[i], names[i])):
         at, n = (sample[c][i].values.to_numpy() for c in ("at", "n"))
         if len(at):
             rows.append((at, (SCALE * n / n.sum() * idf[at]).astype(np.float32)))
             labels.append(languages.index(names[i]))
     y = np.array(labels, np.int64)
-    held = np.arange(len(y)) % 5 == 0
+    held, met = np.zeros(len(y), bool), np.zeros(len(languages), np.int64)
+    for i, label in enumerate(labels):  # every fifth of a language, so that none is held out as a whole
+        met[label] += 1
+        held[i] = met[label] % 5 == 0
     weights, bias = fit_ftrl([r for r, h in zip(rows, held, strict=True) if not h], y[~held], len(languages), alpha, beta, l1, l2, passes, seed)
     logits = np.array([v @ weights[at] + bias for (at, v), h in zip(rows, held, strict=True) if h]).reshape(-1, len(languages))
     return Model(languages, idf, weights, bias, fit_temperature(logits, y[held]))
