@@ -13,7 +13,9 @@ import re
 from collections.abc import Callable, Hashable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _CLOSE = re.compile(r"[\s▁][ \n]")
 _SAFE = re.compile(r"(?<=[^\s▁])(?=[ \n])")
@@ -52,16 +54,12 @@ def segments(text: str) -> list[str]:
 
 def by_bytes(column: pa.Array | pa.ChunkedArray, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Slices of a text column with about ``limit`` bytes each, as (first row, texts); null counts as empty."""
-    first, texts, size = 0, [], 0
-    for i, value in enumerate(column):
-        text = value.as_py() or ""
-        texts.append(text)
-        size += len(text)
-        if size >= limit:
-            yield first, texts
-            first, texts, size = i + 1, [], 0
-    if texts:
-        yield first, texts
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, before = 0, 0
+    while first < len(column):
+        stop = min(int(np.searchsorted(ends, before + limit)) + 1, len(column))
+        yield first, [t or "" for t in column.slice(first, stop - first).to_pylist()]
+        first, before = stop, int(ends[stop - 1])
 
 
 class SegmentMemo:
