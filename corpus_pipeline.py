@@ -2,6 +2,11 @@
 
 Each stage works on all that the one before it kept, as a table written and read again. All but the last return
 the columns of ``documents``; the mixing stage repeats a row for every copy.
+
+Defined cases, for all stages: a null text counts as empty. It has no language and goes in the first; rows without an
+identifier or source go on like others (for sizes, null sources are one source). Rows that repeat an identifier are
+one document to near deduplication and mixing. Ties go to the least identifier. An empty table passes through. Columns
+that the input has beside those of ``documents`` are carried to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,9 +41,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; rows that share an identifier are taken equally often."""
-    taken = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0").select(F.col("doc_id").alias("_id"), "_copies")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("_taken")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    # rows travel as one column each, so that none of their names can meet those of the mix
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = rows.join(taken, F.col("_id").eqNullSafe(F.col("_taken")))
+    return joined.select(F.explode(F.array_repeat("_row", F.col("_copies"))).alias("_row")).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +56,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
 
-#: SQL can't express the classifier, the signatures or the tokenizer; tests hold the stages against brute force.
+#: SQL can't express the classifier, the signatures or the tokenizer; tests/llm/test_pipeline.py follows the stages by brute force.
 ORACLE_SQL = None
 
 
