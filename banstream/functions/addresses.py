@@ -7,11 +7,12 @@ IPv4 stands at the end of these, after zeros, and the family is always compared
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from banstream.functions.columns import let
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _MAPPED = rf"(?i)^(?:(?:0{{1,4}}:){{5}}|:(?::0{{1,4}}){{0,4}}:|(?:0{{1,4}}:){{1,4}}:)ffff:({V4})$"
@@ -20,11 +21,6 @@ _H = r"[0-9a-fA-F]{1,4}"
 _V6 = rf"^(?:{_H}(?::{_H}){{7}}|(?!:*{_H}(?::+{_H}){{7}})(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?)$"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def is_ip(token: Column) -> Column:
     return token.rlike(rf"^{V4}$") | (token.contains(":") & (token.rlike(_V6) | token.rlike(_MAPPED)))
 
@@ -32,8 +28,8 @@ def is_ip(token: Column) -> Column:
 def _groups(token: Column) -> Column:
     """The eight groups of an IPv6 text, four digits each."""
     none = F.array().cast("array<string>")
-    part = lambda n: _let(F.split_part(token, F.lit("::"), F.lit(n)), lambda t: F.when(t == "", none).otherwise(F.split(t, ":")))
-    whole = _let(F.struct(part(1).alias("a"), part(2).alias("b")), lambda p: F.concat(p["a"], F.array_repeat(F.lit("0"), F.greatest(8 - F.size(p["a"]) - F.size(p["b"]), F.lit(0))), p["b"]))
+    part = lambda n: let(F.split_part(token, F.lit("::"), F.lit(n)), lambda t: F.when(t == "", none).otherwise(F.split(t, ":")))
+    whole = let(F.struct(part(1).alias("a"), part(2).alias("b")), lambda p: F.concat(p["a"], F.array_repeat(F.lit("0"), F.greatest(8 - F.size(p["a"]) - F.size(p["b"]), F.lit(0))), p["b"]))
     return F.transform(whole, lambda g: F.lpad(F.lower(g), 4, "0"))
 
 
@@ -51,12 +47,12 @@ def _v6_text(groups: Column) -> Column:
     tail = F.array_join(F.slice(groups, 7, 2), "")
     dotted = F.array_join(F.array(*[F.conv(F.substring(tail, i, 2), 16, 10) for i in (1, 3, 5, 7)]), ".")
     plain = F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0{1,3}", "")), ":")
-    return F.when(F.array_join(F.slice(groups, 1, 6), "") == "0" * 20 + "ffff", dotted).otherwise(_let(plain, _compressed))
+    return F.when(F.array_join(F.slice(groups, 1, 6), "") == "0" * 20 + "ffff", dotted).otherwise(let(plain, _compressed))
 
 
 def parse_ip(token: Column) -> Column:
     """Canonical text of an address; mapped IPv4 becomes IPv4, anything else NULL."""
-    six = _let(token, lambda t: F.when(t.rlike(_V6), _let(_groups(t), _v6_text)))
+    six = let(token, lambda t: F.when(t.rlike(_V6), let(_groups(t), _v6_text)))
     return F.when(token.rlike(rf"^{V4}$"), token).when(token.rlike(_MAPPED), F.regexp_extract(token, _MAPPED, 1)).when(token.contains(":"), six)
 
 
@@ -71,9 +67,15 @@ def ip_hex(ip: Column) -> Column:
 
 
 def strip_port(token: Column) -> Column:
-    """The address of a token that may end with ports: up to three are cut off."""
-    cuts = F.array(*[F.regexp_replace(token, rf"(?::[^:]*){{{n}}}$", "") if n else token for n in range(4)])
-    return parse_ip(F.get(F.filter(cuts, is_ip), 0))
+    """The address of a token that may end with ports: what follows a last ``:`` is cut off until an address is left.
+
+    An IPv4 or mapped address ends at its fourth octet, so all ports go at once. An IPv6 text is itself full of
+    colons: of a longer text its longest beginning counts, of at most eight groups.
+    """
+    four = F.regexp_replace(token, rf"^((?:::[fF]{{4}}:)?{V4})(?::[^:]*)*$", "$1")
+    cuts = lambda t: F.transform(F.sequence(F.lit(0), F.regexp_count(t, F.lit(":"))), lambda n: F.array_join(F.slice(F.split(t, ":"), F.lit(1), F.size(F.split(t, ":")) - n), ":"))
+    six = let(token, lambda t: F.when(t.contains(":"), parse_ip(F.get(F.filter(cuts(t), is_ip), 0))))
+    return F.coalesce(let(four, parse_ip), six)
 
 
 def parse_cidr(text: str) -> tuple[int, str, str, int]:

@@ -7,6 +7,8 @@ import calendar
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from banstream.functions.columns import let
+
 #: Seconds of each duration suffix.
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 MONTHS = {name: i for i, name in enumerate(calendar.month_abbr) if name}
@@ -18,7 +20,8 @@ _COMMON = r"(?d)(\d{2})/([A-Z][a-z]{2})/(\d{4}):(\d{2}):(\d{2}):(\d{2})(?:\s+([+
 _ISO_RANGE = r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])[T ](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d"
 _ISO_SHAPE = r"[\s\S]{4}-[\s\S]{2}-[\s\S]{2}[T ][\s\S]{2}:[\s\S]{2}:[\s\S]{2}"
 _ISO_DIGITS = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"
-_ISO = rf"^(?:(?!{_ISO_SHAPE})[\s\S]|(?={_ISO_DIGITS})(?!{_ISO_RANGE})[\s\S])*?({_ISO_RANGE})(?:\.\d*)?(?:([+-])(\d{{2}})(?::?(\d{{2}}))?)?"
+_ISO = rf"^(?:(?!{_ISO_SHAPE})[\s\S]|(?={_ISO_DIGITS})(?!{_ISO_RANGE})[\s\S])*?({_ISO_RANGE}(?:\.\d*)?(?:[+-]\d{{2}}(?::?\d{{2}})?)?)"
+_ISO_ZONE = r"^.{19}(?:\.\d*)?([+-])(\d{2})(?::?(\d{2}))?$"
 
 
 def parse_duration(text: Column) -> Column:
@@ -53,14 +56,23 @@ def _seconds(naive: Column) -> Column:
 
 
 def ts_iso8601(line: Column) -> Column:
-    """The first ``yyyy-MM-dd[T ]HH:mm:ss`` in range; fractions are skipped, an offset is applied, else UTC."""
-    stamp = F.regexp_extract(line, _ISO, 1)
-    number = lambda at, n: F.substring(stamp, at, n).try_cast("long")
-    days = days_from_civil(number(1, 4), number(6, 2), number(9, 2))
-    base = days * 86400 + number(12, 2) * 3600 + number(15, 2) * 60 + number(18, 2)
-    offset = _part(line, _ISO, 3) * 3600 + F.coalesce(_part(line, _ISO, 4), F.lit(0)) * 60
-    sign = F.when(F.regexp_extract(line, _ISO, 2) == "-", -1).otherwise(1)
-    return F.when(stamp != "", (base - F.coalesce(sign * offset, F.lit(0))).cast("long"))
+    """The first ``yyyy-MM-dd[T ]HH:mm:ss`` in range; fractions are skipped, an offset is applied, else UTC.
+
+    A line that begins with one in UTC is read by its places alone.
+    """
+    number = lambda text, at, n: F.substring(text, at, n).try_cast("int")
+    clock = lambda text: number(text, 12, 2) * 3600 + number(text, 15, 2) * 60 + number(text, 18, 2)
+    first = F.unix_date(F.make_date(number(line, 1, 4), number(line, 6, 2), F.lit(1))) + number(line, 9, 2) - 1
+
+    def anywhere(text: Column) -> Column:
+        part = lambda group: F.regexp_extract(text, _ISO_ZONE, group)
+        offset = part(2).try_cast("int") * 3600 + F.coalesce(part(3).try_cast("int"), F.lit(0)) * 60
+        zone = F.coalesce(F.when(part(1) == "-", -offset).otherwise(offset), F.lit(0))
+        days = days_from_civil(number(text, 1, 4), number(text, 6, 2), number(text, 9, 2))
+        return F.when(text != "", (days * 86400 + clock(text) - zone).cast("long"))
+
+    plain = line.rlike(rf"^{_ISO_RANGE}(?![.+-])")
+    return F.when(plain, first.cast("long") * 86400 + clock(line)).otherwise(let(F.regexp_extract(line, _ISO, 1), anywhere))
 
 
 def ts_epoch(line: Column) -> Column:
@@ -76,11 +88,15 @@ def _naive(year: Column, month: Column, day: Column, line: Column, pattern: str,
 
 def ts_common(line: Column) -> Column:
     """``dd/Mon/yyyy:HH:mm:ss`` with an optional ``+HHMM``."""
-    stamp = _naive(_part(line, _COMMON, 3), month_num(F.regexp_extract(line, _COMMON, 2)), _part(line, _COMMON, 1), line, _COMMON, 4)
-    zone = F.regexp_extract(line, _COMMON, 7)
-    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
-    offset = F.when(F.substring(zone, 1, 1) == "-", -minutes).otherwise(minutes) * 60
-    return F.unix_timestamp(F.to_utc_timestamp(stamp, "UTC")) - F.coalesce(offset, F.lit(0))
+
+    def read(text: Column) -> Column:
+        stamp = _naive(_part(text, _COMMON, 3), month_num(F.regexp_extract(text, _COMMON, 2)), _part(text, _COMMON, 1), text, _COMMON, 4)
+        zone = F.regexp_extract(text, _COMMON, 7)
+        minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
+        offset = F.when(F.substring(zone, 1, 1) == "-", -minutes).otherwise(minutes) * 60
+        return F.when(text != "", F.unix_timestamp(F.to_utc_timestamp(stamp, "UTC")) - F.coalesce(offset, F.lit(0)))
+
+    return let(F.regexp_extract(line, _COMMON, 0), read)
 
 
 def ts_syslog(line: Column, ref_ts: Column, tz: str = "UTC") -> Column:
@@ -89,17 +105,20 @@ def ts_syslog(line: Column, ref_ts: Column, tz: str = "UTC") -> Column:
     Times that a zone has twice or not at all are read as UTC.
     """
 
-    def at(year: Column) -> Column:
-        naive = _naive(year, month_num(F.regexp_extract(line, _SYSLOG, 1)), _part(line, _SYSLOG, 2), line, _SYSLOG, 3)
-        local = naive.cast("timestamp")
-        utc = F.to_utc_timestamp(local, tz)
-        back = lambda minutes: F.from_utc_timestamp(utc + F.make_dt_interval(mins=F.lit(minutes)), tz) == local
-        odd = ~back(0) | back(60) | back(-60) | back(30) | back(-30)
-        return F.unix_timestamp(F.when(odd, local).otherwise(utc))
+    def at(text: Column, year: Column) -> Column:
+        naive = _naive(year, month_num(F.regexp_extract(text, _SYSLOG, 1)), _part(text, _SYSLOG, 2), text, _SYSLOG, 3)
+
+        def placed(local: Column) -> Column:
+            utc = F.to_utc_timestamp(local, tz)
+            back = lambda minutes: F.from_utc_timestamp(utc + F.make_dt_interval(mins=F.lit(minutes)), tz) == local
+            odd = ~back(0) | back(60) | back(-60) | back(30) | back(-30)
+            return F.unix_timestamp(F.when(odd, local).otherwise(utc))
+
+        return let(naive.cast("timestamp"), placed)
 
     year = F.year(F.from_utc_timestamp(F.timestamp_seconds(ref_ts), tz))
-    this = at(year)
-    return F.when(this > ref_ts + 86400, at(year - 1)).otherwise(this)
+    dated = lambda text: let(at(text, year), lambda this: F.when(this > ref_ts + 86400, at(text, year - 1)).otherwise(this))
+    return let(F.regexp_extract(line, _SYSLOG, 0), lambda text: F.when(text != "", dated(text)))
 
 
 def line_ts(line: Column, fmt: str, *, ref_ts: Column | None = None, tz: str = "UTC", default: Column | None = None) -> Column:

@@ -8,36 +8,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banstream.functions.addresses import ip_family, ip_hex, local_networks, parse_cidr, parse_ip
+from banstream.functions.columns import once
 
 #: Fewer ranges than this are a predicate, more are a join.
 MOST_IN_PLAN = 200
 
 
-def drop_allowlisted(failures: DataFrame, cidrs: Sequence[str], local: Sequence[str] = (), ignoreself: bool = True) -> DataFrame:
-    """Drop addresses inside any of the networks, loopback and the caller's own addresses."""
+def drop_allowlisted(failures: DataFrame, cidrs: Sequence[str], local: Sequence[str] = (), ignoreself: bool = True, only: Column | None = None) -> DataFrame:
+    """Drop addresses inside any of the networks, loopback and the caller's own addresses.
+
+    A row without an address stays, however long the list is; so do rows for which ``only`` does not hold.
+    """
     nets = [parse_cidr(c) for c in (*cidrs, *(local_networks(tuple(local)) if ignoreself else ()))]
     if len(nets) > MOST_IN_PLAN:
         table = failures.sparkSession.createDataFrame(nets, "family tinyint, lo string, hi string, prefix int")
-        return drop_in_networks(failures, table)
-    keyed = failures.withColumns({"_family": ip_family(F.col("ip")), "_hex": ip_hex(F.col("ip"))})
+        return drop_in_networks(failures, table, only)
+    keyed = once(failures, _family=ip_family(F.col("ip")), _hex=ip_hex(F.col("ip")))
     inside = F.lit(False)
     for fam, low, high, _ in nets:
         inside = inside | ((F.col("_family") == fam) & F.col("_hex").between(low, high))
-    return keyed.where(~inside).select(failures.columns)
+    drop = F.coalesce(inside, F.lit(False)) if only is None else F.coalesce(only & inside, F.lit(False))
+    return keyed.where(~drop).select(failures.columns)
 
 
 def network_ranges(networks: DataFrame, cidr: str = "cidr") -> DataFrame:
     """Adds family, lo, hi and prefix of an IPv4 or IPv6 network; rows whose text is none are dropped."""
     names = networks.columns
-    # a column a step, so that no long expression is repeated inside the next
-    out = networks.withColumn("_ip", parse_ip(F.split_part(F.col(cidr), F.lit("/"), F.lit(1)))).where("_ip is not null")
-    out = out.withColumns({"family": ip_family(F.col("_ip")), "_hex": ip_hex(F.col("_ip"))})
+    length = F.when(F.col(cidr).contains("/"), F.split_part(F.col(cidr), F.lit("/"), F.lit(2)).try_cast("int"))
+    out = once(networks, _ip=parse_ip(F.split_part(F.col(cidr), F.lit("/"), F.lit(1))), _length=length, _whole=~F.col(cidr).contains("/")).where("_ip is not null")
+    out = once(out, family=ip_family(F.col("_ip")), _hex=ip_hex(F.col("_ip")))
     width = F.when(F.col("family") == 4, 32).otherwise(128)
-    length = F.when(F.col(cidr).contains("/"), F.split_part(F.col(cidr), F.lit("/"), F.lit(2)).try_cast("int")).otherwise(width)
-    out = out.withColumn("prefix", length).where((F.col("prefix") >= 0) & (F.col("prefix") <= width))
+    out = once(out, prefix=F.when(F.col("_whole"), width).otherwise(F.col("_length"))).where((F.col("prefix") >= 0) & (F.col("prefix") <= width))
     out = out.withColumn("_bits", F.col("prefix") + F.when(F.col("family") == 4, 96).otherwise(0)).withColumn("_keep", F.floor(F.col("_bits") / 4).cast("int"))
-    out = out.withColumns(
-        {"_step": F.pow(F.lit(2), 4 - F.col("_bits") % 4).cast("int"), "_digit": F.conv(F.substring("_hex", F.col("_keep") + 1, F.lit(1)), 16, 10).cast("int"), "_head": F.substring("_hex", F.lit(1), F.col("_keep"))}
+    out = once(
+        out, _step=F.pow(F.lit(2), 4 - F.col("_bits") % 4).cast("int"), _digit=F.conv(F.substring("_hex", F.col("_keep") + 1, F.lit(1)), 16, 10).cast("int"), _head=F.substring("_hex", F.lit(1), F.col("_keep"))
     ).withColumn("_low", F.col("_digit") - F.col("_digit") % F.col("_step"))
     whole = F.col("_bits") % 4 == 0
     low = F.when(whole, F.col("_head")).otherwise(F.concat("_head", F.lower(F.hex("_low"))))
@@ -64,7 +68,7 @@ def network_hits(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     162 lengths exist, and they are all that comes to the driver.
     """
     lengths = sorted((r["family"], r["prefix"]) for r in ranges.select("family", "prefix").distinct().collect())
-    own = addresses.select("ip").where("ip is not null").distinct().withColumns({"_family": ip_family(F.col("ip")), "_hex": ip_hex(F.col("ip"))})
+    own = once(addresses.select("ip").where("ip is not null").distinct(), _family=ip_family(F.col("ip")), _hex=ip_hex(F.col("ip")))
     keys = [F.when(F.col("_family") == fam, F.struct(F.lit(fam).cast("tinyint").alias("family"), F.lit(n).alias("prefix"), _cut("_hex", fam, n).alias("lo"))) for fam, n in lengths]
     if not keys:
         return own.select("ip", F.col("_hex").alias("lo"), F.col("_family").alias("family"), F.lit(0).alias("prefix")).where(F.lit(False))
@@ -72,9 +76,11 @@ def network_hits(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     return spread.join(ranges.select("family", "prefix", "lo").distinct(), ["family", "prefix", "lo"]).select("ip", "lo", "family", "prefix")
 
 
-def drop_in_networks(failures: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Drop addresses inside any range of a table (family, lo, hi, prefix) of any size."""
-    return failures.join(network_hits(failures, ranges).select("ip").distinct(), "ip", "left_anti").select(failures.columns)
+def drop_in_networks(failures: DataFrame, ranges: DataFrame, only: Column | None = None) -> DataFrame:
+    """Drop addresses inside any range of a table (family, lo, hi, prefix) of any size; rows without an address stay."""
+    held = network_hits(failures, ranges).select(F.col("ip").alias("_held")).distinct()
+    same = F.col("ip") == F.col("_held")
+    return failures.join(held, same if only is None else same & only, "left_anti").select(failures.columns)
 
 
 def enrich_geo(bans: DataFrame, networks: DataFrame, fields: Sequence[str]) -> DataFrame:

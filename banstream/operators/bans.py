@@ -37,8 +37,9 @@ def next_expiry(bans: DataFrame) -> DataFrame:
 
 
 def latest_ban(bans: DataFrame) -> DataFrame:
-    """The last ban of each (ip, jail)."""
-    last = F.max_by(F.struct("banned_at", "expires_at"), "banned_at").alias("b")
+    """The last ban of each (ip, jail); of several at one time the one that ends last, permanent before all."""
+    order = F.struct("banned_at", F.col("expires_at").isNull(), "expires_at")
+    last = F.max_by(F.struct("banned_at", "expires_at"), order).alias("b")
     return bans.groupBy("ip", "jail").agg(last).select("ip", "jail", "b.banned_at", "b.expires_at")
 
 
@@ -87,10 +88,17 @@ def restorable_bans(bans: DataFrame, jails: DataFrame, now: int) -> DataFrame:
     return active_bans(bans, now).join(jails.where("enabled and reban_on_restart").select("jail"), "jail", "left_semi").select(bans.columns)
 
 
-def reconcile(expected: DataFrame, observed: DataFrame, limit: int = RECONCILE_LIMIT) -> DataFrame:
-    """Of the ``limit`` oldest bans those that are not enforced."""
-    first = expected.orderBy("banned_at", "ip", "jail").limit(limit)
-    return first.join(observed.select("ip", "jail").distinct(), ["ip", "jail"], "left_anti").select(expected.columns)
+def reconcile(expected: DataFrame, observed: DataFrame, limit: int | None = RECONCILE_LIMIT, after: tuple[int, str, str] | None = None) -> DataFrame:
+    """The bans that are not enforced, oldest first: ``limit`` of them, or all (None).
+
+    ``after``, the (banned_at, ip, jail) of the last ban of a round, gives those of the next round.
+    """
+    missing = expected.join(observed.select("ip", "jail").distinct(), ["ip", "jail"], "left_anti").select(expected.columns)
+    if after is not None:
+        at, ip, jail = (F.lit(x) for x in after)
+        same = F.col("banned_at") == at
+        missing = missing.where((F.col("banned_at") > at) | (same & (F.col("ip") > ip)) | (same & (F.col("ip") == ip) & (F.col("jail") > jail)))
+    return missing if limit is None else missing.orderBy("banned_at", "ip", "jail", "expires_at").limit(limit)
 
 
 def diff_jails(old: DataFrame, new: DataFrame) -> DataFrame:

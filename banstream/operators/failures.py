@@ -79,12 +79,16 @@ def dry_run(failures: DataFrame, jails: Sequence[Jail], order: Sequence[str] = (
     return dry_run_summary(failures, jails, order), top_offenders(failures, jails, None, order)
 
 
-def suppress_banned(failures: DataFrame, bans: DataFrame) -> DataFrame:
-    """Failures that no ban of their jail and address covers."""
-    covered = (failures["ip"] == bans["ip"]) & (failures["jail"] == bans["jail"]) & (bans["banned_at"] <= failures["ts"]) & (
-        bans["expires_at"].isNull() | (failures["ts"] < bans["expires_at"])
+def suppress_banned(failures: DataFrame, bans: DataFrame, label: bool = False) -> DataFrame:
+    """Failures that no ban of their jail and address covers; with ``label`` all of them, and ``banned`` says which are covered."""
+    own = bans.select(F.col("ip").alias("_ip"), F.col("jail").alias("_jail"), "banned_at", "expires_at")
+    covered = (F.col("ip") == F.col("_ip")) & (F.col("jail") == F.col("_jail")) & (F.col("banned_at") <= F.col("ts")) & (
+        F.col("expires_at").isNull() | (F.col("ts") < F.col("expires_at"))
     )
-    return failures.join(bans, covered, "left_anti")
+    if not label:
+        return failures.join(own, covered, "left_anti")
+    hit = failures.join(own, covered, "left_semi").withColumn("banned", F.lit(True))
+    return failures.join(own, covered, "left_anti").withColumn("banned", F.lit(False)).unionByName(hit)
 
 
 def with_params(failures: DataFrame, jails: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banstream.functions.addresses import ip_family, ip_hex, is_ip, parse_ip
+from banstream.functions.columns import once
+from banstream.functions.times import line_ts
 from banstream.jails import Jail
-from banstream.operators.patterns import expand_host, host_extractor, host_group_index, literal_prefix, required_literal
+from banstream.operators.patterns import expand_host, guards, host_extractor, host_group_index, literal_prefix
 
 MAX_LINE_BYTES = 65536
 #: Rules that a table of patterns may have.
@@ -35,13 +37,21 @@ def skip_blank(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(trim_line(F.col(line)) != "")
 
 
+def _guarded(pattern: str, line: str) -> Column:
+    """Whether a line can match at all: it holds a literal that matches need."""
+    hit = F.lit(False)
+    for text in guards(pattern) or ():
+        hit = hit | F.col(line).contains(text)
+    return hit if guards(pattern) else F.lit(True)
+
+
 def prefilter(lines: DataFrame, patterns: tuple[str, ...], line: str = "line") -> DataFrame:
     """Lines that hold a literal which some pattern requires; all lines if a pattern requires none."""
-    literals = [required_literal(p) for p in patterns]
+    literals = [guards(p) for p in patterns]
     if not literals or None in literals:
         return lines
     hit = F.lit(False)
-    for text in sorted(set(literals)):
+    for text in sorted({text for own in literals for text in own}):
         hit = hit | F.col(line).contains(text)
     return lines.where(hit)
 
@@ -60,17 +70,76 @@ def match_lines(lines: DataFrame, jail: Jail, line: str = "line", extractor: str
     pattern's host group; ``positional`` looks for it in the matched text, as older tools do, in the order of the
     literals found.
     """
-    lines = ignore_lines(lines, jail.ignoreregex, line)
     if extractor == "positional":
-        return _with_address(_positional(lines, jail.filter, line))
-    found = F.lit(None).cast("struct<token: string, pattern_idx: int>")
-    for i, pattern in reversed(list(enumerate(jail.filter))):
-        token = F.regexp_extract(line, expand_host(pattern), host_group_index(pattern))
-        need = required_literal(pattern)
-        good = is_ip(token) if need is None else F.col(line).contains(need) & is_ip(token)
-        found = F.when(good, F.struct(token.alias("token"), F.lit(i).alias("pattern_idx"))).otherwise(found)
-    matched = prefilter(lines, jail.filter, line).withColumn("_hit", found).where("_hit is not null")
-    return _with_address(matched.withColumns({"ip": parse_ip(F.col("_hit.token")), "pattern_idx": F.col("_hit.pattern_idx")}).drop("_hit"))
+        return _with_address(_positional(ignore_lines(lines, jail.ignoreregex, line), jail.filter, line))
+    return match_jails(lines, [jail], line).drop("jail")
+
+
+def match_jails(lines: DataFrame, jails: Sequence[Jail], line: str = "line", routed: bool = False) -> DataFrame:
+    """The failures of several jails in one pass over the lines: adds jail, ip, ip_family, ip_hex and pattern_idx.
+
+    A line gives at most one failure for each jail. ``routed``: a jail takes only the lines whose ``source`` is its
+    log_path.
+    """
+    rules = [(j, i, p) for j in jails for i, p in enumerate(j.filter)]
+    likely = prefilter(lines, tuple(p for _, _, p in rules), line)
+    hits = _few_rules(likely, rules, line, routed) if len(rules) <= TOGETHER else _many_rules(likely, rules, line, routed)
+    matched = hits.where("_hit is not null")
+    own = {"jail": F.col("_hit.jail"), "ip": parse_ip(F.col("_hit.token")), "pattern_idx": F.col("_hit.pattern_idx")}
+    return _with_address(matched.select(*[c for c in lines.columns if c not in own], *[c.alias(n) for n, c in own.items()]))
+
+
+Rule = tuple[Jail, int, str]
+#: Rules up to this many are compiled to one piece of code, in which each has a column; more are tried by number.
+TOGETHER = 16
+
+
+def _host(pattern: str, line: str) -> Column:
+    return F.regexp_extract(line, expand_host(pattern), host_group_index(pattern))
+
+
+def _heeds(jail: Jail, line: str, routed: bool) -> Column:
+    """Whether a line is the jail's: it stands in the jail's log and the jail does not ignore it."""
+    good = F.col("source") == jail.log_path if routed else F.lit(True)
+    for ignored in jail.ignoreregex:
+        good = good & ~F.col(line).rlike(f"(?d){ignored}")
+    return good
+
+
+def _few_rules(lines: DataFrame, rules: Sequence[Rule], line: str, routed: bool) -> DataFrame:
+    """Adds _hit (jail, token, pattern_idx), a row for every jail."""
+    patterns = list(dict.fromkeys(p for _, _, p in rules))
+    cut = once(lines, **{f"_t{i}": F.when(_guarded(p, line), _host(p, line)) for i, p in enumerate(patterns)})
+    hits = []
+    for jail in dict.fromkeys(j for j, _, _ in rules):
+        token = lambda p: F.col(f"_t{patterns.index(p)}")
+        own = [F.when(is_ip(token(p)), F.struct(F.lit(jail.jail).alias("jail"), token(p).alias("token"), F.lit(i).alias("pattern_idx"))) for j, i, p in rules if j == jail]
+        hits.append(F.when(_heeds(jail, line, routed), F.coalesce(*own)))
+    return cut.select(*lines.columns, F.explode(F.array(*hits)).alias("_hit"))
+
+
+def _by_number(patterns: Sequence[str], number: Column, line: str) -> Column:
+    """The host by the pattern with this number."""
+    out = F.when(number == 0, _host(patterns[0], line))
+    for i, pattern in enumerate(patterns[1:], 1):
+        out = out.when(number == i, _host(pattern, line))
+    return out
+
+
+def _candidates(lines: DataFrame, guarded: Sequence[Column]) -> DataFrame:
+    """Adds _can, the numbers of the conditions that hold."""
+    return lines.withColumn("_can", F.array_compact(F.array(*[F.when(g, i) for i, g in enumerate(guarded)])))
+
+
+def _many_rules(lines: DataFrame, rules: Sequence[Rule], line: str, routed: bool) -> DataFrame:
+    """Adds _hit as ``_few_rules``: a line meets the expressions of those rules alone of which it holds a literal."""
+    patterns = [p for _, _, p in rules]
+    cut = _candidates(lines, [_guarded(p, line) & _heeds(j, line, routed) for j, _, p in rules])
+    names, numbers = F.array(*[F.lit(j.jail) for j, _, _ in rules]), F.array(*[F.lit(i) for _, i, _ in rules])
+    tried = F.transform("_can", lambda n: F.struct(F.get(names, n).alias("jail"), _by_number(patterns, n, line).alias("token"), F.get(numbers, n).alias("pattern_idx")))
+    valid = cut.withColumn("_valid", F.filter(tried, lambda h: is_ip(h["token"])))
+    first = F.filter("_valid", lambda h, i: (i == 0) | (F.get("_valid", i - 1)["jail"] != h["jail"]))
+    return valid.select(*lines.columns, F.explode_outer(first).alias("_hit"))
 
 
 def _with_address(lines: DataFrame) -> DataFrame:
@@ -154,18 +223,28 @@ def route_lines(lines: DataFrame, jails: DataFrame) -> DataFrame:
     return lines.join(paths, "source")
 
 
-def match_all(lines: DataFrame, jails: list[Jail], line: str = "line") -> DataFrame:
-    """Failures of several jails over lines that carry their source, in one table with a jail column."""
-    own = [match_lines(lines.where(F.col("source") == j.log_path), j, line).withColumn("jail", F.lit(j.jail)) for j in jails if j.enabled]
-    out = own[0]
-    for more in own[1:]:
-        out = out.unionByName(more)
+def jail_ts(jails: Sequence[Jail], line: str = "line", ref_ts: Column | None = None) -> Column:
+    """The date of a failure's line in its jail's format, 0 where it has none."""
+    out = F.lit(None).cast("long")
+    for fmt in sorted({j.date_format for j in jails}):
+        out = F.when(F.col("jail").isin([j.jail for j in jails if j.date_format == fmt]), line_ts(F.col(line), fmt, ref_ts=ref_ts, default=F.lit(0).cast("long"))).otherwise(out)
     return out
 
 
+def match_all(lines: DataFrame, jails: list[Jail], line: str = "line") -> DataFrame:
+    """Failures of all enabled jails over lines that carry their source, in one scan, with a jail column."""
+    return match_jails(lines, [j for j in jails if j.enabled], line, routed=True)
+
+
 def pattern_hits(lines: DataFrame, patterns: tuple[str, ...], line: str = "line") -> DataFrame:
-    """For each pattern how many lines it finds with a valid address, zero too, in one pass over the lines."""
-    hits = [F.when(is_ip(F.regexp_extract(line, expand_host(p), host_group_index(p))), i) for i, p in enumerate(patterns)]
-    counted = lines.select(F.explode(F.array_compact(F.array(*hits))).alias("pattern_idx")).groupBy("pattern_idx").agg(F.count(F.lit(1)).alias("hits"))
+    """For each pattern how many lines it finds with a valid address, zero too, in one pass over the lines.
+
+    A pattern's expression is tried on lines that hold one of its literals alone.
+    """
+    can = _candidates(lines.select(line), [_guarded(p, line) for p in patterns])
+    # across generators Spark does not put the expressions in place of their names; the outer one keeps it from testing the array for emptiness first
+    tried = can.select(line, F.explode_outer("_can").alias("pattern_idx")).where("pattern_idx is not null")
+    found = tried.select("pattern_idx", F.explode(F.array(_by_number(patterns, F.col("pattern_idx"), line))).alias("token")).where(is_ip(F.col("token")))
+    counted = found.groupBy("pattern_idx").agg(F.count(F.lit(1)).alias("hits"))
     every = lines.sparkSession.range(len(patterns)).select(F.col("id").cast("int").alias("pattern_idx"))
     return every.join(counted, "pattern_idx", "left").fillna(0, ["hits"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser  # the expression as a tree; there is no public way to it
 
 TAG = "<HOST>"
 #: What stands for the host: IPv4, mapped IPv4 or the characters of IPv6. Fixed value.
@@ -53,33 +54,40 @@ def host_extractor(pattern: str) -> tuple[str, str | None]:
     return "group", None
 
 
-def required_literal(pattern: str) -> str | None:
-    """The longest plain run before the host that every match holds for certain, or None.
+def guards(pattern: str) -> tuple[str, ...] | None:
+    """Literals of which every match of the pattern holds at least one, as specific as they come, or None.
 
-    Runs inside groups and classes don't count, a character that may be left out ends its run, and with
-    alternatives at the top or case folding there is none.
+    Read off the parsed expression: runs of plain characters, the items of groups, what is repeated at least once, and
+    of alternatives one literal each. Literals of less than three characters guard nothing.
     """
-    runs, depth, at = [""], 0, 0
-    before = pattern.split(TAG)[0]
-    if "(?i" in pattern:
+    tree = _parser.parse(expand_host(pattern, "re2"))
+    if tree.state.flags & re.IGNORECASE:
         return None
-    while at < len(before):
-        c = before[at]
-        if c == "\\":
-            at += 1
-        elif c == "[":
-            at = before.index("]", at + 2)
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and not depth:
-            return None
-        elif c in "?*{":
-            runs[-1] = runs[-1][:-1]
-        if c not in _META and not depth:
-            runs[-1] += c
-        else:
-            runs.append("")
-        at += 1
-    after = re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)", "", pattern.split(TAG)[1])
-    best = max(runs, key=len)
-    return best if len(best) >= 3 and "|" not in after else None
+    found = _guards(tree)
+    return found if found and min(map(len, found)) >= 3 else None
+
+
+def _guards(items) -> tuple[str, ...]:
+    options: list[tuple[str, ...]] = []
+    run = ""
+    for kind, value in [*items, (None, None)]:
+        if kind is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            options.append((run,))
+            run = ""
+        if kind is _parser.SUBPATTERN:
+            options.append(_guards(value[-1]))
+        elif kind is _parser.BRANCH:
+            own = [_guards(v) for v in value[1]]
+            options.append(tuple(dict.fromkeys(x for o in own for x in o)) if all(own) else ())
+        elif kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] >= 1:
+            options.append(_guards(value[2]))
+    return max((o for o in options if o), key=lambda o: (min(map(len, o)), -len(o)), default=())
+
+
+def required_literal(pattern: str) -> str | None:
+    """The literal that every match holds for certain, or None where there is none or several stand for each other."""
+    found = guards(pattern)
+    return found[0] if found and len(found) == 1 else None

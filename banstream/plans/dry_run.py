@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banstream.functions.times import line_ts
 from banstream.jails import Jail
 from banstream.operators.allowlist import drop_allowlisted
 from banstream.operators.failures import dry_run
-from banstream.operators.matching import match_lines
+from banstream.operators.matching import jail_ts, match_jails
 from banstream.sources.logs import read_log_lines
 
 
@@ -21,14 +21,10 @@ def dry_run_log(spark: SparkSession, paths: str | Sequence[str], jails: Sequence
     ``compat`` leaves the jails' ignoreregex out, as older tools do here. A line without a date counts at 0.
     Order is that of dates, then of texts, since the lines of a split file have no numbers.
     """
-    lines = read_log_lines(spark, paths)
+    own = [replace(j, ignoreregex=()) if compat else j for j in jails if j.enabled]
     ref = F.lit(ref_ts) if ref_ts is not None else None
-    found = []
-    for jail in (j for j in jails if j.enabled):
-        own = match_lines(lines, Jail(**{**jail.__dict__, "ignoreregex": ()}) if compat else jail)
-        own = drop_allowlisted(own, jail.ignoreip, ignoreself=jail.ignoreself)
-        found.append(own.select(F.lit(jail.jail).alias("jail"), "ip", line_ts(F.col("line"), jail.date_format, ref_ts=ref, default=F.lit(0).cast("long")).alias("ts"), F.col("line").alias("seq")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return dry_run(out, jails)
+    found = match_jails(read_log_lines(spark, paths), own)
+    for cidrs, ignoreself in {(j.ignoreip, j.ignoreself) for j in own}:
+        names = [j.jail for j in own if (j.ignoreip, j.ignoreself) == (cidrs, ignoreself)]
+        found = drop_allowlisted(found, cidrs, ignoreself=ignoreself, only=F.col("jail").isin(names))
+    return dry_run(found.select("jail", "ip", jail_ts(own, ref_ts=ref).alias("ts"), F.col("line").alias("seq")), jails)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from banstream.jails import Backend, Jail
-from banstream.operators.matching import match_lines
-from banstream.functions.times import line_ts
+from banstream.operators.matching import jail_ts, match_jails
 from banstream.sources.catalog import FILTERS
 
 _SSHD = FILTERS["sshd"].patterns
@@ -26,43 +27,38 @@ def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def address(user: Column) -> Column:
     """An address of its own for every user: 203.0.0.0/8 for the first 16,777,216, and IPv6 for the rest."""
-    octets = [F.shiftright(user.cast("long"), bits) % 256 for bits in (16, 8, 0)]
+    octets = [(F.shiftright(user.cast("long"), bits) % 256).cast("string") for bits in (16, 8, 0)]
     groups = [F.shiftright(user.cast("long"), bits) % 65536 for bits in (48, 32, 16, 0)]
-    return F.when(user >= 1 << 24, F.format_string("2001:db8:1:1:%x:%x:%x:%x", *groups)).otherwise(F.format_string("203.%d.%d.%d", *octets))
+    return F.when(user >= 1 << 24, F.format_string("2001:db8:1:1:%x:%x:%x:%x", *groups)).otherwise(F.concat_ws(".", F.lit("203"), *octets))
 
 
 def log_lines(spark: SparkSession, sf_dir: str, prefix: str = "iso8601") -> DataFrame:
     """(source, line, seq), a line per event, with the date in the named format."""
     e = events_of(spark, sf_dir)
-    ip, port = address(F.col("user_id")), 1024 + F.col("event_id") % 60000
+    ip, port = address(F.col("user_id")), (1024 + F.col("event_id") % 60000).cast("string")
     stamps = {
         "iso8601": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z web1 '"),
         "common": F.date_format("ts", "'web1 ['dd/MMM/yyyy:HH:mm:ss' +0200] '"),
         "epoch": F.concat(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"), F.lit(" web1 ")),
         "syslog": F.date_format("ts", "MMM d HH:mm:ss' web1 '"),
     }
-    body = (
-        F.when(F.col("event_type") == "error", F.format_string("sshd[%d]: Failed password for user%d from %s port %d ssh2", "event_id", "user_id", ip, port))
-        .when(F.col("event_type") == "click", F.format_string("sshd[%d]: Invalid user u%d from %s port %d", "event_id", "user_id", ip, port))
-        .when(F.col("event_type") == "signup", F.format_string("sshd[%d]: Connection closed by authenticating user root %s port %d [preauth]", "event_id", ip, port))
-        .when(F.col("event_type") == "view", F.format_string("sshd[%d]: Accepted publickey for user%d from %s port 22 ssh2", "event_id", "user_id", ip))
-        .otherwise(F.format_string("CRON[%d]: pam_unix(cron:session): session opened for user root from %s", "event_id", ip))
+    kind, pid, user = F.col("event_type"), F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]: ")), F.col("user_id").cast("string")
+    text = (
+        F.when(kind == "error", F.concat(F.lit("Failed password for user"), user, F.lit(" from "), ip, F.lit(" port "), port, F.lit(" ssh2")))
+        .when(kind == "click", F.concat(F.lit("Invalid user u"), user, F.lit(" from "), ip, F.lit(" port "), port))
+        .when(kind == "signup", F.concat(F.lit("Connection closed by authenticating user root "), ip, F.lit(" port "), port, F.lit(" [preauth]")))
+        .when(kind == "view", F.concat(F.lit("Accepted publickey for user"), user, F.lit(" from "), ip, F.lit(" port 22 ssh2")))
+        .otherwise(F.concat(F.lit("pam_unix(cron:session): session opened for user root from "), ip))
     )
+    body = F.concat(F.when(kind.isin("error", "click", "signup", "view"), F.lit("sshd")).otherwise(F.lit("CRON")), pid, text)
     # a generator keeps Spark from putting the text's expression in place of the line in every condition on it
     return e.select(F.lit("auth.log").alias("source"), F.explode(F.array(F.concat(stamps[prefix], body))).alias("line"), F.col("event_id").alias("seq"))
 
 
-def failures_of(lines: DataFrame, jails: list[Jail]) -> DataFrame:
-    """(jail, ip, ts, seq) of lines, for each enabled jail."""
-    own = [
-        match_lines(lines, j).select(F.lit(j.jail).alias("jail"), "ip", line_ts(F.col("line"), j.date_format, default=F.lit(0).cast("long")).alias("ts"), "seq")
-        for j in jails
-        if j.enabled
-    ]
-    out = own[0]
-    for more in own[1:]:
-        out = out.unionByName(more)
-    return out
+def failures_of(lines: DataFrame, jails: Sequence[Jail], *more: str) -> DataFrame:
+    """(jail, ip, ts, seq) of lines, for all enabled jails in one scan; ``more`` names further columns to keep."""
+    own = [j for j in jails if j.enabled]
+    return match_jails(lines, own).select("jail", "ip", jail_ts(own).alias("ts"), "seq", *more)
 
 
 def networks(spark: SparkSession, sf_dir: str) -> DataFrame:

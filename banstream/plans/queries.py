@@ -245,7 +245,13 @@ def stale_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def suppress_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return failures.suppress_banned(_failures(spark, sf_dir), _bans(spark, sf_dir).where("expires_at is not null")).select("jail", "ip", "ts", "seq")
+    return failures.suppress_banned(_failures(spark, sf_dir), _bans(spark, sf_dir)).select("jail", "ip", "ts", "seq")
+
+
+@query
+def label_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = failures.suppress_banned(_failures(spark, sf_dir), _bans(spark, sf_dir), label=True)
+    return found.groupBy("jail", "ip", "banned").agg(F.count(F.lit(1)).alias("failures"))
 
 
 @query
@@ -349,6 +355,12 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bans.reconcile(b, b.where("ip not like '%7'"))
 
 
+@query
+def reconcile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bans(spark, sf_dir)
+    return bans.reconcile(b, b.where("ip not like '%7'"), limit=None)
+
+
 @query
 def diff_jails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bans.diff_jails(_customer_jails(spark, sf_dir, False), _customer_jails(spark, sf_dir, True))

@@ -25,7 +25,7 @@ def lines(prefix: str = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ web1 ')") -> str:
     WHEN 'signup' THEN 'sshd[' || event_id || ']: Connection closed by authenticating user root ' || ip || ' port ' || port || ' [preauth]'
     WHEN 'view' THEN 'sshd[' || event_id || ']: Accepted publickey for user' || user_id || ' from ' || ip || ' port 22 ssh2'
     ELSE 'CRON[' || event_id || ']: pam_unix(cron:session): session opened for user root from ' || ip END AS line
-  FROM (SELECT *, '203.0.' || (user_id // 256) || '.' || (user_id % 256) AS ip, 1024 + event_id % 60000 AS port FROM events))"""
+  FROM (SELECT *, '203.' || (user_id // 65536 % 256) || '.' || (user_id // 256 % 256) || '.' || (user_id % 256) AS ip, 1024 + event_id % 60000 AS port FROM events))"""
 
 
 FAILURES = f"""{lines()},
@@ -50,7 +50,7 @@ CUSTOMER_JAILS = """old AS (SELECT 'jail-' || c_custkey AS jail, CASE WHEN c_cus
 new AS (SELECT 'jail-' || c_custkey AS jail, CASE WHEN c_custkey % 5 = 0 THEN 'iptables' ELSE 'nftables' END AS backend, c_custkey % 4 <> 0 AS reban FROM customer WHERE c_custkey % 7 <> 0),
 delta AS (SELECT coalesce(o.jail, n.jail) AS jail, unnest(CASE WHEN o.jail IS NULL THEN ['added'] WHEN n.jail IS NULL THEN ['removed'] WHEN o.backend = n.backend THEN ['kept'] ELSE ['removed', 'added'] END) AS change
   FROM old o FULL JOIN new n ON o.jail = n.jail)"""
-CUSTOMER_BANS = f"""bans AS (SELECT '203.0.' || (user_id // 256) || '.' || (user_id % 256) AS ip, 'jail-' || (event_id % 2000) AS jail, {NOW}::BIGINT AS banned_at,
+CUSTOMER_BANS = f"""bans AS (SELECT '203.' || (user_id // 65536 % 256) || '.' || (user_id // 256 % 256) || '.' || (user_id % 256) AS ip, 'jail-' || (event_id % 2000) AS jail, {NOW}::BIGINT AS banned_at,
   CASE WHEN event_id % 3 <> 0 THEN {NOW} + event_id % 100 - 20 END::BIGINT AS expires_at FROM events)"""
 V4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 
@@ -118,7 +118,8 @@ SQL: dict[str, str] = {
     "dry_run_summary": f"WITH {HITS} SELECT jail, 2 AS patterns, 3 AS max_retry, 86400::BIGINT AS find_time, 43200::BIGINT AS ban_time, sum(failures)::BIGINT AS matches, count(*) AS unique_ips, count(*) FILTER (would_ban) AS would_ban FROM judged GROUP BY jail",
     "top_offenders": f"WITH {HITS} SELECT jail, ip, failures, CASE WHEN would_ban THEN 'WOULD BAN' WHEN failures < 3 THEN (3 - failures) || ' more to ban' ELSE 'spread beyond 86400s window' END AS verdict FROM judged ORDER BY failures DESC, jail, ip",
     "stale_failures": f"WITH {FAILURES} SELECT jail, ip, max(ts) AS newest FROM failures GROUP BY jail, ip HAVING max(ts) >= {NOW} - 86400",
-    "suppress_banned": f"WITH {BANS} SELECT jail, ip, ts, seq FROM failures f WHERE NOT EXISTS (SELECT 1 FROM bans b WHERE b.ip = f.ip AND b.jail = f.jail AND banned_at <= ts AND ts < expires_at)",
+    "suppress_banned": f"WITH {BANS} SELECT jail, ip, ts, seq FROM failures f WHERE NOT EXISTS (SELECT 1 FROM bans b WHERE b.ip = f.ip AND b.jail = f.jail AND banned_at <= ts AND (expires_at IS NULL OR ts < expires_at))",
+    "label_banned": f"WITH {BANS}, l AS (SELECT jail, ip, EXISTS (SELECT 1 FROM bans b WHERE b.ip = f.ip AND b.jail = f.jail AND banned_at <= ts AND (expires_at IS NULL OR ts < expires_at)) AS banned FROM failures f) SELECT jail, ip, banned, count(*) AS failures FROM l GROUP BY ALL",
     "failure_params": f"WITH {FAILURES} SELECT jail, CASE WHEN jail = 'sshd' THEN 3 END AS max_retry, count(*) AS failures FROM failures GROUP BY jail",
     "failure_rate_window": f"WITH {FAILURES} SELECT jail, ts - ts % 21600 AS window_start, count(*) AS failures FROM failures GROUP BY ALL",
     "calc_ban_time": """WITH p AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -1 ELSE 60 + event_id % 5000 END AS base, event_id % 30 AS n, CASE WHEN event_id % 3 = 0 THEN [1.0, 5.0, 30.0][least(event_id % 30, 2) + 1] ELSE 2.0 ** least(event_id % 30, 20) END AS times,
@@ -141,7 +142,8 @@ SQL: dict[str, str] = {
       (SELECT count(*) FROM bans b WHERE b.jail = jails.jail) AS total_bans, (SELECT count(*) FROM failures f WHERE f.jail = jails.jail) AS total_failures FROM jails""",
     "global_stats": f"""WITH {ACTIONS} SELECT 1000::BIGINT AS uptime_secs, (SELECT count(*) FROM bans WHERE expires_at IS NULL OR expires_at > {NOW}) AS active_bans, (SELECT count(*) FROM bans) AS total_bans,
       (SELECT count(*) FROM actions WHERE action = 'unban') AS total_unbans, (SELECT count(*) FROM failures) AS total_failures""",
-    "reconcile": f"WITH {BANS}, o AS (SELECT ip, jail FROM bans WHERE ip NOT LIKE '%7'), e AS (SELECT * FROM bans ORDER BY banned_at, ip, jail LIMIT 1000) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.ip = e.ip AND o.jail = e.jail)",
+    "reconcile": f"WITH {BANS}, o AS (SELECT ip, jail FROM bans WHERE ip NOT LIKE '%7') SELECT * FROM bans e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.ip = e.ip AND o.jail = e.jail) ORDER BY banned_at, ip, jail, expires_at LIMIT 1000",
+    "reconcile_all": f"WITH {BANS}, o AS (SELECT ip, jail FROM bans WHERE ip NOT LIKE '%7') SELECT * FROM bans e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.ip = e.ip AND o.jail = e.jail)",
     "diff_jails": f"WITH {CUSTOMER_JAILS} SELECT * FROM delta",
     "restorable_bans": f"WITH {CUSTOMER_JAILS}, {CUSTOMER_BANS} SELECT * FROM bans WHERE (expires_at IS NULL OR expires_at > {NOW}) AND jail IN (SELECT jail FROM new WHERE reban)",
     "restore_for_added": f"WITH {CUSTOMER_JAILS}, {CUSTOMER_BANS} SELECT * FROM bans WHERE jail IN (SELECT jail FROM delta WHERE change = 'added')",

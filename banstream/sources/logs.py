@@ -47,8 +47,8 @@ def read_journal(spark: SparkSession, path: str, journalmatch: Sequence[str] = (
 
 def filter_catalog(spark: SparkSession) -> DataFrame:
     """The built-in rules, a row each."""
-    rows = [(f.group, f.name, f.log_path, f.date_format, list(f.patterns)) for f in FILTERS.values()]
-    return spark.createDataFrame(rows, "group string, name string, log_path string, date_format string, patterns array<string>")
+    rows = [(f.group, f.name, f"Clients that fail at {f.name} ({f.group})", f.log_path, f.date_format, list(f.patterns)) for f in FILTERS.values()]
+    return spark.createDataFrame(rows, "group string, name string, description string, log_path string, date_format string, patterns array<string>")
 
 
 def geo_networks(spark: SparkSession, path: str) -> DataFrame:

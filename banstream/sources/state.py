@@ -24,19 +24,23 @@ class StateVersionError(ValueError):
 
 
 def save_bans(bans: DataFrame, counts: DataFrame, path: str) -> None:
-    """Write bans and counts under ``path``, in a folder of the layout's version."""
-    bans.select("ip", "jail", "banned_at", "expires_at").write.mode("overwrite").parquet(f"{path}/v{VERSION}/bans")
-    counts.select("ip", F.col("count").cast("int").alias("count"), "last_ban").write.mode("overwrite").parquet(f"{path}/v{VERSION}/counts")
-    spark = bans.sparkSession
-    spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/version")
+    """Write bans and counts to a new folder under ``path``, and only then the row that names it.
+
+    What was saved before stays whole and is what a reader finds until that row is there, whenever the job ends.
+    """
+    spark, name = bans.sparkSession, uuid.uuid4().hex
+    bans.select("ip", "jail", "banned_at", "expires_at").write.parquet(f"{path}/{name}/bans")
+    counts.select("ip", F.col("count").cast("int").alias("count"), "last_ban").write.parquet(f"{path}/{name}/counts")
+    row = spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(name).alias("folder"), F.expr("current_timestamp()").alias("saved_at"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/saved")
 
 
 def load_bans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Bans and counts that ``save_bans`` wrote; StateVersionError if another version did."""
-    found = spark.read.schema("version int").parquet(f"{path}/version").first()
+    """Bans and counts that were saved last; StateVersionError if another version wrote them."""
+    found = spark.read.schema("version int, folder string, saved_at timestamp").parquet(f"{path}/saved").orderBy(F.desc("saved_at"), "folder").first()
     if found is None or found["version"] != VERSION:
         raise StateVersionError(f"{path} holds version {found and found['version']}, not {VERSION}")
-    return spark.read.schema(BANS).parquet(f"{path}/v{VERSION}/bans"), spark.read.schema(COUNTS).parquet(f"{path}/v{VERSION}/counts")
+    return spark.read.schema(BANS).parquet(f"{path}/{found['folder']}/bans"), spark.read.schema(COUNTS).parquet(f"{path}/{found['folder']}/counts")
 
 
 class ActionSink(Protocol):
@@ -82,6 +86,12 @@ def event_log(events: DataFrame, message: str, fields: dict[str, bool], fmt: str
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, under ``spark.checkpoint.dir``; a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "banstream-shared")
+    """A new folder that all executors share, under ``spark.checkpoint.dir``.
+
+    Only a session of one machine (a local master) may leave that unset; on a cluster it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or "file://" + os.path.join(tempfile.gettempdir(), "banstream-shared")
     return f"{base.rstrip('/')}/banstream/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

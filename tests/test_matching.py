@@ -64,6 +64,19 @@ def test_match_modes(spark):
     assert ips(matching.match_lines(df, jail, extractor="positional")) == want
 
 
+def test_many_jails_in_one_scan(spark):
+    jails = [Jail(f"j-{f.name}", f.patterns, log_path="a" if f.name == "sshd" else "b") for f in list(FILTERS.values())[:9]]
+    jails += [Jail("sshd-again", FILTERS["sshd"].patterns[::-1], log_path="a", ignoreregex=("from 10[.]",))]
+    texts = [*LOG, *["dovecot: imap-login: auth failed, rip=1.2.3.4, x", "sshd[1]: Failed password for x from 999.1.1.1 port 22"] * 2]
+    df = lines(spark, texts).withColumn("source", F.when(F.col("seq") % 2 == 0, "a").otherwise("b"))
+    alone = sorted(
+        (j.jail, r["seq"], r["ip"], r["pattern_idx"]) for j in jails for r in matching.match_lines(df.where(F.col("source") == j.log_path), j).select("seq", "ip", "pattern_idx").collect()
+    )
+    found = matching.match_all(df, jails)
+    assert sorted(map(tuple, found.select("jail", "seq", "ip", "pattern_idx").collect())) == alone and len(alone) == 5
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
+
+
 def test_spoofed_lines(spark):
     df = lines(spark, ["sshd[1]: Failed password for x from 1.1.1.1 from 10.0.0.1 port 22", "sshd[1]: Failed password for x from 999.1.1.1 port 22"])
     jail = Jail("sshd", FILTERS["sshd"].patterns)
@@ -87,7 +100,9 @@ def test_bounds_and_blanks(spark):
 def test_allow_lists(spark):
     fails = spark.createDataFrame([("10.0.0.1",), ("10.0.1.1",), ("127.0.0.1",), ("::1",), ("2001:db8::5",), (None,)], "ip string")
     kept = [r["ip"] for r in allowlist.drop_allowlisted(fails, ["10.0.0.0/24", "2001:db8::/32"]).collect()]
-    assert kept == ["10.0.1.1"]
+    assert kept == ["10.0.1.1", None]
+    long = ["10.0.0.0/24", "2001:db8::/32", *(f"172.16.{i}.0/24" for i in range(250))]
+    assert [r["ip"] for r in allowlist.drop_allowlisted(fails, long).orderBy(F.asc_nulls_last("ip")).collect()] == kept
     nets = allowlist.network_ranges(spark.createDataFrame([("10.0.0.9/24", "a"), ("10.0.0.0/8", "b"), ("2001:db8::/33", "c"), ("::/0", "d"), ("bad", "e"), ("1.1.1.1/40", "f")], "cidr string, org string"))
     assert nets.count() == 4
     geo = {r["ip"]: r["org"] for r in allowlist.enrich_geo(fails, nets, ["org"]).collect()}

@@ -109,7 +109,9 @@ def test_state_round_trip_and_version(spark, tmp_path):
     again, counts = state.load_bans(spark, str(tmp_path / "s"))
     assert sorted(map(key, again.collect())) == sorted(map(key, b.collect()))
     assert counts.count() == 2
-    spark.createDataFrame([(99,)], "version int").write.mode("overwrite").parquet(str(tmp_path / "s" / "version"))
+    state.save_bans(b.limit(1), bans.ban_counts(b), str(tmp_path / "s"))
+    assert state.load_bans(spark, str(tmp_path / "s"))[0].count() == 1 and again.count() == 2  # what was saved before is still whole
+    spark.sql("select 99 as version, 'x' as folder, timestamp '2999-01-01' as saved_at").write.mode("append").parquet(str(tmp_path / "s" / "saved"))
     with pytest.raises(state.StateVersionError):
         state.load_bans(spark, str(tmp_path / "s"))
 
@@ -124,6 +126,13 @@ def test_reports(spark):
     assert bans.seed_bans(b.where(F.lit(False)), b).count() == 4 and bans.seed_bans(b.limit(1), b).count() == 1
     assert bans.decayed_counts(bans.ban_counts(b), 0, 10**9).count() == 0
     assert bans.reconcile(b, b.where("jail = 'a'")).collect()[0]["jail"] == "b"
+    none = b.where(F.lit(False))
+    first = bans.reconcile(b, none, limit=2).collect()
+    rest = bans.reconcile(b, none, limit=None, after=(first[-1]["banned_at"], first[-1]["ip"], first[-1]["jail"])).collect()
+    assert len(first) == 2 and sorted(r["banned_at"] for r in [*first, *rest]) == [5, 5, 7, 50]
+    fails = spark.createDataFrame([("1", "a", 4), ("1", "a", 500), ("2", "a", 9)], "ip string, jail string, ts long")
+    assert [r["ts"] for r in failures.suppress_banned(fails, b).orderBy("ts").collect()] == [4, 9]
+    assert [r["banned"] for r in failures.suppress_banned(fails, b, label=True).orderBy("ts").collect()] == [False, False, True]
 
 
 def test_jail_changes(spark):
