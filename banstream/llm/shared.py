@@ -22,11 +22,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a local folder is taken.
+    Only a session of one machine (a local master, as in tests) may leave it unset; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), "banstream-shared")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    named = named or "file://" + os.path.join(tempfile.gettempdir(), "banstream-shared")
     return f"{named.rstrip('/')}/banstream/{spark.sparkContext.applicationId}"
 
 
