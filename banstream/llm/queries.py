@@ -30,10 +30,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PASS = """
-p{i} AS (SELECT *, CASE WHEN NOT x{j} AND size <= g{j} THEN size ELSE 0 END AS f{i} FROM {last}),
-q{i} AS (SELECT *, sum(f{i}) OVER (PARTITION BY source, bucket ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS c{i} FROM p{i}),
-r{i} AS (SELECT *, g{j} - coalesce(max(CASE WHEN f{i} > 0 AND c{i} <= g{j} THEN c{i} END) OVER (PARTITION BY source, bucket), 0) AS g{i},
-         x{j} OR (f{i} > 0 AND c{i} <= g{j}) AS x{i} FROM q{i})"""
+p{i} AS (SELECT *, CASE WHEN {free} AND size <= g{j} THEN size ELSE 0 END AS f{i} FROM r{j}),
+q{i} AS (SELECT *, sum(f{i}) OVER (PARTITION BY source ORDER BY place ROWS UNBOUNDED PRECEDING) AS c{i} FROM p{i}),
+r{i} AS (SELECT *, g{j} - coalesce(max(CASE WHEN f{i} > 0 AND c{i} <= g{j} THEN c{i} END) OVER (PARTITION BY source), 0) AS g{i},
+         x{j} + (f{i} > 0 AND c{i} <= g{j})::INT AS x{i} FROM q{i})"""
+_PASSES = ",".join(_PASS.format(i=i, j=i - 1, free=f"x{i - 1} = 0" if i <= 4 else f"certain + x{i - 1} < 2") for i in range(1, 7))
 
 OP1_SQL = f"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
@@ -42,21 +43,31 @@ s1 AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST
               sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS total FROM s0),
 s2 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
               / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
-s3 AS (SELECT source, source_size, n_rows, least(cap, max(level) OVER () * w) AS target FROM s2),
-d0 AS (SELECT d.*, s.source_size, s.n_rows, s.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS owed,
+s3 AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM s2),
+z0 AS (SELECT source, size, count(*) * size AS words FROM sized WHERE size > 0 GROUP BY source, size),
+z1 AS (SELECT *, 2 * coalesce(sum(words) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_words,
+              sum(words * sqrt(size)) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM z0),
+z2 AS (SELECT z1.source, max((target - full_words) / rest) AS level FROM z1 JOIN s3 ON z1.source IS NOT DISTINCT FROM s3.source GROUP BY z1.source),
+z3 AS (SELECT z0.source, max(level) AS level, sum(floor(least(2::DOUBLE, level * sqrt(size)))::BIGINT * words) AS certain_words
+       FROM z0 JOIN z2 ON z0.source IS NOT DISTINCT FROM z2.source GROUP BY z0.source),
+d0 AS (SELECT d.*, s.source_size, s.target, certain_words, CASE WHEN size > 0 THEN least(2::DOUBLE, level * sqrt(size)) ELSE 0 END AS owed,
               (('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-       FROM sized d JOIN s3 s ON d.source IS NOT DISTINCT FROM s.source),
+       FROM sized d JOIN s3 s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN z3 ON d.source IS NOT DISTINCT FROM z3.source),
 d1 AS (SELECT *, floor(owed)::BIGINT AS certain, owed - floor(owed) AS p FROM d0),
-d2 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE u END AS rank FROM d1),
-d3 AS (SELECT *, floor(rank / (1 + rank) * ceil(n_rows / 10000.0::DOUBLE)) AS bucket FROM d2),
-b0 AS (SELECT source, bucket, sum(size) AS words FROM d3 GROUP BY ALL),
-b1 AS (SELECT source, bucket, coalesce(sum(words) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM b0),
-r0 AS (SELECT d3.*, target - certain * source_size - earlier AS g0, false AS x0
-       FROM d3 JOIN b1 ON d3.source IS NOT DISTINCT FROM b1.source AND d3.bucket = b1.bucket),
-{",".join(_PASS.format(i=i, j=i - 1, last=f"r{i - 1}") for i in range(1, 5))}
-SELECT doc_id, size, source_size, target, (size * (certain + x4::INT))::BIGINT AS taken, (certain + x4::INT)::INT AS copies FROM r4
+d2 AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rank FROM d1 WHERE p > 0),
+d3 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS words,
+              row_number() OVER (PARTITION BY source ORDER BY rank, doc_id, size) AS place FROM d2),
+d4 AS (SELECT *, coalesce(max(CASE WHEN words <= target - certain_words THEN place END) OVER (PARTITION BY source), 0) AS cut,
+              coalesce(max(CASE WHEN words <= target - certain_words THEN words END) OVER (PARTITION BY source), 0) AS got FROM d3),
+r0 AS (SELECT *, target - certain_words - got AS g0, (place <= cut)::INT AS x0 FROM d4 WHERE place > cut - 1000 AND place <= cut + 1000),
+{_PASSES},
+every AS (SELECT doc_id, size, source_size, target, certain FROM d1 WHERE p = 0
+  UNION ALL SELECT doc_id, size, source_size, target, certain + (place <= cut)::INT FROM d4 WHERE place <= cut - 1000 OR place > cut + 1000
+  UNION ALL SELECT doc_id, size, source_size, target, certain + x6 FROM r6)
+SELECT doc_id, size, source_size, target, (size * certain)::BIGINT AS taken, certain::INT AS copies FROM every
 """
 
+
 def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tokens(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
