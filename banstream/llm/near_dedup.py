@@ -7,19 +7,21 @@ coordinates, each coordinate-value pair being a posting:
 * Prefix: signatures that agree in at least ``AGREE`` coordinates share one of their ``COORDS - AGREE + 1`` rarest
   postings, so a class is posted under those alone. Postings with a single class go.
 * A posting is never expanded into all its pairs. First each class is compared with the leaders (least class) of its
-  postings, those it collides with most often. Confirmed pairs give components.
+  postings, those it collides with most often. A pair whose signatures collide in at least ``AGREE`` coordinates is
+  retained; what of these is confirmed gives components.
 * Skip: postings within one component are done with. In the others a class goes on if another of fit size in another
   component differs in no more of 256 further one-bit samples than similar sets do. Of those that go on, pairs
   across components are found by the prefixes of their full sets (``_across``), which loses none.
 * Every link is confirmed on the full sets, natively, as 100 * intersection >= percent * union.
 
-Two sets of similarity 0.8 agree in fewer than ``AGREE`` coordinates, or differ in more than ``FAR`` bits, with a
+Words are compared by 64-bit hashes that mix after every eight bytes (``shingles``). Two sets of similarity 0.8 agree in fewer than ``AGREE`` coordinates, or differ in more than ``FAR`` bits, with a
 probability below 1 in 100,000; nothing else is left out.
 
 Defined cases: null text or text without words has an empty set, is linked with nothing and kept; a document with
 fewer words than ``size`` has its whole sequence as one run; rows that share an identifier are one document; a row
-without identifier is linked with nothing and kept; an empty table gives an empty result; other columns are
-ignored.
+without identifier is linked with nothing and kept; ties (several leaders with as many collisions) go to the least
+identifier; a text of many megabytes is one slice; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -113,6 +115,13 @@ def _best(candidates: DataFrame) -> DataFrame:
     return best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
+def _matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures collide in enough coordinates; a posting's value belongs to one coordinate."""
+    one, other = (classes.select(F.col("id").alias(c), F.col("posts").alias(f"p{c}")) for c in "ab")
+    agree = F.size(F.array_intersect("pa", "pb"))
+    return pairs.join(one, "a").join(other, "b").where(agree >= AGREE).select("a", "b")
+
+
 def _postings(classes: DataFrame) -> DataFrame:
     """(id, n, bits, post) of every class under its rarest postings that it shares with another class."""
     posted = classes.select("id", F.explode("posts").alias("post"))
@@ -159,7 +168,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     postings = _postings(classes.where(F.col("n") >= least))
 
     heads = postings.groupBy("post").agg(F.min("id").alias("leader"), F.min_by("n", "id").alias("m"))
-    links = _confirm(_best(postings.join(heads, "post").where((F.col("id") != F.col("leader")) & _fits("n", "m", percent)).select("id", "leader")), texts, size, percent)
+    met = _best(postings.join(heads, "post").where((F.col("id") != F.col("leader")) & _fits("n", "m", percent)).select("id", "leader"))
+    links = _confirm(_matching(met, classes), texts, size, percent)
     labels = components(links)
 
     # skip: postings within one component are done with

@@ -1,12 +1,14 @@
 """Hashes of words and word shingles over Arrow batches, as numpy operations on their bytes.
 
-Words are runs of anything but the six ASCII white-space characters, with A-Z lower-cased. A word's 64-bit hash is
-a polynomial of random values of its bytes, read off running sums over the whole batch; a shingle's hash combines
-its words' in order. All constants come from a fixed mixing function, so hashes agree between runs and machines.
+Words are runs of anything but the six ASCII white-space characters, with A-Z lower-cased. A word's 64-bit hash takes
+its bytes eight at a time, mixing after each, so that no pattern inside a word cancels out; long words are hashed by
+BLAKE2. A shingle's hash combines its words' in order. All constants come from a fixed mixing function, so hashes agree
+between runs and machines.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,12 @@ def _inverse(odd: np.uint64) -> np.uint64:
     return x
 
 
-_VALUE = random64(1, 256)
-_VALUE[65:91] = _VALUE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+#: Bytes beyond which a word is hashed on its own.
+LONG_WORD = 64
+#: The low bytes of a 64-bit number, by how many.
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 _SPACE = np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(_SPACES, np.uint8))
 _PLACE = random64(2, 64) | np.uint64(1)
 with np.errstate(over="ignore"):
@@ -93,11 +99,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[-1] = False
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    power, unpower = _power_tables(n)
-    value = _VALUE[data] * power
-    total = np.cumsum(value)
-    hashes = (total[end - 1] - total[start] + value[start]) * unpower[start]
-    return mix(hashes ^ ((end - start).astype(np.uint64) * _PLACE[63])), np.searchsorted(start, offsets), start, end
+    length = end - start
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = _LOWER[data]
+    eight = np.ndarray((n,), "<u8", low, strides=(1,))  # the eight bytes from each place on
+    hashes = mix(length.astype(np.uint64) * _PLACE[63])
+    left, at = np.arange(len(start)), 0
+    while len(left := left[(length[left] > at) & (length[left] <= LONG_WORD)]):
+        block = eight[start[left] + at] & _BYTES[np.minimum(length[left] - at, 8)]
+        hashes[left] = mix(hashes[left] ^ block) + _PLACE[at // 8]
+        at += 8
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]], digest_size=8).digest(), "little")
+    return hashes, np.searchsorted(start, offsets), start, end
 
 
 def shingle(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from banstream.llm import passage_dedup
+from banstream.llm.near_dedup import near_duplicates
 from banstream.llm.passage_dedup import RUN, WORDS, paragraphs, repeated_passages
 from banstream.llm.shingles import mix, random64, words
 
@@ -60,3 +61,10 @@ def test_similar_paragraphs_of_a_band_are_found_whatever_its_leader_is(spark):
     assert len(want) == 40
     got = {r["doc_id"] for r in repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_words_that_a_polynomial_would_confuse_stay_apart(spark):
+    morse = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = "".join("ab"[b] for b in morse), "".join("ba"[b] for b in morse)
+    got = near_duplicates(spark.createDataFrame([(1, one), (2, other), (3, one.upper())], "doc_id long, text string"), size=2).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
