@@ -2,24 +2,12 @@
 
 import random
 
-import numpy as np
+import pytest
 
-from banstream.llm import passage_dedup
 from banstream.llm.near_dedup import near_duplicates
-from banstream.llm.passage_dedup import RUN, WORDS, paragraphs, repeated_passages
-from banstream.llm.shingles import mix, random64, words
+from banstream.llm.passage_dedup import RUN, WORDS, repeated_passages, tune_bands
 
-
-def hashed(text):
-    data = np.frombuffer(text.encode(), np.uint8)
-    return words(data, np.array([0, len(data)]))
-
-
-def windows(text):
-    """(first word, words) of each anchored window."""
-    hashes, first, _, _ = hashed(text)
-    own = text.split()
-    return [(int(a), own[a : a + WORDS]) for a in paragraphs(hashes, first)[0]]
+SCHEMA = "doc_id long, text string"
 
 
 def grams(own):
@@ -30,37 +18,60 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def word():
-    return "".join(random.choice("abcdefghijklmnop") for _ in range(6))
-
-
-def common_run():
-    """Five words whose run is the least of nearly every paragraph by the hashes of both bands."""
-    odd = random64(11, 2) | np.uint64(1)
-    tried = [word() for _ in range(60_000)]
-    runs = passage_dedup._runs(hashed(" ".join(tried))[0], passage_dedup._COMBINE)
-    at = int(np.maximum(mix(runs * odd[0]), mix(runs * odd[1])).argmin())
-    return tried[at : at + RUN]
-
-
-def test_similar_paragraphs_of_a_band_are_found_whatever_its_leader_is(spark):
-    random.seed(5)
-    common, texts = common_run(), []
-    while len(texts) < 80:
-        own = [word() for _ in range(12)] + common + [word() for _ in range(43)]
-        at = next((a for a, w in windows(" ".join(own)) if a <= 12 and a + WORDS >= 20), None)
-        if at is None:
-            continue
-        # the same 27 words from the anchor on, among others
-        copy = [word() for _ in range(at)] + own[at : at + WORDS - 1] + [word() for _ in range(60 - at - WORDS + 1)]
-        if at in [a for a, _ in windows(" ".join(copy))]:
-            texts += [own, copy]
-    texts = [" ".join(t) for t in texts]
-    sets = [[grams(w) for _, w in windows(t)] for t in texts]
-    want = {j for j in range(len(texts)) for i in range(j) if any(jaccard(a, b) >= 0.8 for a in sets[i] for b in sets[j])}
-    assert len(want) == 40
-    got = {r["doc_id"] for r in repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got <= want and len(got) >= 0.95 * len(want)
+def fresh(draw, n):
+    return ["".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+
+def near_lines(draw):
+    """Documents of a short line, a long one and its end: long lines share a common phrase, and half of them are copies with one to three words changed."""
+    common, texts = fresh(draw, 8), []
+    for _ in range(110):
+        own = fresh(draw, draw.randint(20, 60)) + common + fresh(draw, draw.randint(5, 40))
+        copy = list(own)
+        for at in draw.sample(range(len(own)), draw.randint(1, 3)):
+            copy[at] = fresh(draw, 1)[0]
+        texts += [(fresh(draw, draw.randint(0, 9)), t, fresh(draw, 5)) for t in (own, copy)]
+    draw.shuffle(texts)
+    return texts
+
+
+def test_similar_lines_are_found_whatever_their_bands_hold(spark):
+    texts = near_lines(random.Random(5))
+    sets = [grams(t) for _, t, _ in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(pairs) >= 40
+    rows = [(i, "\n".join(" ".join(part) for part in t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(4)).where(f"n_words > {WORDS}").collect()}
+    found = [(i, j) for i, j in pairs if j in got and got[j]["kept_doc_id"] == i]
+    assert len(found) >= 0.95 * len(pairs)
+    runs = [{tuple(t[k : k + WORDS]) for k in range(len(t) - WORDS + 1)} for _, t, _ in texts]
+    exact = {j for j in range(len(texts)) if any(runs[i] & runs[j] for i in range(j))}
+    assert set(got) <= {j for _, j in pairs} | exact  # nothing else goes
+    for _, j in found:  # the whole line and nothing more
+        before, own, _ = texts[j]
+        assert (got[j]["first_word"], got[j]["n_words"]) == (len(before), len(own))
+
+
+@pytest.mark.parametrize("n", [50, 61, 140])
+def test_passages_inside_lines_are_removed_to_the_word(spark, n):
+    draw = random.Random(n)
+    passage, rows, want = fresh(draw, n), [], {}
+    for i in range(12):
+        before, after = fresh(draw, draw.randint(0, 70)), fresh(draw, draw.randint(0, 70))
+        own = before + passage + after
+        ends = [draw.choice("  \n") for _ in own]  # line feeds anywhere, also inside the passage
+        rows.append((i, "".join(w + e for w, e in zip(own, ends, strict=True))))
+        want[i] = (len(before), n, 0)
+    del want[0]
+    rows.append((99, " ".join(fresh(draw, 300))))
+    got = {r["doc_id"]: (r["first_word"], r["n_words"], r["kept_doc_id"]) for r in repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_bands_are_tuned_for_recall():
+    for similarity, recall in ((0.8, 0.95), (0.9, 0.99), (0.5, 0.9)):
+        bands, rows = tune_bands(similarity, recall)
+        assert 1 - (1 - similarity**rows) ** bands >= recall
 
 
 def test_words_that_a_polynomial_would_confuse_stay_apart(spark):
