@@ -37,6 +37,10 @@ from banstream.llm.shared import materialize
 from banstream.llm.shingles import mix, random64, row_sets, text_slices, words
 
 WORDS, SPAN, RUN = 28, 22, 5
+#: Parities of a set's runs; that many tell sets of hundreds of runs apart.
+PARITIES = 512
+#: Rounds of leaders before what is left is joined pair by pair.
+ROUNDS = 3
 _ANCHOR, _COMBINE = random64(9, 3) | np.uint64(1), random64(10, RUN) | np.uint64(1)
 
 
@@ -199,7 +203,7 @@ def _prefixes(n: int, similarity: float) -> tuple[int, int]:
 
 
 def _posted(similarity: float):
-    """A function over batches (para, component, grams): post, para, component, n, and bits, the parity of the runs dealt over 64 bits."""
+    """A function over batches (para, component, grams): post, para, component, n, and bits, the parity of the runs dealt over ``PARITIES`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +214,9 @@ def _posted(similarity: float):
             values = batch.column(2).values.to_numpy().view(np.uint64)[begin[0] : begin[-1]]
             begin = begin - begin[0]
             n = np.diff(begin)
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(values) & np.uint64(63)), begin[:-1])
+            place = mix(values)
+            word, one = (place >> np.uint64(6)) % np.uint64(PARITIES // 64), np.uint64(1) << (place & np.uint64(63))
+            bits = np.stack([np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), begin[:-1]) for w in range(PARITIES // 64)], axis=1)
             sizes, which = np.unique(n, return_inverse=True)
             limits = np.array([_prefixes(int(x), similarity) for x in sizes])[which]
             for kind in range(2):
@@ -218,14 +224,15 @@ def _posted(similarity: float):
                 row = np.repeat(np.arange(len(n)), many)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[:-1][row]
                 post = values[at] if kind else mix(values[at]) ^ values[np.minimum(at + 1, len(values) - 1)]
-                yield pa.RecordBatch.from_pydict({"post": post.view(np.int64), "para": para[row], "component": component[row], "n": n[row].astype(np.int32), "bits": bits[row].view(np.int64)})
+                yield pa.RecordBatch.from_pydict({"post": post.view(np.int64), "para": para[row], "component": component[row], "n": n[row].astype(np.int32), "bits": pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(bits[row].reshape(-1).view(np.int64)))})
 
     return run
 
 
 def _can(similarity: float) -> Column:
-    """Whether two paragraphs can be similar: no more bits differ than their runs may, and sizes fit."""
-    return (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9) & (
+    """Whether two paragraphs can be similar: no more parities differ than their runs may, and sizes fit."""
+    apart = [F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(PARITIES // 64)]
+    return (sum(apart[1:], apart[0]) <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9) & (
         F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
     )
 
@@ -247,19 +254,22 @@ def _open(members: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 def _across(open_: DataFrame, grams: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """The links and all others between similar paragraphs of ``open_`` (para, component) in different components."""
     sets = grams.join(open_, "para").select("para", "component", "grams")
-    posted = sets.mapInArrow(_posted(similarity), "post long, para long, component long, n int, bits long")
+    posted = sets.mapInArrow(_posted(similarity), "post long, para long, component long, n int, bits array<long>")
     mixed = posted.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("post")
     postings = materialize(posted.join(mixed, "post"), "postings")
-    # leaders first, so that a large group that is one cluster is not expanded into its pairs
-    one = postings.select("post", *(F.col(c).alias(f"{c}_a") for c in ("para", "component", "n", "bits")))
-    heads = postings.groupBy("post").agg(F.min(F.struct("para", "component", "n", "bits")).alias("h")).select("post", *(F.col(f"h.{c}").alias(f"{c}_b") for c in ("para", "component", "n", "bits")))
-    met = one.join(heads, "post").where((F.col("component_a") != F.col("component_b")) & _can(similarity))
-    links = materialize(links.unionByName(_confirm(met.select(F.col("para_a").alias("a"), F.col("para_b").alias("b")).distinct(), grams, similarity)), "links")
-
-    left = materialize(_open(postings.drop("component"), components(links), "post"), "open-postings")
-    one, other = (left.select("post", *(F.col(c).alias(f"{c}_{s}") for c in ("para", "component", "n", "bits"))) for s in "ab")
-    met = one.join(other, "post").where((F.col("para_a") < F.col("para_b")) & (F.col("component_a") != F.col("component_b")) & _can(similarity))
-    return links.unionByName(_confirm(met.select(F.col("para_a").alias("a"), F.col("para_b").alias("b")).distinct(), grams, similarity))
+    sides = lambda df, s: df.select("post", *(F.col(c).alias(f"{c}_{s}") for c in ("para", "component", "n", "bits")))
+    pairs = lambda met: met.select(F.col("para_a").alias("a"), F.col("para_b").alias("b")).distinct()
+    apart = F.col("component_a") != F.col("component_b")
+    # leaders first, another in each round, so that a dense group becomes one component before its pairs are looked at
+    for number in range(ROUNDS):
+        if postings.isEmpty():
+            break
+        head = F.min_by(F.struct("para", "component", "n", "bits"), F.xxhash64("para", F.lit(number))).alias("h")
+        heads = sides(postings.groupBy("post").agg(head).select("post", "h.*"), "b")
+        links = materialize(links.unionByName(_confirm(pairs(sides(postings, "a").join(heads, "post").where(apart & _can(similarity))), grams, similarity)), "links")
+        postings = materialize(_open(postings.drop("component"), components(links), "post"), "open-postings")
+    left = sides(postings, "a").join(sides(postings, "b"), "post").where((F.col("para_a") < F.col("para_b")) & apart & _can(similarity))
+    return links.unionByName(_confirm(pairs(left), grams, similarity))
 
 
 def _line_clusters(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
