@@ -39,8 +39,10 @@ from banstream.llm.shingles import mix, random64, row_sets, text_slices, words
 WORDS, SPAN, RUN = 28, 22, 5
 #: Parities of a set's runs; that many tell sets of hundreds of runs apart.
 PARITIES = 512
-#: Rounds of leaders before what is left is joined pair by pair.
-ROUNDS = 3
+#: Leaders of a posting that are tried before what is left is joined pair by pair.
+HEADS = 8
+#: A paragraph's least postings, which tell in which one of them a pair is put out.
+LEAST = 32
 _ANCHOR, _COMBINE = random64(9, 3) | np.uint64(1), random64(10, RUN) | np.uint64(1)
 
 
@@ -203,7 +205,7 @@ def _prefixes(n: int, similarity: float) -> tuple[int, int]:
 
 
 def _posted(similarity: float):
-    """A function over batches (para, component, grams): post, para, component, n, and bits, the parity of the runs dealt over ``PARITIES`` bits."""
+    """A function over batches (para, component, grams): post, para, component, n, bits, the parity of the runs dealt over ``PARITIES`` bits, and least, the least postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,24 +221,38 @@ def _posted(similarity: float):
             bits = np.stack([np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), begin[:-1]) for w in range(PARITIES // 64)], axis=1)
             sizes, which = np.unique(n, return_inverse=True)
             limits = np.array([_prefixes(int(x), similarity) for x in sizes])[which]
-            for kind in range(2):
-                many = limits[:, kind]
-                row = np.repeat(np.arange(len(n)), many)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + begin[:-1][row]
-                post = values[at] if kind else mix(values[at]) ^ values[np.minimum(at + 1, len(values) - 1)]
-                yield pa.RecordBatch.from_pydict({"post": post.view(np.int64), "para": para[row], "component": component[row], "n": n[row].astype(np.int32), "bits": pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(bits[row].reshape(-1).view(np.int64)))})
+            many = limits.reshape(-1)  # neighbours and single runs of each paragraph in turn
+            row = np.repeat(np.arange(len(n)).repeat(2), many)
+            at = _ragged(begin[:-1].repeat(2), many)
+            single = np.repeat(np.tile([False, True], len(n)), many)
+            post = np.where(single, values[at], mix(values[at]) ^ values[np.minimum(at + 1, len(values) - 1)])
+            post, _, first = row_sets(post, np.concatenate([[0], np.cumsum(limits.sum(axis=1))]))
+            count = np.diff(first)
+            few = np.minimum(count, LEAST)
+            least = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32)), pa.array(post[_ragged(first[:-1], few)].view(np.int64)))
+            row = np.repeat(np.arange(len(n)), count)
+            parities = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(bits.reshape(-1).view(np.int64)))
+            for a in range(0, len(row), 1 << 16):
+                own = row[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"post": post[a : a + (1 << 16)].view(np.int64), "para": para[own], "component": component[own], "n": n[own].astype(np.int32), "bits": parities.take(pa.array(own)), "least": least.take(pa.array(own))})
 
     return run
 
 
-def _can(similarity: float) -> Column:
+def _can(n_a: str, bits_a: str, n_b: Column, bits_b: Column, similarity: float) -> Column:
     """Whether two paragraphs can be similar: no more parities differ than their runs may, and sizes fit."""
-    apart = [F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(PARITIES // 64)]
-    return (sum(apart[1:], apart[0]) <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9) & (
-        F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    apart = [F.bit_count(F.get(bits_a, i).bitwiseXOR(F.get(bits_b, i))) for i in range(PARITIES // 64)]
+    return (sum(apart[1:], apart[0]) <= (1 - similarity) / (1 + similarity) * (F.col(n_a) + n_b) + 1e-9) & (
+        F.least(F.col(n_a), n_b) >= similarity * F.greatest(F.col(n_a), n_b) - 1e-9
     )
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of two columns, the lesser first."""
+    one, other = met.columns
+    return met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
 def _confirm(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     """Of distinct pairs (a, b) those whose full sets are similar."""
     one, other = (grams.select(F.col("para").alias(c), F.col("grams").alias(f"s{c}")) for c in "ab")
@@ -254,22 +270,23 @@ def _open(members: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 def _across(open_: DataFrame, grams: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """The links and all others between similar paragraphs of ``open_`` (para, component) in different components."""
     sets = grams.join(open_, "para").select("para", "component", "grams")
-    posted = sets.mapInArrow(_posted(similarity), "post long, para long, component long, n int, bits array<long>")
+    posted = sets.mapInArrow(_posted(similarity), "post long, para long, component long, n int, bits array<long>, least array<long>")
     mixed = posted.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("post")
     postings = materialize(posted.join(mixed, "post"), "postings")
-    sides = lambda df, s: df.select("post", *(F.col(c).alias(f"{c}_{s}") for c in ("para", "component", "n", "bits")))
-    pairs = lambda met: met.select(F.col("para_a").alias("a"), F.col("para_b").alias("b")).distinct()
-    apart = F.col("component_a") != F.col("component_b")
-    # leaders first, another in each round, so that a dense group becomes one component before its pairs are looked at
-    for number in range(ROUNDS):
-        if postings.isEmpty():
-            break
-        head = F.min_by(F.struct("para", "component", "n", "bits"), F.xxhash64("para", F.lit(number))).alias("h")
-        heads = sides(postings.groupBy("post").agg(head).select("post", "h.*"), "b")
-        links = materialize(links.unionByName(_confirm(pairs(sides(postings, "a").join(heads, "post").where(apart & _can(similarity))), grams, similarity)), "links")
-        postings = materialize(_open(postings.drop("component"), components(links), "post"), "open-postings")
-    left = sides(postings, "a").join(sides(postings, "b"), "post").where((F.col("para_a") < F.col("para_b")) & apart & _can(similarity))
-    return links.unionByName(_confirm(pairs(left), grams, similarity))
+    # leaders first, several at once, so that a dense group becomes one component before its pairs are looked at
+    head = [F.min_by(F.struct("para", "component", "n", "bits"), F.xxhash64("para", F.lit(i))) for i in range(HEADS)]
+    led = postings.groupBy("post").agg(F.array_distinct(F.array(*head)).alias("heads")).withColumnRenamed("post", "led")
+    fits = lambda h: (h["component"] != F.col("component")) & _can("n", "bits", h["n"], h["bits"], similarity)
+    fit = postings.join(led, (F.col("post") == F.col("led")) & F.exists("heads", fits)).select("post", "para", F.filter("heads", fits).alias("heads"))
+    # a paragraph has several postings under the same leaders: each names one of them
+    one = F.get("heads", F.pmod(F.xxhash64("para", "post"), F.greatest(F.size("heads"), F.lit(1))).cast("int"))["para"]
+    links = materialize(links.unionByName(_confirm(_pairs(fit.select("para", one.alias("other")).where("other is not null")), grams, similarity)), "links")
+    postings = _open(postings.drop("component"), components(links), "post")
+    left, right = (postings.select("post", *(F.col(c).alias(f"{c}_{s}") for c in ("para", "component", "n", "bits", "least"))) for s in "ab")
+    # of the postings that both have one puts the pair out; where none of their least is shared, all do
+    once = F.coalesce(F.array_min(F.array_intersect("least_a", "least_b")), F.col("post")) == F.col("post")
+    can = (F.col("para_a") < F.col("para_b")) & (F.col("component_a") != F.col("component_b")) & _can("n_a", "bits_a", F.col("n_b"), F.col("bits_b"), similarity)
+    return links.unionByName(_confirm(_pairs(left.join(right, "post").where(can & once).select("para_a", "para_b")), grams, similarity))
 
 
 def _line_clusters(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
