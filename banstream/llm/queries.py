@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, each over its whole table, and their SQL."""
+"""Registered queries of the operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from banstream.llm.byte_bpe import encode_documents
+from banstream.llm.centroids import cluster_vectors
 from banstream.llm.exact_dedup import exact_groups
 from banstream.llm.fingerprints import fingerprint_with_edits
+from banstream.llm.hard_negatives import hard_negatives
 from banstream.llm.language_id import identify
 from banstream.llm.mixing import mix_sources
 from banstream.llm.near_dedup import near_duplicates
@@ -138,6 +141,48 @@ def op10_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op11_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_ROUND = """
+a{i} AS MATERIALIZED (SELECT r, min(dist * 8 + c) AS k FROM (SELECT r, c, sum((x - m) * (x - m))::BIGINT AS dist FROM x JOIN c{i} USING (d) GROUP BY r, c) GROUP BY r),
+c{j} AS MATERIALIZED (SELECT o.c, o.d, coalesce((s - ((s % n) + n) % n) // n, m) AS m FROM c{i} o LEFT JOIN
+  (SELECT k % 8 AS c, d, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{i} USING (r) GROUP BY ALL) g ON g.c = o.c AND g.d = o.d)"""
+
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+x AS MATERIALIZED (SELECT r, unnest(range(64)) AS d, unnest(v) AS x FROM v),
+s AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c FROM v QUALIFY c < 8),
+c0 AS MATERIALIZED (SELECT c, d, x AS m FROM s JOIN x USING (r)),
+{",".join(_ROUND.format(i=i, j=i + 1) for i in range(11))},
+h AS (SELECT c, sha256(string_agg(m::BIGINT::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c10 GROUP BY c),
+o AS (SELECT vec_id, k % 8 AS c, k // 8 AS distance FROM v JOIN a10 USING (r))
+SELECT vec_id, c::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM o JOIN h USING (c)
+"""
+
+
+def op12_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("id") % 50 == 0)
+
+
+OP12_SQL = f"""
+WITH t AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM t a JOIN t b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS MATERIALIZED (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other)::INT AS rank,
+       n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_packed_ids": op2_packed_ids,
@@ -149,6 +194,8 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_paragraph_bands": op10_paragraph_bands,
+    "op11_va_file": op11_va_file,
+    "op12_segment_negatives": op12_segment_negatives,
 }
 #: The others are held against brute force in tests/llm.
-SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op3_signature_join": OP3_SQL, "op4_bloom_cascade": OP4_SQL, "op6_content_sort": OP6_SQL}
+SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op3_signature_join": OP3_SQL, "op4_bloom_cascade": OP4_SQL, "op6_content_sort": OP6_SQL, "op11_va_file": OP11_SQL, "op12_segment_negatives": OP12_SQL}
