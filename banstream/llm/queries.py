@@ -18,6 +18,7 @@ from banstream.llm.mixing import mix_sources
 from banstream.llm.near_dedup import near_duplicates
 from banstream.llm.passage_dedup import repeated_passages
 from banstream.llm.shared import read_table
+from banstream.llm.suffix_dedup import repeated_substrings
 from banstream.llm.token_counts import count_tokens
 from banstream.llm.token_files import stored_tokens
 from banstream.llm.url_filter import judge_urls
@@ -183,6 +184,12 @@ QUALIFY rank <= 3
 """
 
 
+def op13_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_substrings(read_table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_packed_ids": op2_packed_ids,
@@ -196,6 +203,7 @@ QUERIES: dict[str, Query] = {
     "op10_paragraph_bands": op10_paragraph_bands,
     "op11_va_file": op11_va_file,
     "op12_segment_negatives": op12_segment_negatives,
+    "op13_linear_grouping": op13_linear_grouping,
 }
 #: The others are held against brute force in tests/llm.
 SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op3_signature_join": OP3_SQL, "op4_bloom_cascade": OP4_SQL, "op6_content_sort": OP6_SQL, "op11_va_file": OP11_SQL, "op12_segment_negatives": OP12_SQL}
