@@ -19,6 +19,11 @@ CLOSED = Jail("sshd-closed", _SSHD[2:], backend=Backend("script", "block <IP> <J
 OFF = Jail("nginx", FILTERS["nginx-auth"].patterns, enabled=False)
 JAILS = [SSHD, CLOSED, OFF]
 NOW = 1_706_000_000
+#: After the last line; and the quiet time after which the timelines of all actions forget an address's bans.
+END = 1_708_000_000
+QUIET = 6 * 3600
+#: The log is cut here where it comes in three parts.
+CUTS = (1_704_900_000, 1_705_800_000)
 
 
 def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:

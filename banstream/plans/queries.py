@@ -12,11 +12,10 @@ from banstream.functions import addresses, bans as ban_times, rendering, times
 from banstream.operators import allowlist, bans, failures, matching
 from banstream.operators.patterns import expand_host, host_group_index
 from banstream.operators.timeline import ban_rows, ban_timeline
-from banstream.plans.lines import CLOSED, JAILS, NOW, SSHD, address, events_of, failures_of, log_lines, networks
+from banstream.plans.lines import CLOSED, END, JAILS, NOW, QUIET, SSHD, address, events_of, failures_of, log_lines, networks
 from banstream.jails import jails_frame
 from banstream.sources import state
 from banstream.sources.catalog import FILTERS
-from banstream.streaming.tracker import track_bans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -281,22 +280,10 @@ def ban_timeline_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def track_bans_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same bans from a stream that reads the failures as files, until it has seen all."""
-    folder = state.work_folder(spark, "tracker")
-    _failures(spark, sf_dir).write.parquet(f"{folder}/failures")
-    old = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        source = spark.readStream.schema("jail string, ip string, ts long, seq long").parquet(f"{folder}/failures")
-        out = track_bans(source, JAILS).writeStream.format("parquet").option("path", f"{folder}/actions").option("checkpointLocation", f"{folder}/checkpoint")
-        out.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, old) if old else spark.conf.unset(PROVIDER)
-    return ban_rows(spark.read.parquet(f"{folder}/actions"))
-
-
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+def ban_timeline_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bans and unbans, with counts that are forgotten after six quiet hours."""
+    done = ban_timeline(_failures(spark, sf_dir), JAILS, decay=QUIET, until=END)
+    return done.select("ip", "jail", "action", "at", "expires_at", "ban_time", "reason", "level", F.when(F.col("action") == "ban", F.col("event_seq")).alias("seq"))
 
 
 @query

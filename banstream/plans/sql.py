@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from banstream.operators.patterns import expand_host, host_group_index
-from banstream.plans.lines import NOW
+from banstream.plans.lines import CUTS, END, NOW, QUIET
 from banstream.sources.catalog import FILTERS
 
 SSHD = FILTERS["sshd"].patterns
@@ -55,8 +55,8 @@ CUSTOMER_BANS = f"""bans AS (SELECT '203.' || (user_id // 65536 % 256) || '.' ||
 V4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 
 # one row a step for each address: rings, bans (until, 0 for none) and the count move on with the address's next failure
-TIMELINE = f"""WITH RECURSIVE {FAILURES},
-ev AS (SELECT ip, jail, ts, row_number() OVER (PARTITION BY ip ORDER BY ts, seq) AS rn FROM failures),
+STEPS = f"""WITH RECURSIVE {FAILURES},
+ev AS (SELECT ip, jail, ts, seq, row_number() OVER (PARTITION BY ip ORDER BY ts, seq) AS rn FROM failures),
 st AS (
   SELECT ip, 0::BIGINT AS rn, []::BIGINT[] AS r1, []::BIGINT[] AS r2, 0::BIGINT AS u1, 0::BIGINT AS u2, 0::INT AS cnt, 0::BIGINT AS lst, NULL::VARCHAR AS jail, NULL::BIGINT AS banned_at, NULL::BIGINT AS expires_at, NULL::INT AS level
   FROM (SELECT DISTINCT ip FROM ev)
@@ -70,8 +70,27 @@ st AS (
         FROM (SELECT st.ip, ev.rn, ev.ts, ev.jail, ev.jail = 'sshd' AS one, r1, r2, CASE WHEN u1 > ev.ts THEN u1 ELSE 0 END AS u1, CASE WHEN u2 > ev.ts THEN u2 ELSE 0 END AS u2,
                 CASE WHEN lst < ev.ts - 2592000 THEN 0 ELSE cnt END AS cnt, lst
               FROM st JOIN ev ON ev.ip = st.ip AND ev.rn = st.rn + 1))))
-)
-SELECT ip, jail, banned_at, expires_at, level FROM st WHERE banned_at IS NOT NULL"""
+)"""
+TIMELINE = f"{STEPS} SELECT ip, jail, banned_at, expires_at, level FROM st WHERE banned_at IS NOT NULL"
+
+
+def all_actions(until: str) -> str:
+    """Bans, and the unbans of those that end by a time, with counts forgotten after the short quiet time."""
+    steps = STEPS.replace("ev.ts - 2592000", f"ev.ts - {QUIET}")
+    return f"""{steps}, b AS (SELECT st.ip, st.jail, banned_at, expires_at, level, ev.seq FROM st JOIN ev ON ev.ip = st.ip AND ev.rn = st.rn WHERE banned_at IS NOT NULL)
+SELECT ip, jail, 'ban' AS action, banned_at AS at, expires_at, expires_at - banned_at AS ban_time, 'threshold' AS reason, level, seq FROM b
+UNION ALL SELECT ip, jail, 'unban', expires_at, NULL, NULL, 'expired', NULL, NULL FROM b WHERE expires_at <= {until}"""
+
+
+# what a tracker holds after each of three parts of the log, of which the next begins at a cut
+LIVE = f"""{STEPS},
+w AS (SELECT batch, max(ts) AS w FROM failures JOIN (VALUES (0, {CUTS[0]}), (1, {CUTS[1]}), (2, {END})) c(batch, cut) ON ts < cut GROUP BY batch),
+b AS (SELECT batch, w, ip, jail, banned_at, expires_at FROM w JOIN st ON banned_at <= w),
+j AS (SELECT * FROM w, (VALUES ('sshd'), ('sshd-closed'), ('nginx')) j(jail))"""
+# failures in three parts that each go over all dates; late ones are ten days behind the newest of the parts before
+ARRIVED = f"""{FAILURES},
+parts AS (SELECT seq % 3 AS batch, max(ts) AS newest FROM failures GROUP BY 1),
+arrived AS (SELECT f.*, coalesce(ts < (SELECT max(newest) FROM parts p WHERE p.batch < f.seq % 3) - 864000, false) AS late FROM failures f)"""
 
 _ANY = "coalesce(" + ", ".join(host(p) for p in SSHD) + ")"
 _IDX = "CASE " + " ".join(f"WHEN {host(p)} IS NOT NULL THEN {i}" for i, p in enumerate(SSHD)) + " END::INT"
@@ -128,6 +147,16 @@ SQL: dict[str, str] = {
       SELECT event_id, ban_time, CASE WHEN ban_time >= 0 THEN event_id + ban_time END AS expires_at FROM b""",
     "ban_timeline_bans": TIMELINE,
     "track_bans_stream": TIMELINE,
+    "ban_timeline_actions": all_actions(str(END)),
+    "track_actions_stream": all_actions("(SELECT max(ts) FROM failures)"),
+    "live_bans_stream": f"{LIVE} SELECT batch, ip, jail, banned_at, expires_at FROM b WHERE expires_at > w",
+    "live_rings_stream": f"""{LIVE}, s AS (SELECT batch, w, st.ip, r1[-1] AS n1, r2[-1] AS n2 FROM w JOIN ev ON ev.ts <= w JOIN st ON st.ip = ev.ip AND st.rn = ev.rn QUALIFY row_number() OVER (PARTITION BY batch, st.ip ORDER BY st.rn DESC) = 1)
+      SELECT batch, ip, 'sshd' AS jail, n1 AS newest FROM s WHERE n1 >= w - 86400 UNION ALL SELECT batch, ip, 'sshd-closed', n2 FROM s WHERE n2 >= w - 86400""",
+    "live_stats_stream": f"""{LIVE} SELECT batch, jail, (SELECT count(*) FROM b WHERE b.batch = j.batch AND b.jail = j.jail AND expires_at > w) AS active_bans, (SELECT count(*) FROM b WHERE b.batch = j.batch AND b.jail = j.jail) AS total_bans,
+      (SELECT count(*) FROM b WHERE b.batch = j.batch AND b.jail = j.jail AND expires_at <= w) AS total_unbans, (SELECT count(*) FROM failures f WHERE f.jail = j.jail AND ts <= j.w) AS total_failures FROM j""",
+    "late_rows_stream": f"WITH {ARRIVED} SELECT jail, ip, ts, seq FROM arrived WHERE late",
+    "late_totals_stream": f"WITH {ARRIVED} SELECT jail, count(*) FILTER (NOT late) AS in_time, count(*) FILTER (late) AS late FROM arrived GROUP BY jail",
+    "stream_totals": f"{LIVE} SELECT (SELECT count(*) FROM failures) AS read, count(*) AS bans, count(*) FILTER (expires_at <= w) AS unbans, 0::BIGINT AS late FROM b WHERE batch = 2",
     "escalation_level": f"""WITH {BANS}, g AS (SELECT *, CASE WHEN banned_at - lag(banned_at) OVER (PARTITION BY ip ORDER BY banned_at, jail) > 259200 THEN 1 ELSE 0 END AS new FROM bans),
       i AS (SELECT *, sum(new) OVER (PARTITION BY ip ORDER BY banned_at, jail ROWS UNBOUNDED PRECEDING) AS island FROM g) SELECT ip, jail, banned_at, row_number() OVER (PARTITION BY ip, island ORDER BY banned_at, jail) - 1 AS level FROM i""",
     "latest_ban": f"WITH {BANS} SELECT ip, jail, max(banned_at) AS banned_at, arg_max_null(expires_at, banned_at) AS expires_at FROM bans GROUP BY ip, jail",

@@ -1,13 +1,16 @@
 """The live tracker: failures and commands in, bans and unbans out, with one state per address.
 
-State per address: a map of rings and a map of bans by jail, and one value for count and last ban. Expiries are
-timers. Rows of one address in a micro-batch are taken in order of (ts, seq); dates may go back between batches, as
-in the batch timeline's arrival order.
+State per address: maps by jail of rings, of bans and of totals (failures, bans, unbans), and one value for count and
+last ban; ``streaming.live`` reads them while the tracker runs. Expiries are timers. Rows of one address in a micro-batch
+are taken in order of (ts, seq), so a trigger's size bounds what a task holds.
+
+Failures behind the watermark are not lost: the watermark moves by their dates, but the dated column does not reach
+the operator, so Spark drops none, and the tracker itself puts them out as actions ``late``, or takes them like others.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -24,14 +27,15 @@ _NAMES = [c.split()[0] for c in ACTIONS.split(", ")]
 class BanTracker(StatefulProcessor):
     """``step`` with its state in Spark's store; ``processing`` stamps bans with the wall clock, ``event`` with failures' dates."""
 
-    def __init__(self, jails: dict[str, Jail], decay: int, clock: str) -> None:
-        self.jails, self.decay, self.clock = jails, decay, clock
+    def __init__(self, jails: dict[str, Jail], decay: int, clock: str, behind: str = "late") -> None:
+        self.jails, self.decay, self.clock, self.behind = jails, decay, clock, behind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.rings = handle.getMapState("rings", "jail string", "ts array<long>")
         self.bans = handle.getMapState("bans", "jail string", "banned_at long, expires_at long")
         self.counted = handle.getValueState("counted", "count int, last_ban long")
+        self.totals = handle.getMapState("totals", "jail string", "failures long, bans long, unbans long")
 
     def _load(self) -> State:
         state = State()
@@ -64,14 +68,27 @@ class BanTracker(StatefulProcessor):
         for ms in {1000 * w for w in wanted} - old:
             self.handle.registerTimer(ms)
 
+    def _count(self, failed: Counter, actions: list[tuple]) -> None:
+        """Add to the totals of the jails that something happened in."""
+        acted = Counter((a[1], a[2]) for a in actions)
+        for jail in {*failed, *(jail for jail, action in acted if action in ("ban", "unban"))}:
+            old = self.totals.getValue((jail,)) if self.totals.exists() and self.totals.containsKey((jail,)) else (0, 0, 0)
+            self.totals.updateValue((jail,), (old[0] + failed[jail], old[1] + acted[jail, "ban"], old[2] + acted[jail, "unban"]))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, out = self._load(), []
+        state, out, failed = self._load(), [], Counter()
         now = timerValues.getCurrentProcessingTimeInMs() // 1000 if self.clock == "processing" else None
+        watermark = timerValues.getCurrentWatermarkInMs() if self.clock == "event" and self.behind == "late" else None
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"])  # one address in one micro-batch, bounded by its trigger
         for row in batch.itertuples(index=False):
+            if row.kind == "failure" and watermark is not None and 1000 * row.ts < watermark:
+                out.append((key[0], row.jail, "late", int(row.ts), None, None, "behind_watermark", None, int(row.seq)))
+                continue
+            failed[row.jail] += row.kind == "failure"
             wanted = None if pd.isna(row.ban_time) else int(row.ban_time)
             out += [(key[0], *a, int(row.seq)) for a in step(state, row.kind, row.jail, int(row.ts), self.jails, self.decay, wanted, now)]
         self._store(state)
+        self._count(+failed, out)
         self._timers(state, set(self.handle.listTimers()))
         if out:
             yield _frame(out, _NAMES)
@@ -82,6 +99,7 @@ class BanTracker(StatefulProcessor):
         for jail in [j for j, ring in state.rings.items() if max(ring) < now - self.jails[j].find_time]:
             del state.rings[jail]
         self._store(state)
+        self._count(Counter(), out)
         if out:
             yield _frame(out, _NAMES)
 
@@ -90,20 +108,31 @@ class BanTracker(StatefulProcessor):
 
 
 def track_bans(
-    failures: DataFrame, jails: Sequence[Jail], clock: str = "event", decay: int = DEFAULT_DECAY, commands: DataFrame | None = None, initial: DataFrame | None = None, late: str = "0 seconds"
+    failures: DataFrame,
+    jails: Sequence[Jail],
+    clock: str = "event",
+    decay: int = DEFAULT_DECAY,
+    commands: DataFrame | None = None,
+    initial: DataFrame | None = None,
+    late: str = "0 seconds",
+    behind: str = "late",
 ) -> DataFrame:
     """The stream of actions (as ``ban_timeline``) for a stream of failures; it needs the RocksDB state store.
 
     ``clock="event"`` fires expiries as the watermark passes them, ``"processing"`` by the wall clock. ``late`` is how
-    far behind the newest date rows may come; rows at or before the watermark, and those dated 0 for want of a date, are
-    dropped by Spark (see ``late_rows``). ``initial``: (ip, jail, banned_at, expires_at) to start with.
+    far behind the newest date of earlier micro-batches failures may come. Those further behind, and those dated 0 for
+    want of a date once the watermark has moved, come out as actions ``late`` and change no state (see
+    ``late_rows``); with ``behind="take"`` they are taken whatever their date. Commands are always taken. ``initial``:
+    (ip, jail, banned_at, expires_at) to start with.
     """
+    if behind not in ("late", "take"):
+        raise ValueError(f"behind must be late or take, not {behind}")
     known = {j.jail: j for j in jails if j.enabled}
-    rows = events(failures, commands).withColumn("event_ts", F.timestamp_seconds("ts"))
+    rows = events(failures, commands)
     if clock == "event":
-        rows = rows.withWatermark("event_ts", late)
+        rows = rows.withColumn("event_ts", F.timestamp_seconds("ts")).withWatermark("event_ts", late).drop("event_ts")
     start = initial.groupBy("ip") if initial is not None else None
-    tracker = SeededTracker(known, decay, clock) if initial is not None else BanTracker(known, decay, clock)
+    tracker = (SeededTracker if initial is not None else BanTracker)(known, decay, clock, behind)
     return rows.groupBy("ip").transformWithStateInPandas(
         statefulProcessor=tracker, outputStructType=ACTIONS, outputMode="Append", timeMode="EventTime" if clock == "event" else "ProcessingTime", initialState=start
     )
@@ -121,6 +150,7 @@ class SeededTracker(BanTracker):
         self._timers(state, set(self.handle.listTimers()))
 
 
-def late_rows(failures: DataFrame, watermark: int) -> tuple[DataFrame, DataFrame]:
-    """Failures in time and those before a watermark, which go to a side output instead of being lost."""
-    return failures.where(F.col("ts") >= watermark), failures.where(F.col("ts") < watermark)
+def late_rows(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two outputs of a tracker: what it did, and the failures (jail, ip, ts, seq) that came behind the watermark."""
+    late = actions.where("action = 'late'").select("jail", "ip", F.col("at").alias("ts"), F.col("event_seq").alias("seq"))
+    return actions.where("action <> 'late'"), late

@@ -4,14 +4,14 @@ import pathlib
 import re
 
 import __spark_entry__
-from banstream.plans.queries import QUERIES
+from banstream.plans import queries, streams
 from banstream.plans.sql import SQL
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
 
 
 def test_keys():
-    assert set(SQL) == set(QUERIES)
+    assert set(SQL) == set(queries.QUERIES) | set(streams.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
