@@ -15,6 +15,10 @@ from banstream.functions.rendering import verdict
 from banstream.jails import Jail
 
 
+#: The end of a ban that has none.
+FOREVER = (1 << 63) - 1
+
+
 def failure_counts(failures: DataFrame) -> DataFrame:
     return failures.groupBy("jail", "ip").agg(F.count(F.lit(1)).alias("failures"))
 
@@ -80,15 +84,22 @@ def dry_run(failures: DataFrame, jails: Sequence[Jail], order: Sequence[str] = (
 
 
 def suppress_banned(failures: DataFrame, bans: DataFrame, label: bool = False) -> DataFrame:
-    """Failures that no ban of their jail and address covers; with ``label`` all of them, and ``banned`` says which are covered."""
-    own = bans.select(F.col("ip").alias("_ip"), F.col("jail").alias("_jail"), "banned_at", "expires_at")
-    covered = (F.col("ip") == F.col("_ip")) & (F.col("jail") == F.col("_jail")) & (F.col("banned_at") <= F.col("ts")) & (
-        F.col("expires_at").isNull() | (F.col("ts") < F.col("expires_at"))
+    """Failures that no ban of their jail and address covers; with ``label`` all of them, and ``banned`` says which are covered.
+
+    Bans and failures of a jail and address are sorted together once: a failure is covered if the latest end of the
+    bans that began by then is still to come. A row without address, jail or date is covered by nothing.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in failures.columns])
+    fails = failures.select(F.col("ip").alias("_ip"), F.col("jail").alias("_jail"), F.col("ts").cast("long").alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast("long").alias("_until"), row.alias("_row"))
+    none = F.lit(None).cast(fails.schema["_row"].dataType)
+    until = F.coalesce(F.col("expires_at").cast("long"), F.lit(FOREVER))
+    began = bans.where("ip is not null and jail is not null and banned_at is not null").select(
+        F.col("ip").alias("_ip"), F.col("jail").alias("_jail"), F.col("banned_at").cast("long").alias("_at"), F.lit(0).alias("_turn"), until.alias("_until"), none.alias("_row")
     )
-    if not label:
-        return failures.join(own, covered, "left_anti")
-    hit = failures.join(own, covered, "left_semi").withColumn("banned", F.lit(True))
-    return failures.join(own, covered, "left_anti").withColumn("banned", F.lit(False)).unionByName(hit)
+    so_far = Window.partitionBy("_ip", "_jail").orderBy(F.col("_at").asc_nulls_first(), "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    swept = fails.unionByName(began).withColumn("_end", F.max("_until").over(so_far)).where("_turn = 1")
+    covered = F.coalesce(F.col("_end") > F.col("_at"), F.lit(False))
+    return swept.select("_row.*", covered.alias("banned")) if label else swept.where(~covered).select("_row.*")
 
 
 def with_params(failures: DataFrame, jails: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ class BanTracker(StatefulProcessor):
                 continue
             failed[row.jail] += row.kind == "failure"
             wanted = None if pd.isna(row.ban_time) else int(row.ban_time)
-            out += [(key[0], *a, int(row.seq)) for a in step(state, row.kind, row.jail, int(row.ts), self.jails, self.decay, wanted, now)]
+            out += [(key[0], *a, None if a[5] == "expired" else int(row.seq)) for a in step(state, row.kind, row.jail, int(row.ts), self.jails, self.decay, wanted, now)]
         self._store(state)
         self._count(+failed, out)
         self._timers(state, set(self.handle.listTimers()))

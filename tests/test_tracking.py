@@ -1,6 +1,7 @@
 """Thresholds, the ban timeline, its stream, state and reports."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,44 @@ def test_batch_timeline_is_the_replay(spark, many):
     assert ban_timeline(fails(spark, many[:0]), [A, B]).count() == 0
 
 
+@pytest.mark.parametrize("folded", [10_000, 3, 0])
+def test_timeline_from_hits_is_the_replay(spark, folded):
+    """Escalation over jails, permanent bans, single failures that ban, ties of dates, decay, and one hot address."""
+    draw = random.Random(folded)
+    own = [
+        A,
+        Jail("p", ("x <HOST>",), max_retry=4, find_time=400, ban_time=-1),
+        Jail("m", ("x <HOST>",), max_retry=1, find_time=5, ban_time=40, bantime_increment=True, bantime_multipliers=(1, 3), bantime_factor=1.5),
+        Jail("f", ("x <HOST>",), max_retry=2, find_time=20, ban_time=25),
+    ]
+    known = {j.jail: j for j in own}
+    rows = [(draw.choice(["a", "a", "a", "f", "f", "m", "p", "x"]), str(draw.choice([1, 1, 1, 1, 2, 3, 4, 5, 6])), 1000 + draw.randint(0, 4000)) for _ in range(900)]
+    states, want = {}, []
+    for i, (jail, ip, ts) in sorted(enumerate(rows), key=lambda r: (r[1][2], r[0])):
+        want += [(ip, *a, None if a[5] == "expired" else i) for a in step(states.setdefault(ip, State()), "failure", jail, ts, known, 500)]
+    last = want + [(ip, *a, None) for ip, s in states.items() for a in expire(s, 10**6, 500)]
+    data = fails(spark, rows).unionByName(spark.createDataFrame([("a", None, 5, 1), ("a", "1", None, 2)], "jail string, ip string, ts long, seq long"))
+    for until, expected in ((None, want), (10**6, last)):
+        got = ban_timeline(data, own, decay=500, until=until, folded=folded)
+        assert sorted(map(key, map(tuple, got.collect())), key=str) == sorted(map(key, expected), key=str)
+    assert {a[1] for a in want if a[2] == "ban"} == set(known) and max(a[7] or 0 for a in want) > 2
+    assert ban_timeline(data, [Jail("z", ("x <HOST>",), ban_time=1, bantime_increment=True, bantime_factor=0.1)]).count() == 0
+    assert ban_timeline(data, []).count() == 0
+
+
+def test_bans_cover_whatever_their_number(spark):
+    draw = random.Random(3)
+    made = [(draw.choice("ab"), draw.choice(["1", "2", None]), draw.choice([None, draw.randint(0, 300)]), i) for i in range(300)]
+    put = [(draw.choice(["1", "2", None]), draw.choice("ab"), at := draw.randint(0, 300), draw.choice([None, at, at + draw.randint(1, 30)]) if draw.random() < 0.9 else at + 1) for _ in range(25)]
+    put = [(ip, jail, at, until if i % 9 else until or at + 9) for i, (ip, jail, at, until) in enumerate(put)]
+    covered = {i for jail, ip, ts, i in made for bip, bjail, at, until in put if ip is not None and ts is not None and (bip, bjail) == (ip, jail) and at <= ts and (until is None or ts < until)}
+    df = spark.createDataFrame([(*r, "x") for r in made], "jail string, ip string, ts long, seq long, banned_at string")
+    bans_df = spark.createDataFrame(put, state.BANS).unionByName(spark.createDataFrame([("1", "a", None, None)], state.BANS))
+    kept = failures.suppress_banned(df, bans_df)
+    assert kept.columns == df.columns and {r["seq"] for r in kept.collect()} == set(range(300)) - covered and 0 < len(covered) < 300
+    assert {r["seq"] for r in failures.suppress_banned(df, bans_df, label=True).where("banned").collect()} == covered
+
+
 def test_stream_is_the_batch(spark, many, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     fails(spark, many).coalesce(1).write.parquet(str(tmp_path / "in"))
