@@ -12,11 +12,11 @@ from banstream.functions.addresses import ip_family, ip_hex, is_ip, parse_ip
 from banstream.functions.columns import once
 from banstream.functions.times import line_ts
 from banstream.jails import Jail
-from banstream.operators.patterns import expand_host, guards, host_extractor, host_group_index, literal_prefix
+from banstream.operators.patterns import GRAM, NO_WORD, expand_host, guards, host_extractor, host_group_index, index_keys, literal_prefix
 
 MAX_LINE_BYTES = 65536
-#: Rules that a table of patterns may have.
-MAX_RULES = 10_000
+#: Parts of the lines that rules without a literal are copied to.
+SHARES = 64
 
 
 def bound_lines(lines: DataFrame, max_bytes: int = MAX_LINE_BYTES, line: str = "line") -> DataFrame:
@@ -203,16 +203,43 @@ def _positional(lines: DataFrame, patterns: tuple[str, ...], line: str) -> DataF
     return picked.withColumns({"ip": F.col("_hit.ip"), "pattern_idx": F.col("_hit.pattern_idx")}).drop("_hit", "_spans", "_ranks", "_order")
 
 
+def _rule_keys(patterns: DataFrame) -> DataFrame:
+    """(pattern_idx, regex, host_group, kind, key): a rule under each of its keys, or under all of ``SHARES`` if it has none."""
+
+    @F.pandas_udf("array<struct<kind: string, key: string>>")
+    def keys(regexes: pd.Series) -> pd.Series:
+        every = [{"kind": "any", "key": str(i)} for i in range(SHARES)]
+        return regexes.map(lambda r: [{"kind": k, "key": t} for k, t in index_keys(r)] or every)
+
+    return patterns.select("pattern_idx", "regex", "host_group", F.inline(keys("regex")))
+
+
+def _line_keys(line: str, kinds: set[str]) -> Column:
+    """All keys of a line, of the kinds that rules have."""
+    text = F.col(line)
+    words = F.filter(F.split(text, NO_WORD), lambda w: w.rlike("[^0-9]"))
+    ends = F.char_length(text) - GRAM + 1
+    grams = F.when(ends > 0, F.transform(F.sequence(F.lit(1), ends), lambda i: F.substring(text, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+    share = F.array(F.pmod(F.xxhash64(text), F.lit(SHARES)).cast("string"))
+    of_kind = lambda kind, found: F.transform(F.array_distinct(found), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    return F.concat(*[of_kind(n, c) for n, c in (("word", words), ("gram", grams), ("any", share)) if n in kinds])
+
+
 def match_dynamic(lines: DataFrame, patterns: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
-    """Match against a table (pattern_idx, regex, host_group) that is only known when the query runs.
+    """Match against a table (pattern_idx, regex, host_group) of any size that is only known when the query runs.
 
-    Every line meets every rule once and the first rule with a valid address counts. A rule table of more than
-    ``MAX_RULES`` rows is refused, so what is broadcast has a bound.
+    Rules are indexed by a word or gram of each literal that they need, lines meet them by equality of these, and only
+    such candidates are tried. A rule that needs no literal meets every line: it stands once in each of ``SHARES``
+    parts of the lines. The first rule with a valid address counts; of lines with the same ``keys`` any may.
     """
-    if len(patterns.take(MAX_RULES + 1)) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    hits = lines.join(F.broadcast(patterns), F.expr(f"{line} rlike regex"))
-    named = hits.withColumn("token", F.expr(f"regexp_extract({line}, regex, host_group)")).where(is_ip(F.col("token")))
+    rules = _rule_keys(patterns)
+    kinds = {r["kind"] for r in rules.select("kind").distinct().collect()}
+    if not kinds:
+        return lines.select(*keys).limit(0).select(*keys, F.lit(0).alias("pattern_idx"), F.lit("").alias("ip"))
+    keyed = lines.select(*keys, F.col(line).alias("_line"), F.inline(_line_keys(line, kinds)))
+    tried = keyed.join(rules, ["kind", "key"]).where(F.expr("_line rlike regex"))
+    # the generator keeps the host's expression behind the match
+    named = once(tried.select(*keys, "pattern_idx", "_line", "regex", "host_group"), token=F.expr("regexp_extract(_line, regex, host_group)")).where(is_ip(F.col("token")))
     first = named.groupBy(*keys).agg(F.min_by("token", "pattern_idx").alias("token"), F.min("pattern_idx").alias("pattern_idx"))
     return first.withColumn("ip", parse_ip(F.col("token"))).drop("token")
 

@@ -87,6 +87,32 @@ def _guards(items) -> tuple[str, ...]:
     return max((o for o in options if o), key=lambda o: (min(map(len, o)), -len(o)), default=())
 
 
+_WORD = "A-Za-z0-9_"
+#: What divides a line into words.
+NO_WORD = f"[^{_WORD}]+"
+#: Characters of a gram.
+GRAM = 5
+
+
+def index_keys(regex: str) -> tuple[tuple[str, str], ...]:
+    """Keys (kind, text) of which every line that an expanded expression matches holds at least one; none if unknown.
+
+    For each literal that guards it: ``word``, a whole word inside it that is not a number, or else ``gram``, its first
+    characters.
+    """
+    try:
+        tree = _parser.parse(regex.removeprefix("(?d)"))
+    except re.error:  # what only Java understands
+        return ()
+    out = []
+    for text in () if tree.state.flags & re.IGNORECASE else _guards(tree):
+        words = [w for w in re.findall(f"(?<=[^{_WORD}])[{_WORD}]{{3,}}(?=[^{_WORD}])", text) if not w.isdigit()]
+        if not words and len(text) < GRAM:
+            return ()
+        out.append(("word", max(words, key=len)) if words else ("gram", text[:GRAM]))
+    return tuple(dict.fromkeys(out))
+
+
 def required_literal(pattern: str) -> str | None:
     """The literal that every match holds for certain, or None where there is none or several stand for each other."""
     found = guards(pattern)

@@ -19,7 +19,7 @@ def dry_run_log(spark: SparkSession, paths: str | Sequence[str], jails: Sequence
     """(summary, offenders) of logs by every enabled jail.
 
     ``compat`` leaves the jails' ignoreregex out, as older tools do here. A line without a date counts at 0.
-    Order is that of dates, then of texts, since the lines of a split file have no numbers.
+    Failures count in the order in which their lines stand, file by file, whatever their dates.
     """
     own = [replace(j, ignoreregex=()) if compat else j for j in jails if j.enabled]
     ref = F.lit(ref_ts) if ref_ts is not None else None
@@ -27,4 +27,4 @@ def dry_run_log(spark: SparkSession, paths: str | Sequence[str], jails: Sequence
     for cidrs, ignoreself in {(j.ignoreip, j.ignoreself) for j in own}:
         names = [j.jail for j in own if (j.ignoreip, j.ignoreself) == (cidrs, ignoreself)]
         found = drop_allowlisted(found, cidrs, ignoreself=ignoreself, only=F.col("jail").isin(names))
-    return dry_run(found.select("jail", "ip", jail_ts(own, ref_ts=ref).alias("ts"), F.col("line").alias("seq")), jails)
+    return dry_run(found.select("jail", "ip", jail_ts(own, ref_ts=ref).alias("ts"), "source", "seq"), jails, ("source", "seq"))

@@ -14,7 +14,8 @@ from banstream.operators.patterns import expand_host, host_group_index
 from banstream.operators.timeline import ban_rows, ban_timeline
 from banstream.plans.lines import CLOSED, END, JAILS, NOW, QUIET, SSHD, address, events_of, failures_of, log_lines, networks
 from banstream.jails import jails_frame
-from banstream.sources import state
+from banstream.plans.dry_run import dry_run_log
+from banstream.sources import logs, state
 from banstream.sources.catalog import FILTERS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +98,44 @@ def route_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.groupBy("jail").agg(F.count(F.lit(1)).alias("lines"), F.min("seq").alias("first_seq"))
 
 
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every user, of which one in ten needs no literal, behind the built-in ones."""
+    built = spark.createDataFrame([(i, expand_host(p), host_group_index(p)) for i, p in enumerate(FILTERS["sshd"].patterns[2:])], "pattern_idx int, regex string, host_group int")
+    user = events_of(spark, sf_dir).select(F.col("user_id").alias("u")).distinct()
+    text = F.concat(F.lit(": Failed password for user"), F.col("u").cast("string"), F.lit(" from "))
+    loose = F.concat(F.lit("user[0-9]*"), (F.col("u") % 10).cast("string"), F.lit(" from "))
+    host = expand_host("<HOST>").removeprefix("(?d)")
+    own = user.select((F.col("u") + 100).cast("int").alias("pattern_idx"), F.concat(F.when(F.col("u") % 10 == 0, loose).otherwise(text), F.lit(host)).alias("regex"), F.lit(1).alias("host_group"))
+    return built.unionByName(own)
+
+
+@query
+def match_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that are rows of a table made from the data: their literals are indexed, and lines meet them by words."""
+    return matching.match_dynamic(log_lines(spark, sf_dir), _rules(spark, sf_dir), ["seq"])
+
+
+@query
+def log_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as four files, and where each line of them stands."""
+    lines = logs.read_log_lines(spark, _log_files(spark, sf_dir))
+    return lines.select(F.regexp_extract("source", "part=([0-9])", 1).cast("int").alias("part"), "seq", F.regexp_extract("line", r"\[([0-9]+)\]", 1).cast("long").alias("event_id"))
+
+
+def _log_files(spark: SparkSession, sf_dir: str) -> str:
+    """The log as four files in which dates go back and forth."""
+    folder = state.work_folder(spark, "log")
+    lines = log_lines(spark, sf_dir).select((F.col("seq") % 4).alias("part"), (F.col("seq") * 7919 % 10007).alias("place"), "seq", "line")
+    lines.repartition(4, "part").sortWithinPartitions("part", "place", "seq").select("part", F.col("line").alias("value")).write.partitionBy("part").text(folder)
+    return folder
+
+
+@query
+def dry_run_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dry run over those files, failures in the order of their lines."""
+    return dry_run_log(spark, _log_files(spark, sf_dir), JAILS)[1]
+
+
 @query
 def ignore_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.ignore_lines(log_lines(spark, sf_dir), (r"user\d*7 ", r"Accepted \w+ for")).select("seq", "line")

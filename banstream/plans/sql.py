@@ -108,6 +108,14 @@ SQL: dict[str, str] = {
     "match_positional": f"WITH {lines()} SELECT seq, {_ANY} AS ip, {_IDX} AS pattern_idx FROM lines WHERE {_ANY} IS NOT NULL",
     "match_all_jails": f"WITH {FAILURES} SELECT jail, seq, ip, pattern_idx FROM failures",
     "match_dynamic": f"WITH {lines()} SELECT seq, {_ANY} AS ip, {_IDX} AS pattern_idx FROM lines WHERE {_ANY} IS NOT NULL",
+    "match_rule_table": f"""WITH {lines()}, m AS (SELECT seq, {host(SSHD[2])} AS h2, {host(SSHD[3])} AS h3, regexp_extract(line, ' from ([0-9.]+)', 1) AS ip, regexp_extract(line, ': Failed password for user([0-9]+) from ', 1) AS failed,
+        regexp_extract(line, 'user[0-9]*([0-9]) from ', 1) AS digit FROM lines), u AS (SELECT DISTINCT user_id AS u FROM events),
+      loose AS (SELECT (u % 10)::VARCHAR AS digit, min(u) + 100 AS idx FROM u WHERE u % 10 = 0 GROUP BY 1)
+      SELECT seq, coalesce(h2, h3, ip) AS ip, CASE WHEN h2 IS NOT NULL THEN 0 WHEN h3 IS NOT NULL THEN 1 ELSE least(idx, CASE WHEN failed <> '' AND failed::BIGINT % 10 <> 0 THEN failed::BIGINT + 100 END) END::INT AS pattern_idx
+      FROM m LEFT JOIN loose USING (digit) WHERE coalesce(h2, h3) IS NOT NULL OR idx IS NOT NULL OR (failed <> '' AND failed::BIGINT % 10 <> 0)""",
+    "log_line_numbers": "SELECT (event_id % 4)::INT AS part, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id * 7919 % 10007, event_id) - 1 AS seq, event_id FROM events",
+    "dry_run_offenders": f"""WITH {HITS.replace("PARTITION BY jail, ip ORDER BY ts, seq", "PARTITION BY jail, ip ORDER BY seq % 4, seq * 7919 % 10007, seq")} SELECT jail, ip, failures,
+      CASE WHEN would_ban THEN 'WOULD BAN' WHEN failures < 3 THEN (3 - failures) || ' more to ban' ELSE 'spread beyond 86400s window' END AS verdict FROM judged ORDER BY failures DESC, jail, ip""",
     "route_lines": f"WITH {lines()} SELECT jail, count(*) AS lines, min(seq) AS first_seq FROM lines, (VALUES ('sshd'), ('sshd-closed')) j(jail) GROUP BY jail",
     "ignore_lines": f"WITH {lines()} SELECT seq, line FROM lines WHERE NOT regexp_matches(line, 'user\\d*7 ') AND NOT regexp_matches(line, 'Accepted \\w+ for')",
     "bounded_lines": "SELECT doc_id, strlen(text)::INT AS bytes FROM documents WHERE strlen(text) <= 2000",

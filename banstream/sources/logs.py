@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from banstream.functions.addresses import ip_family, ip_hex
@@ -17,10 +17,18 @@ JOURNAL = "MESSAGE string, SYSLOG_IDENTIFIER string, _PID string, _HOSTNAME stri
 
 
 def read_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(source, line) of logs, split at line feeds only, bytes that are no UTF-8 replaced. Files have no line numbers
-    once they are split: order by the date that a line carries."""
+    """(source, seq, line) of logs, split at line feeds only, bytes that are no UTF-8 replaced; ``seq`` is a line's place in its file, from 0.
+
+    Spark cuts a file into splits and reads the lines of each in order. A first scan counts the lines of every split;
+    sums over the splits before it, by where these begin in the file, place its first line. No line is moved or sorted.
+    Both scans number rows in the order of the same splits, so files must not change meanwhile.
+    """
     raw = spark.read.option("lineSep", "\n").text(list(paths) if not isinstance(paths, str) else paths)
-    return raw.select(F.col("_metadata.file_path").alias("source"), F.make_valid_utf8("value").alias("line"))
+    placed = raw.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.make_valid_utf8("value").alias("line"))
+    splits = placed.groupBy("source", "_split").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("source").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("source", "_split", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(starts, ["source", "_split"]).select("source", (F.col("_row") + F.col("_shift")).alias("seq"), "line")
 
 
 def stream_log_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:

@@ -1,5 +1,6 @@
 """Patterns, matching, allow-lists and the rule catalog."""
 
+import random
 import re
 
 import pytest
@@ -7,18 +8,19 @@ from pyspark.sql import functions as F
 
 from banstream.jails import Jail, jails_frame
 from banstream.operators import allowlist, matching
-from banstream.operators.patterns import expand_host, host_extractor, host_group_index, literal_prefix, required_literal
+from banstream.operators.patterns import expand_host, host_extractor, host_group_index, index_keys, literal_prefix, required_literal
 from banstream.plans.dry_run import dry_run_log
 from banstream.sources.catalog import FILTERS
-from banstream.sources.logs import filter_catalog
+from banstream.sources.logs import filter_catalog, read_log_lines
 
 LOG = [
-    "Jan 15 10:30:00 a sshd[1]: Accepted publickey for x from 10.0.0.1 port 22 ssh2",
-    *[f"Jan 15 10:30:0{i} a sshd[2]: Failed password for root from 192.168.1.100 port 22 ssh2" for i in range(1, 6)],
-    "Jan 15 10:30:10 a sshd[3]: Invalid user x from 10.20.30.40 port 22 ssh2",
-    "Jan 15 10:30:20 a sshd[4]: Connection closed by authenticating user root 172.16.0.5 port 22",
+    "Mar  3 23:58:40 gate sshd[70]: Invalid user oracle from 198.51.100.9 port 40122",
+    "Mar  3 23:59:50 gate sshd[71]: Accepted password for deploy from 192.0.2.77 port 50505 ssh2",
+    *[f"Mar  4 00:0{i}:15 gate sshd[72]: Failed password for mail from 203.0.113.250 port 5{i}000 ssh2" for i in range(3)],
+    "\0 no \t service",
+    "Mar  4 00:07:00 gate sshd[73]: Connection closed by authenticating user git 198.51.100.201 port 61000 [preauth]",
     "",
-    "\0 odd   line",
+    "Mar  4 00:09:59 gate sshd[74]: Invalid user pi from 198.51.100.9 port 40999",
 ]
 
 
@@ -59,21 +61,21 @@ def test_every_rule_compiles_and_is_unique(spark):
 def test_match_modes(spark):
     jail = Jail("sshd", FILTERS["sshd"].patterns)
     df = lines(spark, LOG)
-    want = [(i, "192.168.1.100") for i in range(1, 6)] + [(6, "10.20.30.40"), (7, "172.16.0.5")]
+    want = [(0, "198.51.100.9"), *((i, "203.0.113.250") for i in (2, 3, 4)), (6, "198.51.100.201"), (8, "198.51.100.9")]
     assert ips(matching.match_lines(df, jail)) == want
     assert ips(matching.match_lines(df, jail, extractor="positional")) == want
 
 
 def test_many_jails_in_one_scan(spark):
     jails = [Jail(f"j-{f.name}", f.patterns, log_path="a" if f.name == "sshd" else "b") for f in list(FILTERS.values())[:9]]
-    jails += [Jail("sshd-again", FILTERS["sshd"].patterns[::-1], log_path="a", ignoreregex=("from 10[.]",))]
+    jails += [Jail("sshd-again", FILTERS["sshd"].patterns[::-1], log_path="a", ignoreregex=("from 198[.]51",))]
     texts = [*LOG, *["dovecot: imap-login: auth failed, rip=1.2.3.4, x", "sshd[1]: Failed password for x from 999.1.1.1 port 22"] * 2]
     df = lines(spark, texts).withColumn("source", F.when(F.col("seq") % 2 == 0, "a").otherwise("b"))
     alone = sorted(
         (j.jail, r["seq"], r["ip"], r["pattern_idx"]) for j in jails for r in matching.match_lines(df.where(F.col("source") == j.log_path), j).select("seq", "ip", "pattern_idx").collect()
     )
     found = matching.match_all(df, jails)
-    assert sorted(map(tuple, found.select("jail", "seq", "ip", "pattern_idx").collect())) == alone and len(alone) == 5
+    assert sorted(map(tuple, found.select("jail", "seq", "ip", "pattern_idx").collect())) == alone and len(alone) == 8
     assert found._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
 
 
@@ -120,7 +122,80 @@ def test_jails_refuse_what_cannot_work(spark):
 
 def test_dry_run(spark, tmp_path):
     (tmp_path / "auth.log").write_bytes("\n".join(LOG).encode() + b"\n\xff bad bytes\n")
-    jails = [Jail("sshd", FILTERS["sshd"].patterns, max_retry=5)]
-    summary, top = dry_run_log(spark, str(tmp_path / "auth.log"), jails, ref_ts=1705363200)
-    assert summary.first().asDict() == {"jail": "sshd", "patterns": 4, "max_retry": 5, "find_time": 600, "ban_time": 3600, "matches": 7, "unique_ips": 3, "would_ban": 1}
-    assert [(r["ip"], r["failures"], r["verdict"]) for r in top.collect()] == [("192.168.1.100", 5, "WOULD BAN"), ("10.20.30.40", 1, "4 more to ban"), ("172.16.0.5", 1, "4 more to ban")]
+    jails = [Jail("sshd", FILTERS["sshd"].patterns, max_retry=3, find_time=120)]
+    summary, top = dry_run_log(spark, str(tmp_path / "auth.log"), jails, ref_ts=1709683200)
+    assert summary.first().asDict() == {"jail": "sshd", "patterns": 4, "max_retry": 3, "find_time": 120, "ban_time": 3600, "matches": 6, "unique_ips": 3, "would_ban": 1}
+    assert [(r["ip"], r["failures"], r["verdict"]) for r in top.collect()] == [("203.0.113.250", 3, "WOULD BAN"), ("198.51.100.9", 2, "1 more to ban"), ("198.51.100.201", 1, "2 more to ban")]
+
+
+@pytest.fixture
+def small_splits(spark):
+    own = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "2"}
+    old = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+def test_lines_of_split_files_have_their_place(spark, tmp_path, small_splits):
+    draw = random.Random(8)
+    files = {n: ["x" * draw.choice([0, 1, 5, 40, 700]) + f" {i}" if draw.random() < 0.9 else "" for i in range(size)] for n, size in (("a", 200), ("b", 1), ("c", 57), ("d", 0))}
+    for name, texts in files.items():
+        (tmp_path / name).write_text("".join(t + "\n" for t in texts))
+    got = read_log_lines(spark, [str(tmp_path / n) for n in files])
+    rows = sorted((r["source"][-1], r["seq"], r["line"]) for r in got.collect())
+    assert rows == [(n, i, t) for n, texts in files.items() for i, t in enumerate(texts)]
+    assert spark.read.text(str(tmp_path / "a")).rdd.getNumPartitions() > 20  # it was cut
+
+
+def test_dry_run_counts_in_the_order_of_lines(spark, tmp_path, small_splits):
+    """Dates go back and forth; only the order of the lines makes three of one address a ban."""
+    stamps = ["00:00", "09:00", "00:10", "08:59", "08:58", "01:00", "20:00", "03:00"]
+    texts = [f"2024-03-04T{t}:00Z gate sshd[1]: Failed password for x from 192.0.2.{1 + i // 5} port 1 ssh2" for i, t in enumerate(stamps)]
+    (tmp_path / "auth.log").write_text("".join(f"{t}\n2024-03-04T05:00:00Z gate CRON[2]: {'y' * 250}\n" for t in texts))
+    _, top = dry_run_log(spark, str(tmp_path), [Jail("sshd", FILTERS["sshd"].patterns, max_retry=3, find_time=60, date_format="iso8601")])
+    ring = lambda own: any(own[i] - own[i - 2] <= 60 for i in range(2, len(own)))
+    seconds = [3600 * int(t[:2]) + 60 * int(t[3:]) for t in stamps]
+    want = {"192.0.2.1": ring(seconds[:5]), "192.0.2.2": ring(seconds[5:])}
+    assert {r["ip"]: r["verdict"] == "WOULD BAN" for r in top.collect()} == want and set(want.values()) == {True, False}
+
+
+def test_keys_of_rules():
+    assert index_keys(expand_host(": Failed password for <HOST>")) == (("word", "password"),)
+    assert index_keys("(?d)( one two | four five six ) x") == (("word", "two"), ("word", "five"))  # the parser takes the common space out
+    assert index_keys("authfail=1 ") == (("gram", "authf"),)
+    assert index_keys("a 123 4567 b") == (("gram", "a 123"),)
+    assert index_keys("abc") == index_keys("(?i)failed for x") == index_keys("x*") == index_keys(r"(?<a>x)\p{Alpha}++ long text") == ()
+
+
+def test_rule_tables_of_any_size(spark):
+    """Words, grams, alternatives, rules without a literal, ties of rules, and more of them than a plan could hold."""
+    draw = random.Random(5)
+    host = expand_host("<HOST>").removeprefix("(?d)")
+    names = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    shapes = [" bad {0} from ", "x={0}:", "( {0} one|two {0} ) ?", "(?i) {0}", "[0-9]{{3}} {0}?", "é{0}é"]
+    rules = [(i, "(?d)" + draw.choice(shapes).format(draw.choice(names)) + host) for i in range(400)]
+    rules = [(i, r, 2 if "one|two" in r else 1) for i, r in rules]
+    forms = ["log bad {0} from {1}", "y x={0}:{1}", "two {0} {1}", " {0} one{1}", "a {0}{1}", "404 {0}{1}", "é{0}é{1}", "{0} {1}"]
+    texts = [draw.choice(forms).format(draw.choice(names), draw.choice(["10.1.2.3", "999.1.1.1", "1.2.3.4", "none"])) for _ in range(500)]
+    texts += ["", None, "🦀 bad"]
+    lines_df = spark.createDataFrame(list(enumerate(texts)), "seq int, line string")
+
+    def found(text):
+        for i, regex, group in rules:
+            m = re.search(regex.removeprefix("(?d)"), text or "")
+            if m and re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", m[group]) and all(int(x) < 256 for x in m[group].split(".")):
+                return i, m[group]
+
+    want = {(i, *hit) for i, t in enumerate(texts) if (hit := found(t))}
+    got = matching.match_dynamic(lines_df, spark.createDataFrame(rules, "pattern_idx int, regex string, host_group int"), ["seq"])
+    assert {(r["seq"], r["pattern_idx"], r["ip"]) for r in got.collect()} == want and len(want) > 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    many = spark.range(50_000).select(F.col("id").cast("int").alias("pattern_idx"), F.concat(F.lit("user w"), F.col("id").cast("string"), F.lit(f" from {host}")).alias("regex"), F.lit(1).alias("host_group"))
+    few = spark.createDataFrame([(i, f"user w{i * 999} from 10.0.0.{i}") for i in range(60)], "seq int, line string")
+    got = matching.match_dynamic(few, many, ["seq"]).collect()
+    assert {(r["seq"], r["pattern_idx"], r["ip"]) for r in got} == {(i, i * 999, f"10.0.0.{i}") for i in range(60) if i * 999 < 50_000}
+    assert matching.match_dynamic(few, many.limit(0), ["seq"]).count() == 0
