@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from banstream.functions.addresses import ip_family, ip_hex, local_networks, parse_cidr, parse_ip
@@ -61,24 +62,59 @@ def _cut(digits: str, family: int, length: int) -> Column:
     return F.rpad(head, 32, "0")
 
 
-def network_hits(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(ip, lo, family, prefix) for every network (family, lo, prefix) that holds an address of (ip).
+#: Hex digits of an address that name its bucket: a /16 of IPv4, a /48 of IPv6.
+BUCKET = {4: 28, 6: 12}
 
-    An address has one key for every prefix length that the networks use, and meets them by an equi-join; at most
-    162 lengths exist, and they are all that comes to the driver.
+
+def _holders(rows: DataFrame, digits: str, nets: DataFrame, lengths: Sequence[tuple[int, int]], shorter: Column | None = None) -> DataFrame:
+    """The most specific network that holds each row (family, ``digits``) with one of some prefix lengths, as ``holder``; rows without one are left out."""
+    keys = [F.when((F.col("family") == fam) & (F.lit(True) if shorter is None else F.lit(n) < shorter), F.struct(F.lit(n).alias("prefix"), _cut(digits, fam, n).alias("lo"))) for fam, n in lengths]
+    spread = rows.withColumn("_k", F.explode(F.array_compact(F.array(*keys)))).select(*rows.columns, F.col("_k.prefix").alias("_prefix"), F.col("_k.lo").alias("_lo"))
+    own = nets.select(F.col("family").alias("_family"), F.col("prefix").alias("_net"), F.col("lo").alias("_start"))
+    found = spread.join(own, (F.col("family") == F.col("_family")) & (F.col("_prefix") == F.col("_net")) & (F.col("_lo") == F.col("_start")))
+    return found.groupBy(*rows.columns).agg(F.max_by(F.struct(F.col("_prefix").alias("prefix"), F.col("_lo").alias("lo")), "_prefix").alias("holder"))
+
+
+def innermost(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(ip, family, prefix, lo): the most specific network (family, lo, hi, prefix) that holds each address of (ip), for those that have one.
+
+    Networks lie in each other or apart, so they cut the addresses into ranges that each have one innermost network:
+    it changes to a network where that starts, and back to the one around it where it ends. Starts, ends and addresses
+    of a bucket are sorted together, and an address takes what was said last before it: one row for each address.
+    Networks wider than a bucket neither start nor end in one; the innermost of these is looked up once for each
+    bucket. Only the prefix lengths in use, 162 at most, come to the driver.
     """
-    lengths = sorted((r["family"], r["prefix"]) for r in ranges.select("family", "prefix").distinct().collect())
-    own = once(addresses.select("ip").where("ip is not null").distinct(), _family=ip_family(F.col("ip")), _hex=ip_hex(F.col("ip")))
-    keys = [F.when(F.col("_family") == fam, F.struct(F.lit(fam).cast("tinyint").alias("family"), F.lit(n).alias("prefix"), _cut("_hex", fam, n).alias("lo"))) for fam, n in lengths]
-    if not keys:
-        return own.select("ip", F.col("_hex").alias("lo"), F.col("_family").alias("family"), F.lit(0).alias("prefix")).where(F.lit(False))
-    spread = own.select("ip", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("ip", "k.*")
-    return spread.join(ranges.select("family", "prefix", "lo").distinct(), ["family", "prefix", "lo"]).select("ip", "lo", "family", "prefix")
+    nets = ranges.select("family", "prefix", "lo", "hi").distinct()
+    lengths = sorted((r["family"], r["prefix"]) for r in nets.select("family", "prefix").distinct().collect())
+    own = once(addresses.select("ip").where("ip is not null").distinct(), family=ip_family(F.col("ip")), _hex=ip_hex(F.col("ip")))
+    wide = [(f, n) for f, n in lengths if n + (96 if f == 4 else 0) <= 4 * BUCKET[f]]
+    narrow = [x for x in lengths if x not in wide]
+    digits = lambda c: F.when(F.col("family") == 4, F.substring(c, 1, BUCKET[4])).otherwise(F.substring(c, 1, BUCKET[6]))
+    net = "struct<prefix: int, lo: string>"
+    none = F.lit(None).cast(net)
+    at = own.select("family", digits("_hex").alias("bucket"), F.col("_hex").alias("key"), F.lit(500).alias("turn"), "ip", F.lit(None).cast(f"struct<net: {net}>").alias("change"), none.alias("around"))
+    parts = [at]
+    if narrow:
+        small = nets.where((F.col("prefix") + F.when(F.col("family") == 4, 96).otherwise(0)) > F.when(F.col("family") == 4, 4 * BUCKET[4]).otherwise(4 * BUCKET[6]))
+        outer = _holders(small, "lo", small, narrow, F.col("prefix")).select("family", "prefix", "lo", "holder")
+        known = small.join(outer, ["family", "prefix", "lo"], "left")
+        # of what starts at one place the inner comes last, of what ends there the outer
+        start = F.struct(F.col("lo").alias("key"), F.col("prefix").alias("turn"), F.struct(F.struct("prefix", "lo").cast(net).alias("net")).alias("change"))
+        end = F.struct(F.concat("hi", F.lit("g")).alias("key"), (F.lit(1000) - F.col("prefix")).alias("turn"), F.struct(F.col("holder").cast(net).alias("net")).alias("change"))
+        parts.append(known.select("family", digits("lo").alias("bucket"), F.inline(F.array(start, end))).select("family", "bucket", "key", "turn", F.lit(None).cast("string").alias("ip"), "change", none.alias("around")))
+    if wide:
+        buckets = at.select("family", "bucket").distinct().withColumn("_all", F.rpad("bucket", 32, "0"))
+        seeds = _holders(buckets, "_all", nets, wide)
+        parts.append(seeds.select("family", "bucket", F.lit("").alias("key"), F.lit(0).alias("turn"), F.lit(None).cast("string").alias("ip"), F.lit(None).cast(f"struct<net: {net}>").alias("change"), F.col("holder").cast(net).alias("around")))
+    so_far = Window.partitionBy("family", "bucket").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    swept = reduce(DataFrame.unionByName, parts).withColumns({"_last": F.last("change", ignorenulls=True).over(so_far), "_seed": F.last("around", ignorenulls=True).over(so_far)})
+    found = swept.where("ip is not null").select("ip", "family", F.coalesce("_last.net", "_seed").alias("n"))
+    return found.where("n is not null").select("ip", "family", "n.prefix", "n.lo")
 
 
 def drop_in_networks(failures: DataFrame, ranges: DataFrame, only: Column | None = None) -> DataFrame:
     """Drop addresses inside any range of a table (family, lo, hi, prefix) of any size; rows without an address stay."""
-    held = network_hits(failures, ranges).select(F.col("ip").alias("_held")).distinct()
+    held = innermost(failures, ranges).select(F.col("ip").alias("_held"))
     same = F.col("ip") == F.col("_held")
     return failures.join(held, same if only is None else same & only, "left_anti").select(failures.columns)
 
@@ -88,6 +124,6 @@ def enrich_geo(bans: DataFrame, networks: DataFrame, fields: Sequence[str]) -> D
 
     ``networks`` has family, lo, prefix and the attributes; of a network given twice the least attributes count.
     """
-    best = network_hits(bans, networks).groupBy("ip").agg(F.max_by(F.struct("family", "prefix", "lo"), "prefix").alias("n")).select("ip", "n.*")
+    best = innermost(bans, networks)
     known = networks.groupBy("family", "prefix", "lo").agg(F.min(F.struct(*fields)).alias("f")).select("family", "prefix", "lo", "f.*")
     return bans.join(best.join(known, ["family", "prefix", "lo"]).select("ip", *fields), "ip", "left")

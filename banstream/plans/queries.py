@@ -39,6 +39,13 @@ def _bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _failures(spark, sf_dir).where("seq % 3 = 0").select("ip", "jail", F.col("ts").alias("banned_at"), until.alias("expires_at"))
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table, for what reads them more than once."""
+    path = state.work_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bans, and the unbans of those that ended by ``NOW``."""
     b = _bans(spark, sf_dir)
@@ -236,7 +243,7 @@ def allowlist_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def geo_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     nets = allowlist.network_ranges(networks(spark, sf_dir))
-    return allowlist.enrich_geo(_bans(spark, sf_dir), nets, ("asn", "country")).select("ip", "jail", "banned_at", "asn", "country")
+    return allowlist.enrich_geo(_kept(_bans(spark, sf_dir), "bans"), nets, ("asn", "country")).select("ip", "jail", "banned_at", "asn", "country")
 
 
 @query

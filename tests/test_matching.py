@@ -1,5 +1,6 @@
 """Patterns, matching, allow-lists and the rule catalog."""
 
+import ipaddress
 import random
 import re
 
@@ -112,6 +113,29 @@ def test_allow_lists(spark):
     assert [r["ip"] for r in allowlist.drop_in_networks(fails, nets).collect()] == ["127.0.0.1", None]
 
 
+def test_innermost_networks(spark):
+    """Nested over many levels, equal, touching, wider and narrower than a bucket, both families."""
+    draw = random.Random(2)
+    v4 = [f"10.{draw.randint(0, 2)}.{draw.randint(0, 3)}.{draw.randint(0, 255)}/{draw.choice([8, 14, 15, 16, 17, 20, 23, 24, 25, 28, 30, 31, 32])}" for _ in range(150)]
+    v6 = [f"2001:db8:{draw.randint(0, 1)}:{draw.choice([0, 0xFFFF]):x}::{draw.randint(0, 3):x}/{draw.choice([0, 31, 32, 47, 48, 49, 64, 120, 126, 127, 128])}" for _ in range(80)]
+    nets = [ipaddress.ip_network(n, strict=False) for n in {*v4, *v6, "10.0.0.0/16", "10.0.0.0/17", "10.0.128.0/17", "10.0.255.255/32", "255.255.255.255/32"}]
+    ips = {str(a) for n in nets for a in (n[0], n[-1], n[draw.randrange(min(n.num_addresses, 1 << 40))])}
+    ips |= {str(a) for n in nets for b in (int(n[-1]) + 1, int(n[0]) - 1) if 0 <= b < (1 << (32 if n.version == 4 else 128)) for a in [(ipaddress.IPv4Address if n.version == 4 else ipaddress.IPv6Address)(b)]}
+    ranges = allowlist.network_ranges(spark.createDataFrame([(str(n),) for n in nets] * 2, "cidr string"))
+    rows = spark.createDataFrame([(i,) for i in [*ips, *list(ips)[:50], None, "no address"]], "ip string")
+    got = allowlist.innermost(rows, ranges).collect()
+
+    def want(text):
+        a = ipaddress.ip_address(text)
+        held = [n for n in nets if n.version == a.version and a in n]
+        return max(held, key=lambda n: n.prefixlen) if held else None
+
+    expected = {i: (n.version, n.prefixlen, f"{int(n[0]):032x}") for i in ips if ipaddress.ip_address(i).version == 4 or getattr(ipaddress.ip_address(i), "ipv4_mapped", None) is None for n in [want(i)] if n}
+    assert {r["ip"]: (r["family"], r["prefix"], r["lo"]) for r in got if r["ip"] in expected} == expected and len(got) == len({r["ip"] for r in got})
+    assert {r["ip"] for r in got} <= {*expected, "no address"}
+    assert allowlist.innermost(rows, ranges.limit(0)).count() == 0
+
+
 def test_jails_refuse_what_cannot_work(spark):
     good = Jail("a-1", ("x <HOST>",))
     assert jails_frame(spark, [good]).first()["max_retry"] == 5
