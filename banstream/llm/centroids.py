@@ -16,8 +16,8 @@ driver; a lost executor costs a scan of its part of one table. When no centroid
 they would change nothing.
 
 Approximations and vectors are columns of one table: a fetched vector is handed to Python without a shuffle, others
-stay in the JVM. On vectors without clusters (random directions), 8 bits leave about a fifth of them to be fetched in
-a round, 4 bits most.
+stay in the JVM. On 10,256 vectors of 64 components in random directions 8 bits left 34 % of them to be fetched in the
+second round and 17 % in the last, 4 bits 98 %.
 
 Defined cases: rows whose vector is null, has another number of components than ``dims`` or a null or non-finite
 component are left out; with fewer vectors than ``k`` there are as many centroids as vectors; rows that repeat an
@@ -166,7 +166,8 @@ def cluster_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     spark = rows.sparkSession
     given = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"))
-    vectors = given.where((F.size("v") == dims) & finite(F.col("v"))).select("id", scaled(F.col("v"), scale).alias("vector"))
+    kept = (F.size("v") == dims) & finite(F.col("v"))
+    vectors = given.where(kept).select("id", scaled(F.col("v"), scale, kept).alias("vector"))
     shape = f"`{id_col}` long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
     seeds = vectors.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256).asc_nulls_last(), "vector").limit(k).collect()
     if not seeds:

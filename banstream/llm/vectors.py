@@ -17,11 +17,15 @@ def finite(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def scaled(vector: Column, by: int) -> Column:
-    """floor(by * x) of every component as an integer; a component of a magnitude over LARGEST is an error."""
+def scaled(vector: Column, by: int, kept: Column) -> Column:
+    """floor(by * x) of every component as an integer; a component of a magnitude over LARGEST is an error.
+
+    NULL where ``kept`` does not hold, whatever the vector is: Spark may try a column before the filter on its rows.
+    """
     step = lambda x: F.floor(F.lit(float(by)) * x.cast("double"))
     fits = lambda x: F.abs(F.lit(float(by)) * x.cast("double")) <= LARGEST
-    return F.transform(vector, lambda x: F.when(fits(x), step(x).cast("int")).otherwise(F.raise_error(F.lit(f"a component times {by} is beyond {LARGEST}")).cast("int")))
+    every = F.transform(vector, lambda x: F.when(fits(x), step(x).cast("int")).otherwise(F.raise_error(F.lit(f"a component times {by} is beyond {LARGEST}")).cast("int")))
+    return F.when(kept, every)
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
