@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from banstream.plans.lines import CUTS, JAILS, QUIET, failures_of, log_lines
 from banstream.operators.timeline import ban_rows
 from banstream.sources.state import work_folder
-from banstream.streaming import live
+from banstream.streaming import live, sink
 from banstream.streaming.tracker import late_rows, track_bans
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -44,7 +44,10 @@ class Tracked:
 
 
 def track(spark: SparkSession, sf_dir: str, part: Column, parts: int, **options) -> Tracked:
-    """Track the log's failures, in parts by a number from 0 on; every part is a run that goes on from the one before."""
+    """Track the log's failures, in parts by a number from 0 on; every part is a run that goes on from the one before.
+
+    Actions are published by the sink of ``streaming.sink``.
+    """
     folder = work_folder(spark, "tracker")
     failures_of(log_lines(spark, sf_dir), JAILS).withColumn("part", part).write.partitionBy("part").parquet(f"{folder}/parts")
     listener, batches = live.StatsListener(), []
@@ -55,14 +58,14 @@ def track(spark: SparkSession, sf_dir: str, part: Column, parts: int, **options)
                 spark.read.schema(f"{FAILURES}, part int").parquet(f"{folder}/parts").where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{folder}/failures")
                 source = spark.readStream.schema(FAILURES).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/failures")
                 actions = live.observed(track_bans(source, JAILS, **options))
-                run = actions.writeStream.format("parquet").option("path", f"{folder}/actions").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+                run = sink.save_actions(actions, f"{folder}/actions", f"{folder}/checkpoint", available_now=True)
                 run.awaitTermination()
                 batches.append(run.lastProgress["batchId"])
                 listener.wait(run.runId)
                 totals = listener.totals(run.id)
     finally:
         spark.streams.removeListener(listener)
-    return Tracked(spark.read.parquet(f"{folder}/actions"), f"{folder}/checkpoint", batches, dict(totals))
+    return Tracked(sink.read_actions(spark, f"{folder}/actions"), f"{folder}/checkpoint", batches, dict(totals))
 
 
 def _by_date() -> Column:

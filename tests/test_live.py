@@ -1,11 +1,13 @@
 """The tracker as a stream: live queries, late failures, pruning, restored bans and metrics."""
 
+import json
+
 import pytest
 
 from banstream.jails import Jail
 from banstream.operators.timeline import ban_rows, ban_timeline
 from banstream.plans.streams import rocksdb
-from banstream.streaming import live
+from banstream.streaming import live, sink
 from banstream.streaming.tracker import late_rows, track_bans
 
 A = Jail("a", ("x <HOST>",), max_retry=3, find_time=60, ban_time=100, bantime_increment=True, bantime_maxtime=300)
@@ -131,3 +133,62 @@ def test_metrics_of_all_batches_and_of_several_runs(feed, spark):
     assert ban_rows(ban_timeline(failures, [A, B])).count() == totals["bans"]
     with pytest.raises(TimeoutError):
         listener.wait("none", 0.01)
+
+
+def broken(marker):
+    """The sink with a task that dies half-way through its rows as long as there is no marker file."""
+
+    class Writer(sink.ActionWriter):
+        def line(self, row):
+            import os
+
+            self.n = getattr(self, "n", 0) + 1
+            if self.n > 3 and not os.path.exists(marker):
+                raise OSError("the disk is gone")
+            return super().line(row)
+
+    class Source(sink.ActionSource):
+        def streamWriter(self, schema, overwrite):
+            return Writer(self.options["path"], schema)
+
+    return Source
+
+
+def test_a_batch_is_published_once_or_not_at_all(feed, spark, tmp_path):
+    feed.add(*[("a", str(i % 5), 1000 + i) for i in range(60)])
+
+    def start(source):
+        stream = track_bans(spark.readStream.schema(ROW).parquet(f"{feed.path}/in"), [A, B])
+        return sink.save_actions(stream, f"file://{feed.path}/saved", feed.checkpoint, available_now=True, source=source)
+
+    source = broken(str(tmp_path / "mended"))
+    with pytest.raises(Exception, match="disk is gone"):
+        start(source).awaitTermination()
+    (tmp_path / "saved" / "commits").mkdir(exist_ok=True)
+    assert sink.read_actions(spark, f"{feed.path}/saved").count() == 0
+    (tmp_path / "mended").touch()
+    start(source).awaitTermination()
+    feed.add(*[("a", str(i % 5), 2000 + i) for i in range(60)])
+    start(source).awaitTermination()
+    got = sink.read_actions(spark, f"{feed.path}/saved")
+    want = ban_timeline(spark.read.parquet(f"{feed.path}/in"), [A, B])
+    columns = ["ip", "jail", "action", "at", "expires_at", "ban_time", "level"]
+    key = lambda df: sorted(map(str, df.select(columns).where("action = 'ban'").collect()))
+    assert key(got) == key(want) and got.where("action = 'unban'").count() == got.where("action = 'unban'").distinct().count()
+    for path in (tmp_path / "saved" / "data").glob("*.json"):
+        at = [json.loads(x)["at"] for x in path.read_text().splitlines()]
+        assert at == sorted(at)
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    writer = sink.ActionWriter(f"file://{tmp_path}", StructType.fromDDL(sink.ACTIONS))
+    row = ("1", "a", "ban", 5, None, -1, "threshold", 0, 3)
+    writer.commit([writer.write(iter([row, ("2", "a", "unban", 4, None, None, "expired", None, None)])), writer.write(iter([])), None], 0)
+    writer.commit([writer.write(iter([row]))], 0)
+    lost = writer.write(iter([row]))
+    writer.abort([lost, None], 1)
+    writer.write(iter([row]))  # of a task that was lost before it could report
+    assert [(r["batch"], r["at"], r["ip"]) for r in sink.read_actions(spark, str(tmp_path)).orderBy("at").collect()] == [(0, 4, "2"), (0, 5, "1")]
+    assert len(list((tmp_path / "data").glob("*.json"))) == 2
