@@ -20,9 +20,18 @@ _H = r"[0-9a-fA-F]{1,4}"
 # eight groups, or at most seven around one "::"
 _V6 = rf"^(?:{_H}(?::{_H}){{7}}|(?!:*{_H}(?::+{_H}){{7}})(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*)?)$"
 
+# the same with the last two groups written as IPv4: six groups before it, or at most five around "::"
+_V6_4 = rf"^(?:{_H}(?::{_H}){{5}}:|(?!:*{_H}(?::+{_H}){{5}}:+{V4}$)(?:{_H}(?::{_H})*)?::(?:{_H}(?::{_H})*:)?){V4}$"
+
 
 def is_ip(token: Column) -> Column:
-    return token.rlike(rf"^{V4}$") | (token.contains(":") & (token.rlike(_V6) | token.rlike(_MAPPED)))
+    return token.rlike(rf"^{V4}$") | (token.contains(":") & (token.rlike(_V6) | token.rlike(_MAPPED) | token.rlike(_V6_4)))
+
+
+def _in_hex(token: Column) -> Column:
+    """An IPv6 text that ends in IPv4 with two groups of hex digits instead."""
+    octets = F.transform(F.split(F.regexp_extract(token, r"([^:]*)$", 1), r"\."), lambda o: F.lpad(F.hex(o.try_cast("int")), 2, "0"))
+    return F.concat(F.regexp_extract(token, "^(.*:)", 1), F.get(octets, 0), F.get(octets, 1), F.lit(":"), F.get(octets, 2), F.get(octets, 3))
 
 
 def _groups(token: Column) -> Column:
@@ -52,7 +61,8 @@ def _v6_text(groups: Column) -> Column:
 
 def parse_ip(token: Column) -> Column:
     """Canonical text of an address; mapped IPv4 becomes IPv4, anything else NULL."""
-    six = let(token, lambda t: F.when(t.rlike(_V6), let(_groups(t), _v6_text)))
+    text = lambda t: F.when(t.rlike(_V6), t).when(t.rlike(_V6_4), _in_hex(t))
+    six = let(let(token, text), lambda t: F.when(t.isNotNull(), let(_groups(t), _v6_text)))
     return F.when(token.rlike(rf"^{V4}$"), token).when(token.rlike(_MAPPED), F.regexp_extract(token, _MAPPED, 1)).when(token.contains(":"), six)
 
 

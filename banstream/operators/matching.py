@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from banstream.functions.addresses import ip_family, ip_hex, is_ip, parse_ip
+from banstream.functions.addresses import ip_family, ip_hex, is_ip, parse_ip, strip_port
 from banstream.functions.columns import once
 from banstream.functions.times import line_ts
 from banstream.jails import Jail
@@ -146,33 +146,27 @@ def _with_address(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"ip_family": ip_family(F.col("ip")), "ip_hex": ip_hex(F.col("ip"))})
 
 
-def token_ip(span: str, kind: str, literal: str | None) -> str | None:
-    """The address of a matched text by its place: at the start, after or before a literal."""
-    import ipaddress
-    import re
+#: The characters of addresses with ports.
+_TOKEN = "[0-9a-fA-F.:]"
 
-    def parsed(token: str) -> str | None:
-        while len(token) >= 2:
-            try:
-                ip = ipaddress.ip_address(token)
-                return str(getattr(ip, "ipv4_mapped", None) or ip)
-            except ValueError:
-                token = token.rpartition(":")[0]
-        return None
 
-    at = lambda i: parsed(re.match(r"[0-9a-fA-F.:]*", span[i:])[0])
-    if kind == "start":
-        return at(0)
+def host_tokens(span: Column, kind: str, literal: str | None) -> Column:
+    """What may be the address in a matched text, first choice first: the token at its start, after each place of a
+    literal, or those before a literal's first place, nearest first."""
+    at = lambda text: F.regexp_extract(text, f"^{_TOKEN}*", 0)
+    if kind in ("start", "group"):
+        return F.array(at(span))
     if kind == "after":
-        places = (m.start() + len(literal) for m in re.finditer(f"(?={re.escape(literal)})", span))
-        return next((ip for i in places if (ip := at(i))), None)
-    head, found, _ = span.partition(literal)
-    tokens = re.split(r"[^0-9a-fA-F.:]", head) if found else []
-    return next((ip for t in reversed(tokens) if len(t) >= 2 and (ip := parsed(t))), None)
+        size = len(literal)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(span), F.lit(1))), lambda i: F.substring(span, i, F.lit(size)) == literal)
+        return F.transform(starts, lambda i: at(F.substring(span, i + size, F.char_length(span))))
+    before = F.split(F.substring_index(span, literal, 1), "[^0-9a-fA-F.:]", -1)
+    return F.when(span.contains(literal), F.reverse(F.filter(before, lambda t: F.char_length(t) >= 2))).otherwise(F.array().cast("array<string>"))
 
 
 def _positional(lines: DataFrame, patterns: tuple[str, ...], line: str) -> DataFrame:
-    """All patterns' matched texts are cut out in the JVM; only matched lines go through Python, in Arrow batches."""
+    """All in the JVM: the patterns' matched texts, the tokens in each that may be the address, and the first that is
+    one once its ports are off."""
     spans, ranks = [], []
     for pattern in patterns:
         text = expand_host(pattern)
@@ -184,23 +178,16 @@ def _positional(lines: DataFrame, patterns: tuple[str, ...], line: str) -> DataF
         # a pattern is tried if its literal occurs, first those whose literal ends first; without any literal in the line only patterns without one
         ranks.append(F.when(there > 0, there + F.char_length(F.lit(literal or ""))) if literal else F.lit(1 << 30))
         spans.append(F.when(hit & ((there > 0) if literal else F.lit(True)), F.regexp_extract(line, text, group)))
-    kinds = [host_extractor(p) for p in patterns]
-    cut = lines.withColumns({"_spans": F.array(*spans), "_ranks": F.array(*ranks)}).where(F.exists("_spans", lambda s: s.isNotNull()))
+    cut = once(lines, _spans=F.array(*spans), _ranks=F.array(*ranks)).where(F.exists("_spans", lambda s: s.isNotNull()))
     first = F.array_min("_ranks")
-    cut = cut.withColumn("_order", F.transform("_ranks", lambda r: r.eqNullSafe(first)))
-
-    @F.pandas_udf("struct<ip: string, pattern_idx: int>")
-    def pick(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for spans, order in rows:
-            out = []
-            for own, ahead in zip(spans, order, strict=True):
-                turn = sorted(range(len(own)), key=lambda i: (not ahead[i], i))
-                hits = ((token_ip(own[i], *kinds[i]) if kinds[i][0] != "group" else token_ip(own[i], "start", None), i) for i in turn if own[i] is not None)
-                out.append(next(((ip, i) for ip, i in hits if ip), (None, None)))
-            yield pd.DataFrame(out, columns=["ip", "pattern_idx"]).astype({"pattern_idx": "Int32"})
-
-    picked = cut.withColumn("_hit", pick("_spans", "_order")).where("_hit.ip is not null")
-    return picked.withColumns({"ip": F.col("_hit.ip"), "pattern_idx": F.col("_hit.pattern_idx")}).drop("_hit", "_spans", "_ranks", "_order")
+    own = [(i, F.get("_spans", i), *host_extractor(p)) for i, p in enumerate(patterns)]
+    tries = [F.when(span.isNotNull(), F.struct(F.lit(i).alias("i"), F.get("_ranks", i).eqNullSafe(first).alias("ahead"), host_tokens(span, kind, literal).alias("tokens"))) for i, span, kind, literal in own]
+    tried = once(cut, _tries=F.array_compact(F.array(*tries)))
+    address = lambda t: F.get(F.filter(F.transform(t["tokens"], strip_port), lambda ip: ip.isNotNull()), 0)
+    found = once(tried, _found=F.filter(F.transform("_tries", lambda t: F.struct(address(t).alias("ip"), t["i"].alias("pattern_idx"), t["ahead"].alias("ahead"))), lambda f: f["ip"].isNotNull()))
+    hit = F.coalesce(F.get(F.filter("_found", lambda f: f["ahead"]), 0), F.get("_found", 0))
+    picked = found.withColumn("_hit", hit).where("_hit is not null")
+    return picked.select(*[c for c in lines.columns if c not in ("ip", "pattern_idx")], F.col("_hit.ip").alias("ip"), F.col("_hit.pattern_idx").alias("pattern_idx"))
 
 
 def _rule_keys(patterns: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from banstream.functions import addresses
 from banstream.jails import Jail, jails_frame
 from banstream.operators import allowlist, matching
 from banstream.operators.patterns import expand_host, host_extractor, host_group_index, index_keys, literal_prefix, required_literal
@@ -80,6 +81,53 @@ def test_many_jails_in_one_scan(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
 
 
+def token_ip(span, kind, literal):
+    """The address of a matched text by its place, written plainly."""
+
+    def parsed(token):
+        while len(token) >= 2:
+            try:
+                ip = ipaddress.ip_address(token)
+                return str(getattr(ip, "ipv4_mapped", None) or ip)
+            except ValueError:
+                token = token.rpartition(":")[0]
+        return None
+
+    at = lambda i: parsed(re.match(r"[0-9a-fA-F.:]*", span[i:])[0])
+    if kind in ("start", "group"):
+        return at(0)
+    if kind == "after":
+        places = (m.start() + len(literal) for m in re.finditer(f"(?={re.escape(literal)})", span))
+        return next((ip for i in places if (ip := at(i))), None)
+    head, found, _ = span.partition(literal)
+    tokens = re.split(r"[^0-9a-fA-F.:]", head) if found else []
+    return next((ip for t in reversed(tokens) if len(t) >= 2 and (ip := parsed(t))), None)
+
+
+def test_tokens_of_spans(spark):
+    draw = random.Random(6)
+    parts = ["1.2.3.4", "1.2.3.4:80", "10.0.0.1:5:6", "999.1.1.1", "2001:db8::1", "2001:DB8::1:443", "::ffff:9.8.7.6:22", "fe80::", "::", ":", "a", "ff", "beef", "", "1.2.3", " ", ",", " from ", "rhost=", "fromfrom", "é", " x "]
+    spans = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 6))) for _ in range(600)]
+    df = spark.createDataFrame([(s,) for s in spans], "span string")
+    for kind, literal in (("start", None), ("group", None), ("after", " from "), ("after", "fromfrom"), ("after", "aa"), ("before", " from "), ("before", ", ")):
+        tokens = matching.host_tokens(F.col("span"), kind, literal)
+        ip = F.get(F.filter(F.transform(tokens, addresses.strip_port), lambda t: t.isNotNull()), 0)
+        got = {r["span"]: r["ip"] for r in df.select("span", ip.alias("ip")).collect()}
+        assert got == {s: token_ip(s, kind, literal) for s in spans}, (kind, literal)
+
+
+def test_order_of_patterns(spark):
+    """Of patterns that all match, the one whose literal ends first in the line is tried first, then by number."""
+    patterns = (r"late word .* <HOST>", r"early <HOST>", r"<HOST> any")
+    jail = Jail("j", patterns)
+    df = lines(spark, ["early 1.1.1.1 late word x 2.2.2.2", "late word early 3.3.3.3 any", "early none late word x 4.4.4.4", "x 5.5.5.5 any", "early none 6.6.6.6 any"])
+    got = matching.match_lines(df, jail, extractor="positional")
+    assert [(r["seq"], r["ip"], r["pattern_idx"]) for r in got.orderBy("seq").collect()] == [(0, "1.1.1.1", 1), (1, "3.3.3.3", 0), (2, "4.4.4.4", 0), (3, "5.5.5.5", 2)] + [(4, "6.6.6.6", 2)]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    capture = matching.match_lines(df, jail)
+    assert {r["seq"]: r["pattern_idx"] for r in capture.collect()}[0] == 0  # by number
+
+
 def test_spoofed_lines(spark):
     df = lines(spark, ["sshd[1]: Failed password for x from 1.1.1.1 from 10.0.0.1 port 22", "sshd[1]: Failed password for x from 999.1.1.1 port 22"])
     jail = Jail("sshd", FILTERS["sshd"].patterns)
