@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from re import _parser  # the expression as a tree; there is no public way to it
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from banstream.jails import Backend, Jail
 from banstream.operators.matching import jail_ts, match_jails
+from banstream.operators.patterns import TAG
 from banstream.sources.catalog import FILTERS
 
 _SSHD = FILTERS["sshd"].patterns
@@ -60,6 +62,60 @@ def log_lines(spark: SparkSession, sf_dir: str, prefix: str = "iso8601") -> Data
     return e.select(F.lit("auth.log").alias("source"), F.explode(F.array(F.concat(stamps[prefix], body))).alias("line"), F.col("event_id").alias("seq"))
 
 
+_ANY = "x7A-_./:=@ ,;'\"()[]<>"
+_HERE = "\ue000"
+
+
+def sample(pattern: str, host: str) -> str:
+    """A short text that a pattern matches, with this host; made from the parsed pattern, repeats as often as they must."""
+
+    def one(of: list) -> str:
+        inside = {_parser.CATEGORY_DIGIT: str.isdigit, _parser.CATEGORY_SPACE: str.isspace, _parser.CATEGORY_WORD: lambda c: c.isalnum() or c == "_"}
+        outside = {_parser.CATEGORY_NOT_DIGIT: _parser.CATEGORY_DIGIT, _parser.CATEGORY_NOT_SPACE: _parser.CATEGORY_SPACE, _parser.CATEGORY_NOT_WORD: _parser.CATEGORY_WORD}
+
+        def holds(kind, value, c: str) -> bool:
+            if kind is _parser.LITERAL:
+                return ord(c) == value
+            if kind is _parser.RANGE:
+                return value[0] <= ord(c) <= value[1]
+            return not inside[outside[value]](c) if value in outside else inside[value](c)
+
+        negated = of[0][0] is _parser.NEGATE
+        items = of[negated:]
+        starts = [chr(v if k is _parser.LITERAL else v[0]) for k, v in items if k in (_parser.LITERAL, _parser.RANGE)]
+        return next(c for c in [*_ANY, *starts] if any(holds(k, v, c) for k, v in items) != negated)
+
+    def text(items) -> str:
+        out = ""
+        for kind, value in items:
+            if kind is _parser.LITERAL:
+                out += chr(value)
+            elif kind is _parser.ANY:
+                out += "x"
+            elif kind is _parser.NOT_LITERAL:
+                out += next(c for c in _ANY if ord(c) != value)
+            elif kind is _parser.IN:
+                out += one(value)
+            elif kind is _parser.SUBPATTERN:
+                out += text(value[-1])
+            elif kind is _parser.BRANCH:
+                out += text(value[1][0])
+            elif kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+                out += text(value[2]) * value[0]
+        return out
+
+    return text(_parser.parse(pattern.replace(TAG, _HERE))).replace(_HERE, host)
+
+
+def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, line), for every event a line by one of the catalog's patterns in turn; every other time round without an address in it."""
+    patterns = [p for f in FILTERS.values() for p in f.patterns]
+    texts = spark.createDataFrame([(i, sample(p, _HERE)) for i, p in enumerate(patterns)], "i long, text string")
+    e = events_of(spark, sf_dir).select(F.col("event_id").alias("seq"), address(F.col("user_id")).alias("ip"), (F.col("event_id") % len(patterns)).alias("i"), (F.floor(F.col("event_id") / len(patterns)) % 2).alias("odd"))
+    host = F.when(F.col("odd") == 0, F.col("ip")).otherwise("nowhere")
+    return e.join(F.broadcast(texts), "i").select("seq", F.explode(F.array(F.replace("text", F.lit(_HERE), host))).alias("line"))
+
+
 def failures_of(lines: DataFrame, jails: Sequence[Jail], *more: str) -> DataFrame:
     """(jail, ip, ts, seq) of lines, for all enabled jails in one scan; ``more`` names further columns to keep."""
     own = [j for j in jails if j.enabled]

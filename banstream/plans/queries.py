@@ -12,7 +12,7 @@ from banstream.functions import addresses, bans as ban_times, rendering, times
 from banstream.operators import allowlist, bans, failures, matching
 from banstream.operators.patterns import expand_host, host_group_index
 from banstream.operators.timeline import ban_rows, ban_timeline
-from banstream.plans.lines import CLOSED, END, JAILS, NOW, QUIET, SSHD, address, events_of, failures_of, log_lines, networks
+from banstream.plans.lines import CLOSED, END, JAILS, NOW, QUIET, SSHD, address, catalog_lines, events_of, failures_of, log_lines, networks
 from banstream.jails import jails_frame
 from banstream.plans.dry_run import dry_run_log
 from banstream.sources import logs, state
@@ -180,6 +180,15 @@ def filter_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy(F.element_at(names, F.col("pattern_idx") + 1).alias("filter")).agg(F.count(F.lit(1)).alias("patterns"), F.sum("hits").alias("hits"))
 
 
+@query
+def filter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines made from the catalog's patterns, with and without an address, each of its rules finds."""
+    rules = list(FILTERS.values())
+    hits = matching.pattern_hits(catalog_lines(spark, sf_dir), tuple(p for f in rules for p in f.patterns))
+    names = F.array(*[F.lit(f.name) for f in rules for _ in f.patterns])
+    return hits.groupBy(F.element_at(names, F.col("pattern_idx") + 1).alias("filter")).agg(F.sum("hits").alias("hits"))
+
+
 @query
 def ts_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_lines(spark, sf_dir).select("seq", times.ts_iso8601(F.col("line")).alias("ts"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from banstream.operators.patterns import expand_host, host_group_index
-from banstream.plans.lines import CUTS, END, NOW, QUIET
+from banstream.plans.lines import CUTS, END, NOW, QUIET, sample
 from banstream.sources.catalog import FILTERS
 
 SSHD = FILTERS["sshd"].patterns
@@ -18,6 +18,15 @@ def host(pattern: str, line: str = "line") -> str:
     return f"nullif(regexp_extract({line}, {text(expand_host(pattern, 're2'))}, {host_group_index(pattern)}), '')"
 
 
+def samples() -> str:
+    """Lines by the catalog's patterns in turn, every other time round without an address."""
+    made = [sample(p, "\ue000") for f in FILTERS.values() for p in f.patterns]
+    texts = ", ".join(f"({i}, {text(t)})" for i, t in enumerate(made))
+    return f"""texts(i, t) AS (VALUES {texts}),
+lines AS (SELECT event_id AS seq, replace(t, '\ue000', CASE WHEN event_id // {len(made)} % 2 = 0 THEN '203.' || (user_id // 65536 % 256) || '.' || (user_id // 256 % 256) || '.' || (user_id % 256) ELSE 'nowhere' END) AS line
+  FROM events JOIN texts ON i = event_id % {len(made)})"""
+
+
 def lines(prefix: str = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ web1 ')") -> str:
     return f"""lines AS (SELECT 'auth.log' AS source, event_id AS seq, date_trunc('second', ts) AS stamp, {prefix} || CASE event_type
     WHEN 'error' THEN 'sshd[' || event_id || ']: Failed password for user' || user_id || ' from ' || ip || ' port ' || port || ' ssh2'
@@ -124,6 +133,8 @@ SQL: dict[str, str] = {
     "pattern_hits": f"WITH {lines()} " + " UNION ALL ".join(f"SELECT {i} AS pattern_idx, count({host(p)}) AS hits FROM lines" for i, p in enumerate(SSHD)),
     "filter_catalog": f"WITH {lines()} "
     + " UNION ALL ".join(f"SELECT {text(f.name)} AS filter, {len(f.patterns)}::BIGINT AS patterns, ({' + '.join(f'count({host(p)})' for p in f.patterns)})::BIGINT AS hits FROM lines" for f in FILTERS.values()),
+    "filter_samples": f"WITH {samples()} "
+    + " UNION ALL ".join(f"SELECT {text(f.name)} AS filter, ({' + '.join(f'count(*) FILTER (regexp_matches({host(p)}, {text(V4)}))' for p in f.patterns)})::BIGINT AS hits FROM lines" for f in FILTERS.values()),
     "ts_iso": f"WITH {lines()} SELECT seq, epoch(stamp)::BIGINT AS ts FROM lines",
     "ts_common": f"WITH {lines()} SELECT seq, epoch(stamp)::BIGINT - 7200 AS ts FROM lines",
     "ts_epoch": f"WITH {lines()} SELECT seq, epoch(stamp)::BIGINT AS ts FROM lines",

@@ -12,6 +12,7 @@ from banstream.jails import Jail, jails_frame
 from banstream.operators import allowlist, matching
 from banstream.operators.patterns import expand_host, host_extractor, host_group_index, index_keys, literal_prefix, required_literal
 from banstream.plans.dry_run import dry_run_log
+from banstream.plans.lines import sample
 from banstream.sources.catalog import FILTERS
 from banstream.sources.logs import filter_catalog, read_log_lines
 
@@ -60,6 +61,24 @@ def test_every_rule_compiles_and_is_unique(spark):
     assert matching.pattern_hits(lines(spark, LOG), tuple(patterns)).where("hits > 0").count() == 3
 
 
+def test_every_pattern_finds_its_sample(spark):
+    """By itself, by its guards and by all rules together; and not without an address."""
+    patterns = [p for f in FILTERS.values() for p in f.patterns]
+    texts = [sample(p, "192.0.2.33") for p in patterns]
+    groups = [re.search(expand_host(p, "re2"), t)[host_group_index(p)] for p, t in zip(patterns, texts, strict=True)]
+    assert sum(g != "192.0.2.33" for g in groups) == 4  # what may stand right before the host takes digits of it
+    good = ["." in g for g in groups]  # the rest is an address all the same, but for one
+    assert [p[:8] for p, g in zip(patterns, good, strict=True) if not g] == ["SECURITY"]
+    hits = {r["pattern_idx"]: r["hits"] for r in matching.pattern_hits(lines(spark, texts), tuple(patterns)).collect()}
+    assert [hits[i] > 0 for i in range(len(patterns))] == good
+    jails = [Jail(f"j-{f.name}", f.patterns) for f in FILTERS.values()]
+    found = matching.match_jails(lines(spark, texts), jails).select("jail", "seq", "ip").collect()
+    own = [f"j-{f.name}" for f in FILTERS.values() for _ in f.patterns]
+    assert {(own[i], i, groups[i]) for i in range(len(texts)) if good[i]} <= {tuple(r) for r in found}
+    none = matching.pattern_hits(lines(spark, [t.replace("192.0.2.33", "nowhere") for t in texts]), tuple(patterns))
+    assert none.where("hits > 0").count() == 0
+
+
 def test_match_modes(spark):
     jail = Jail("sshd", FILTERS["sshd"].patterns)
     df = lines(spark, LOG)
