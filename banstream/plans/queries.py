@@ -341,6 +341,19 @@ def ban_timeline_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("ip", "jail", "action", "at", "expires_at", "ban_time", "reason", "level", F.when(F.col("action") == "ban", F.col("event_seq")).alias("seq"))
 
 
+@query
+def ban_timeline_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All actions where logins in the log stand for commands: bans with and without a time, unbans, rollbacks, and a jail that nobody knows."""
+    n = F.col("event_id")
+    kind = F.when(n % 10 == 9, "ban").when(n % 3 == 0, "unban").when(n % 3 == 1, "ban").otherwise("apply_failed")
+    jail = F.when(n % 10 == 9, "nowhere").when(n % 4 == 0, "sshd-closed").otherwise("sshd")
+    commands = events_of(spark, sf_dir).where("event_type = 'view'").select(
+        kind.alias("kind"), address(F.col("user_id")).alias("ip"), jail.alias("jail"), F.when(n % 2 == 0, 7200).cast("long").alias("ban_time"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), n.alias("seq")
+    )
+    done = ban_timeline(_failures(spark, sf_dir), JAILS, decay=QUIET, commands=commands, until=END)
+    return done.select("ip", "jail", "action", "at", "expires_at", "ban_time", "reason", "level", F.col("event_seq").alias("seq"))
+
+
 @query
 def escalation_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bans.escalation_level(_bans(spark, sf_dir), DECAY).select("ip", "jail", "banned_at", F.col("level").cast("long").alias("level"))

@@ -91,6 +91,39 @@ SELECT ip, jail, 'ban' AS action, banned_at AS at, expires_at, expires_at - bann
 UNION ALL SELECT ip, jail, 'unban', expires_at, NULL, NULL, 'expired', NULL, NULL FROM b WHERE expires_at <= {until}"""
 
 
+# as STEPS, with commands; e1 and e2 are the ends of bans that an event finds over
+COMMANDS = f"""WITH RECURSIVE {FAILURES},
+given AS (SELECT '203.' || (user_id // 65536 % 256) || '.' || (user_id // 256 % 256) || '.' || (user_id % 256) AS ip, epoch(date_trunc('second', ts))::BIGINT AS ts, event_id AS n FROM events WHERE event_type = 'view'),
+ev AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts, seq) AS rn, jail = 'sshd' AS one, jail IN ('sshd', 'sshd-closed') AS known FROM (
+  SELECT 'failure' AS kind, ip, jail, NULL::BIGINT AS bt, ts, seq FROM failures
+  UNION ALL SELECT CASE WHEN n % 10 = 9 THEN 'ban' WHEN n % 3 = 0 THEN 'unban' WHEN n % 3 = 1 THEN 'ban' ELSE 'apply_failed' END, ip, CASE WHEN n % 10 = 9 THEN 'nowhere' WHEN n % 4 = 0 THEN 'sshd-closed' ELSE 'sshd' END,
+    CASE WHEN n % 2 = 0 THEN 7200 END, ts, n FROM given)),
+st AS (
+  SELECT ip, 0::BIGINT AS rn, []::BIGINT[] AS r1, []::BIGINT[] AS r2, 0::BIGINT AS u1, 0::BIGINT AS u2, 0::INT AS cnt, 0::BIGINT AS lst, NULL::BIGINT AS e1, NULL::BIGINT AS e2,
+         NULL::VARCHAR AS jail, NULL::VARCHAR AS action, NULL::BIGINT AS stamp, NULL::BIGINT AS expires_at, NULL::BIGINT AS ban_time, NULL::VARCHAR AS reason, NULL::INT AS level, NULL::BIGINT AS seq
+  FROM (SELECT DISTINCT ip FROM ev)
+  UNION ALL
+  SELECT ip, rn, CASE WHEN NOT one THEN r1 WHEN banning THEN []::BIGINT[] ELSE ring END, CASE WHEN one OR NOT known THEN r2 WHEN banning THEN []::BIGINT[] ELSE ring END,
+         CASE WHEN one AND banning THEN ts + secs WHEN one AND lifting THEN 0 ELSE u1 END, CASE WHEN known AND NOT one AND banning THEN ts + secs WHEN known AND NOT one AND lifting THEN 0 ELSE u2 END,
+         (cnt + hit::INT)::INT, CASE WHEN hit THEN ts ELSE lst END, e1, e2, jail,
+         CASE WHEN banning THEN 'ban' WHEN lifting AND kind = 'unban' THEN 'unban' WHEN lifting THEN 'rollback' WHEN kind IN ('ban', 'unban') THEN 'error' END, ts, CASE WHEN banning THEN ts + secs END, CASE WHEN banning THEN secs END,
+         CASE WHEN hit THEN 'threshold' WHEN banning OR (lifting AND kind = 'unban') THEN 'manual' WHEN lifting THEN 'firewall_ban_failed' WHEN NOT known THEN 'unknown_jail' WHEN kind = 'ban' THEN 'already_banned' ELSE 'not_banned' END,
+         CASE WHEN hit THEN cnt END::INT, seq
+  FROM (SELECT *, hit OR (kind = 'ban' AND known AND NOT banned) AS banning, banned AND kind IN ('unban', 'apply_failed') AS lifting,
+               CASE WHEN hit THEN least(43200 * (1::BIGINT << least(cnt, 20)), 604800) ELSE coalesce(bt, 43200) END::BIGINT AS secs
+    FROM (SELECT *, kind = 'failure' AND NOT banned AND len(ring) = 3 AND ring[3] - ring[1] <= 86400 AS hit
+      FROM (SELECT *, CASE WHEN kind = 'failure' AND NOT banned THEN list_append(own, ts)[-3:] ELSE own END AS ring
+        FROM (SELECT *, known AND CASE WHEN one THEN u1 > 0 ELSE u2 > 0 END AS banned, CASE WHEN one THEN r1 ELSE r2 END AS own
+          FROM (SELECT st.ip, ev.rn, ev.kind, ev.jail, ev.bt, ev.ts, ev.seq, one, known, r1, r2, CASE WHEN u1 > ev.ts THEN u1 ELSE 0 END AS u1, CASE WHEN u2 > ev.ts THEN u2 ELSE 0 END AS u2,
+                  CASE WHEN u1 > 0 AND u1 <= ev.ts THEN u1 END AS e1, CASE WHEN u2 > 0 AND u2 <= ev.ts THEN u2 END AS e2, CASE WHEN lst < ev.ts - {QUIET} THEN 0 ELSE cnt END AS cnt, lst
+                FROM st JOIN ev ON ev.ip = st.ip AND ev.rn = st.rn + 1)))))
+),
+closing AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY ip ORDER BY rn DESC) = 1),
+over AS (SELECT ip, 'sshd' AS jail, e1 AS stamp FROM st WHERE e1 IS NOT NULL UNION ALL SELECT ip, 'sshd-closed', e2 FROM st WHERE e2 IS NOT NULL
+  UNION ALL SELECT ip, 'sshd', u1 FROM closing WHERE u1 BETWEEN 1 AND {END} UNION ALL SELECT ip, 'sshd-closed', u2 FROM closing WHERE u2 BETWEEN 1 AND {END})
+SELECT ip, jail, action, stamp AS at, expires_at, ban_time, reason, level, seq FROM st WHERE action IS NOT NULL
+UNION ALL SELECT ip, jail, 'unban', stamp, NULL, NULL, 'expired', NULL, NULL FROM over"""
+
 # what a tracker holds after each of three parts of the log, of which the next begins at a cut
 LIVE = f"""{STEPS},
 w AS (SELECT batch, max(ts) AS w FROM failures JOIN (VALUES (0, {CUTS[0]}), (1, {CUTS[1]}), (2, {END})) c(batch, cut) ON ts < cut GROUP BY batch),
@@ -167,6 +200,7 @@ SQL: dict[str, str] = {
     "ban_timeline_bans": TIMELINE,
     "track_bans_stream": TIMELINE,
     "ban_timeline_actions": all_actions(str(END)),
+    "ban_timeline_commands": COMMANDS,
     "track_actions_stream": all_actions("(SELECT max(ts) FROM failures)"),
     "live_bans_stream": f"{LIVE} SELECT batch, ip, jail, banned_at, expires_at FROM b WHERE expires_at > w",
     "live_rings_stream": f"""{LIVE}, s AS (SELECT batch, w, st.ip, r1[-1] AS n1, r2[-1] AS n2 FROM w JOIN ev ON ev.ts <= w JOIN st ON st.ip = ev.ip AND st.rn = ev.rn QUALIFY row_number() OVER (PARTITION BY batch, st.ip ORDER BY st.rn DESC) = 1)
