@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,7 +87,7 @@ def event_log(events: DataFrame, message: str, fields: dict[str, bool], fmt: str
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share, under ``spark.checkpoint.dir``.
+    """A new folder that all executors share, under ``spark.checkpoint.dir``; it goes with all in it when the application ends.
 
     Only a session of one machine (a local master) may leave that unset; on a cluster it is an error.
     """
@@ -94,4 +95,15 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not base and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = base or "file://" + os.path.join(tempfile.gettempdir(), "banstream-shared")
-    return f"{base.rstrip('/')}/banstream/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/banstream/{spark.sparkContext.applicationId}"
+    _delete_at_exit(spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=64)
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
