@@ -5,6 +5,7 @@ import json
 import pytest
 
 from banstream.jails import Jail
+from banstream.operators.failures import failure_rates
 from banstream.operators.timeline import ban_rows, ban_timeline
 from banstream.plans.streams import rocksdb
 from banstream.streaming import live, sink
@@ -192,3 +193,21 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
     writer.write(iter([row]))  # of a task that was lost before it could report
     assert [(r["batch"], r["at"], r["ip"]) for r in sink.read_actions(spark, str(tmp_path)).orderBy("at").collect()] == [(0, 4, "2"), (0, 5, "1")]
     assert len(list((tmp_path / "data").glob("*.json"))) == 2
+
+
+def test_failure_rates_of_a_stream(feed, spark):
+    """Windows come out once the watermark has passed their end, late rows no longer change them."""
+    feed.add(*[("a", "1", 1000 + 10 * i) for i in range(30)], ("b", "2", 1100))
+
+    def run():
+        source = spark.readStream.schema(ROW).parquet(f"{feed.path}/in")
+        query = failure_rates(source, "100 seconds", late="50 seconds").writeStream.format("parquet").option("path", f"{feed.path}/rates").option("checkpointLocation", feed.checkpoint)
+        query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["jail"], r["window_start"], r["failures"]) for r in spark.read.parquet(f"{feed.path}/rates").collect())
+
+    assert run() == [("a", 1000, 10), ("a", 1100, 10), ("b", 1100, 1)]
+    feed.add(("a", "1", 1055), ("a", "3", 1260), ("a", "1", 1500))
+    want = [("a", 1000, 10), ("a", 1100, 10), ("a", 1200, 11), ("b", 1100, 1)]
+    assert run() == want
+    whole = failure_rates(spark.read.parquet(f"{feed.path}/in").where("ts <> 1055"), "100 seconds").where("window_start < 1300")
+    assert sorted((r["jail"], r["window_start"], r["failures"]) for r in whole.collect()) == want
