@@ -15,13 +15,15 @@ array; the least identifier of such a run decides for all of it. A context that
 which agrees with it on half of what surrounds the anchor, to the left or to the right, can't share such a string and
 is left out before.
 
-*Hot anchors* (more than ``HOT`` different contexts: the edges of a common passage) aren't gathered: their contexts
-are cut into strings of ``length`` bytes, and their least identifiers come from an aggregation of partial minima. An
-anchor in very many documents costs a bucket one entry for each part of the texts, whatever their number.
+*Hot anchors* aren't gathered. One in more than ``HOT_PARTS`` parts of the texts may have any number of contexts: these
+are dealt by context instead of by anchor. Contexts of such an anchor, and of one that has more than ``HOT`` different
+ones (the edges of a common passage), are cut into strings of ``length`` bytes, and the least identifiers of these come
+from an aggregation of partial minima.
 
-Texts are shuffled once, to a table bucketed by part of about ``PART_BYTES``; the later passes over them bring bits and
-positions to the texts, not texts to these. All else is bounded: a bucket by ``BUCKET_ANCHORS`` on average, a task's
-numpy work by slices of a part.
+Texts are shuffled once, to a table bucketed by part; the later passes over them bring bits and positions to the texts,
+not texts to these. Parts have ``PART_BYTES``, and more of very large tables, so that an anchor or context which is
+everywhere, and costs a bucket one entry for each part, stays small there. All else is bounded: a bucket by
+``BUCKET_ANCHORS`` on average and what ``HOT_PARTS`` parts hold at most, a task's numpy work by slices of a part.
 
 Defined cases: a null text is empty; rows without an identifier come after all others and take nothing from each
 other; rows that repeat an identifier take nothing from each other; texts shorter than ``length`` stay as they are;
@@ -45,10 +47,14 @@ from banstream.llm.suffix_groups import spread, suffix_arrays
 
 LENGTH = 50
 PART_BYTES = 4_000_000
+LARGEST_PART = 64_000_000
+#: Beyond so many parts these become larger.
+MANY_PARTS = 20_000
 #: Parts of a Spark partition of the texts.
 PARTS = 4
 BUCKET_ANCHORS = 1_000_000
 HOT = 1024
+HOT_PARTS = 512
 #: Bytes hashed at once, and bytes of contexts sorted at once.
 SLICE = 1 << 20
 SORTED_BYTES = 4_000_000
@@ -184,23 +190,30 @@ def _post(length: int, buckets: int):
     return post
 
 
-def _share(table: pa.Table) -> pa.Table:
-    """For each anchor that a part has posted to a bucket, whether another document has it."""
+def _share(hot_parts: int):
+    """For each anchor that a part has posted to a bucket, whether another document has it, and whether it is in very many parts."""
+
+    return lambda table: _shared(table, hot_parts)
+
+
+def _shared(table: pa.Table, hot_parts: int) -> pa.Table:
     posted = [_unplane(x) for x in table["anchors"].to_pylist()]
     several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(p)) for b, p in zip(table["several"].to_pylist(), posted, strict=True)])
     every = np.concatenate(posted)
     order = np.argsort(every, kind="stable")
     cuts = _cuts(every[order])
     shared = (np.diff(cuts) > 1) | (np.add.reduceat(several[order].astype(np.int64), cuts[:-1]) > 0)
-    flags = np.zeros(len(every), bool)
-    flags[order] = np.repeat(shared, np.diff(cuts))
-    bits = [np.packbits(f).tobytes() for f in np.split(flags, np.cumsum([len(p) for p in posted])[:-1])]
-    return pa.table({"part": table["part"], "bucket": table["bucket"], "shared": pa.array(bits, pa.binary())})
+    out = {"part": table["part"], "bucket": table["bucket"]}
+    for name, own in (("shared", shared), ("everywhere", np.diff(cuts) > hot_parts)):
+        flags = np.zeros(len(every), bool)
+        flags[order] = np.repeat(own, np.diff(cuts))
+        out[name] = pa.array([np.packbits(f).tobytes() for f in np.split(flags, np.cumsum([len(p) for p in posted])[:-1])], pa.binary())
+    return pa.table(out)
 
 
 def _contexts(length: int, buckets: int):
     """A part's distinct contexts of shared anchors: hashes, first identifier and all positions, a row for each bucket."""
-    names = ("bucket", "part", "h", "c", "least", "n", "n_least", "at")
+    names = ("bucket", "part", "h", "c", "everywhere", "least", "n", "n_least", "at")
 
     def contexts(table: pa.Table, bits: pa.Table) -> pa.Table:
         out = []
@@ -210,18 +223,20 @@ def _contexts(length: int, buckets: int):
             bucket = _bucket(h, buckets)
             key = (bucket << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
             posted, inverse = np.unique(key, return_inverse=True)
-            flags = np.zeros(len(posted), bool)
+            flags = np.zeros((2, len(posted)), bool)
             cuts = _cuts(posted >> np.uint64(32))
-            told = dict(zip(bits["bucket"].to_pylist(), bits["shared"].to_pylist(), strict=True))
+            told = dict(zip(bits["bucket"].to_pylist(), zip(bits["shared"].to_pylist(), bits["everywhere"].to_pylist(), strict=True), strict=True))
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                flags[a:z] = np.unpackbits(np.frombuffer(told[int(posted[a] >> np.uint64(32))], np.uint8), count=z - a)
-            own = flags[inverse]
-            at, h, bucket = at[own], h[own], bucket[own]
+                for own, packed in zip(flags, told[int(posted[a] >> np.uint64(32))], strict=True):
+                    own[a:z] = np.unpackbits(np.frombuffer(packed, np.uint8), count=z - a)
+            own = flags[0, inverse]
+            at, h, bucket, everywhere = at[own], h[own], bucket[own], flags[1, inverse][own]
             text, low, high = _reach(at, starts, length)
             c = context_hashes(data, at, low, high)
+            bucket = np.where(everywhere, _bucket(mix(h ^ c), buckets), bucket)
             order = np.lexsort((at, c, h, bucket))
-            at, h, c, bucket, owner = at[order], h[order], c[order], bucket[order], ids[text[order]]
-            changed = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+            at, h, c, bucket, everywhere, owner = at[order], h[order], c[order], bucket[order], everywhere[order], ids[text[order]]
+            changed = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (bucket[1:] != bucket[:-1])
             cuts = np.append(np.flatnonzero(np.concatenate([[True], changed])), len(h)) if len(h) else np.zeros(1, np.int64)
             n = np.diff(cuts)
             least = owner[cuts[:-1]]
@@ -229,8 +244,8 @@ def _contexts(length: int, buckets: int):
             for a, z in zip((b := _cuts(bucket[cuts[:-1]]))[:-1], b[1:], strict=True):
                 i, j = cuts[a], cuts[z]
                 head = cuts[a:z]
-                out.append((int(bucket[i]), table["part"][0].as_py(), h[head].tobytes(), c[head].tobytes(), least[a:z].tobytes(), n[a:z].astype(np.uint32).tobytes(), first[a:z].astype(np.uint32).tobytes(), at[i:j].astype(np.uint32).tobytes()))
-        return _rows(dict(zip(names, map(list, zip(*out, strict=True)) if out else [[]] * 8, strict=True)), bucket=pa.int32(), part=pa.int32())
+                out.append((int(bucket[i]), table["part"][0].as_py(), h[head].tobytes(), c[head].tobytes(), everywhere[head].tobytes(), least[a:z].tobytes(), n[a:z].astype(np.uint32).tobytes(), first[a:z].astype(np.uint32).tobytes(), at[i:j].astype(np.uint32).tobytes()))
+        return _rows(dict(zip(names, map(list, zip(*out, strict=True)) if out else [[]] * 9, strict=True)), bucket=pa.int32(), part=pa.int32())
 
     return contexts
 
@@ -240,8 +255,8 @@ def _decide(hot: int):
 
     def decide(table: pa.Table) -> pa.Table:
         read = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-        hs, cs, leasts, ns, firsts, ats = (read(*x) for x in (("h", np.uint64), ("c", np.uint64), ("least", np.int64), ("n", np.uint32), ("n_least", np.uint32), ("at", np.uint32)))
-        h, c, least = map(np.concatenate, (hs, cs, leasts))
+        hs, cs, alls, leasts, ns, firsts, ats = (read(*x) for x in (("h", np.uint64), ("c", np.uint64), ("everywhere", np.bool_), ("least", np.int64), ("n", np.uint32), ("n_least", np.uint32), ("at", np.uint32)))
+        h, c, everywhere, least = map(np.concatenate, (hs, cs, alls, leasts))
         order = np.lexsort((c, h))
         sh, sc = h[order], c[order]
         changed = np.concatenate([[True], (sh[1:] != sh[:-1]) | (sc[1:] != sc[:-1])])
@@ -253,6 +268,7 @@ def _decide(hot: int):
         first[order] = least[order] == smallest[group]
         many[order] = np.repeat(kinds > 1, np.diff(per))
         crowd[order] = np.repeat(np.diff(per) > hot, np.diff(per))
+        many, crowd = many | everywhere, crowd | everywhere  # the other contexts of these are in other buckets
         out, a = [], 0
         for i in range(table.num_rows):
             z = a + len(hs[i])
@@ -449,7 +465,7 @@ def _stored(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-total // PART_BYTES))
+    parts = max(1, -(-total // max(PART_BYTES, min(LARGEST_PART, total // MANY_PARTS))))
     tasks = max(1, -(-parts // PARTS))
     path = fresh_path(spark, "suffix-texts")
     name = "suffix_texts_" + path.rpartition("-")[2]
@@ -458,7 +474,7 @@ def _stored(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     return spark.table(name), total
 
 
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, hot_parts: int = HOT_PARTS) -> DataFrame:
     """(id, n_bytes, spans, kept) for every row: the removed spans (start, end in bytes) and the bytes that stay."""
     if not 16 <= length <= 112:
         raise ValueError("the length must be from 16 to 112 bytes")  # the places in a context are bits of a long
@@ -467,8 +483,8 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(1, round(2 * total / (length - size + 2) / BUCKET_ANCHORS))
     parts = lambda df: df.groupBy("part")
     posted = parts(texts).applyInArrow(_post(length, buckets), "bucket int, part int, anchors binary, several binary")
-    shared = posted.groupBy("bucket").applyInArrow(_share, "part int, bucket int, shared binary")
-    found = parts(texts).cogroup(parts(shared)).applyInArrow(_contexts(length, buckets), "bucket int, part int, h binary, c binary, least binary, n binary, n_least binary, at binary")
+    shared = posted.groupBy("bucket").applyInArrow(_share(hot_parts), "part int, bucket int, shared binary, everywhere binary")
+    found = parts(texts).cogroup(parts(shared)).applyInArrow(_contexts(length, buckets), "bucket int, part int, h binary, c binary, everywhere binary, least binary, n binary, n_least binary, at binary")
     decided = materialize(found.groupBy("bucket").applyInArrow(_decide(hot), _DECIDED), "decided")
     asked = decided.select("part", "lane", "hot", "n", "at")
     cut = parts(texts).cogroup(parts(asked)).applyInArrow(_cut(length, False), _CUT)

@@ -66,14 +66,14 @@ def documents(draw):
     return rows
 
 
-@pytest.mark.parametrize(("hot", "part"), [(suffix_dedup.HOT, suffix_dedup.PART_BYTES), (3, 2000)])
-def test_repeated_substrings(spark, monkeypatch, hot, part):
+@pytest.mark.parametrize(("hot", "hot_parts", "part"), [(suffix_dedup.HOT, suffix_dedup.HOT_PARTS, suffix_dedup.PART_BYTES), (3, 512, 2000), (1024, 1, 2000), (5, 4, 1000)])
+def test_repeated_substrings(spark, monkeypatch, hot, hot_parts, part):
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", part)
-    monkeypatch.setattr(suffix_dedup, "BUCKET_ANCHORS", suffix_dedup.BUCKET_ANCHORS if hot > 3 else 500)
-    rows = documents(random.Random(hot))
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ANCHORS", suffix_dedup.BUCKET_ANCHORS if hot_parts > 4 and hot > 3 else 500)
+    rows = documents(random.Random(hot + hot_parts))
     want = brute(rows)
     docs = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, part int, at string").repartition(3)
-    got = repeated_substrings(docs, hot=hot).collect()
+    got = repeated_substrings(docs, hot=hot, hot_parts=hot_parts).collect()
     assert len(got) == len(rows)
     found = sorted((str(r["doc_id"]), r["n_bytes"], str([tuple(s) for s in r["spans"]]), bytes(r["kept"])) for r in got)
     assert found == sorted((str(i), len((t or "").encode()), str(want[i, t or ""][0]), want[i, t or ""][1]) for i, t in rows)
