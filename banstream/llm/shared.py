@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     if not named and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     named = named or "file://" + os.path.join(tempfile.gettempdir(), "banstream-shared")
-    return f"{named.rstrip('/')}/banstream/{spark.sparkContext.applicationId}"
+    own = f"{named.rstrip('/')}/banstream/{spark.sparkContext.applicationId}"
+    _delete_at_exit(spark, own)
+    return own
+
+
+@lru_cache(maxsize=64)
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """What operators have put into the folder goes when the application ends."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
