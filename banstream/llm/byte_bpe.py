@@ -30,11 +30,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from banstream.llm.segments import SegmentMemo, by_bytes, resident, segments
+from banstream.llm.segments import SegmentMemo, by_bytes, resident, segments, tidy
 
 MAX_TRANSITIONS = 600_000
 MAX_PAIRS = 600_000
-MEMO_SEGMENTS = 300_000
+MEMO_SEGMENTS = 200_000
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 1_000_000
 #: Matches up to this many bytes are read side by side, longer ones alone.
 SHORT = 256
 #: Bytes of a long match after which what is settled is emitted.
@@ -471,7 +473,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in by_bytes(batch.column(1)):
+            for first, texts in by_bytes(batch.column(1), SLICE_BYTES):
                 ids = encode_texts(texts, path, pattern)
                 rows = [row(x) for x in ids]
                 columns = []
@@ -484,4 +486,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], ["id", *outputs])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(encode, ", ".join([f"id {kind}", *(f"{n} {spark_types[n]}" for n in outputs)])).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(encode), ", ".join([f"id {kind}", *(f"{n} {spark_types[n]}" for n in outputs)])).withColumnRenamed("id", id_col)

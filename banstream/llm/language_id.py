@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from banstream.llm.segments import by_bytes, resident
+from banstream.llm.segments import by_bytes, resident, tidy
 from banstream.llm.shingles import mix
 
 BUCKETS = 1 << 16
@@ -132,7 +132,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"bucket": met - 1, "n": counts[met]})
 
-    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidy(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(BUCKETS + 1, np.int64)
     table[counted["bucket"].to_numpy() + 1] = counted["n"].to_numpy()
     return table[1:], int(table[0])
@@ -201,7 +201,7 @@ def train(
         chosen = chosen.withColumn("_place", F.row_number().over(own.orderBy("key"))).where(F.col("_place") <= rows_per_language).drop("_place")
     # copies go before their texts are moved, and again after
     texts = keyed.join(F.broadcast(chosen), ["label", "key"]).groupBy("label", "key").agg(F.min("text").alias("text"))
-    sample = texts.select("text", "label", "key").mapInArrow(features, "label string, key long, at array<int>, n array<int>").toArrow().combine_chunks()
+    sample = texts.select("text", "label", "key").mapInArrow(tidy(features), "label string, key long, at array<int>, n array<int>").toArrow().combine_chunks()
     rows: list[tuple[np.ndarray, np.ndarray]] = []
     labels: list[int] = []
     names, keys = sample["label"].to_pylist(), sample["key"].to_pylist()
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
@@ -259,7 +259,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
                 keep += (known & (own.scores(texts).max(axis=1) >= min_score) if own.languages else known).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from banstream.llm.components import components
+from banstream.llm.segments import tidy
 from banstream.llm.shared import materialize
 from banstream.llm.shingles import mix, random64, row_sets, shingle, text_slices, words
 
@@ -100,7 +101,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     pairs = materialize(pairs, "pairs")
     named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = materialize(
-        texts.join(named.hint("merge"), "id", "left_semi").mapInArrow(_sketch(size, False), "id long, n int, k1 long, k2 long, grams array<long>").select("id", "grams"), "sets"
+        texts.join(named.hint("merge"), "id", "left_semi").mapInArrow(tidy(_sketch(size, False), tables=True), "id long, n int, k1 long, k2 long, grams array<long>").select("id", "grams"), "sets"
     )
     one, other = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -140,7 +141,7 @@ def _across(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     n - ceil(n * percent / 100) + 1 places of each, and from the first that they share on, enough places are left
     in both; nearly all pairs of a large group that are not quite similar enough fail this.
     """
-    sets = texts.join(open_.select("id").hint("merge"), "id", "left_semi").mapInArrow(_sketch(size, False), "id long, n int, k1 long, k2 long, grams array<long>")
+    sets = texts.join(open_.select("id").hint("merge"), "id", "left_semi").mapInArrow(tidy(_sketch(size, False), tables=True), "id long, n int, k1 long, k2 long, grams array<long>")
     runs = materialize(sets.select("id", "n", F.explode("grams").alias("g")).join(open_, "id"), "runs")
     shared = runs.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # runs of one class alone come first in every order: they are counted, not sorted
@@ -159,7 +160,7 @@ def _across(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept (the least identifier of a component stays)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = materialize(texts.mapInArrow(_sketch(size, True), "id long, n int, k1 long, k2 long, posts array<long>, bits array<long>"), "sketches")
+    sketches = materialize(texts.mapInArrow(tidy(_sketch(size, True), tables=True), "id long, n int, k1 long, k2 long, posts array<long>, bits array<long>"), "sketches")
     # sets of n runs that are similar to another set have at least this many
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     classes = materialize(

@@ -8,6 +8,7 @@ worker's memory is bounded whatever the texts are.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from collections.abc import Callable, Hashable, Iterator, Sequence
@@ -41,6 +42,30 @@ def resident(owner: Hashable, build: Callable[[], Any]) -> Any:
     return _resident[owner]
 
 
+def release(tables: bool = False) -> None:
+    """Give memory that is free inside this worker back to the machine, with ``tables`` also an operator's large tables.
+
+    Spark keeps workers beside its executors between stages; what they hold on to is missing there.
+    """
+    if tables:
+        _resident.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], tables: bool = False) -> Callable[[Iterator], Iterator]:
+    """A function over batches that releases memory at its end."""
+
+    def outer(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release(tables)
+
+    return outer
+
+
 def segments(text: str) -> list[str]:
     """Pieces that give ``text`` when joined; the empty text has none."""
     if not text:
