@@ -11,7 +11,7 @@ What matters is a task's own business: for each anchor the least score that can
 from the blocks that the task has seen. It only saves work; the best few of all tasks are ranked by Spark.
 
 Anchors, a query set that the caller states by a condition, meet all rows in blocks: blocks of rows are dealt to
-groups of ``GROUP`` blocks, blocks of anchors are copied to every group, and both are joined by the group. A task holds
+groups of ``GROUP`` blocks at most, blocks of anchors are copied to every group, and both are joined by the group. A task holds
 a block of each and the scores of the anchors it has seen last. First pass: the ``positives`` best rows of an anchor's
 own label. Second pass: for each positive the best ``negatives`` rows of another label whose score lies in the window
 given by the positive's. Vectors in random directions have most of what they are in their deviations: there the first two
@@ -239,7 +239,8 @@ def hard_negatives(
     kept = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite(F.col("v"))
     vectors = given.where(kept).select(F.col("id").alias("ids"), F.col("label").alias("labels"), scaled(F.col("v"), scale, kept).alias("vector"))
     stored = _blocks(vectors, {"ids": "long", "labels": "long"}, BLOCK, "segments")
-    groups = max(1, -(-stored.count() // GROUP))
+    n = stored.count()
+    groups = max(1, -(-n // GROUP), min(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # work for all tasks
     dealt = stored.withColumn("g", F.pmod(F.xxhash64("ids", "vectors"), F.lit(groups)).cast("int"))
 
     one = vectors.withColumnRenamed("ids", "id").where(is_anchor).groupBy("id").agg(F.min(F.struct("labels", "vector")).alias("own"))
