@@ -290,3 +290,33 @@ def test_rule_tables_of_any_size(spark):
     got = matching.match_dynamic(few, many, ["seq"]).collect()
     assert {(r["seq"], r["pattern_idx"], r["ip"]) for r in got} == {(i, i * 999, f"10.0.0.{i}") for i in range(60) if i * 999 < 50_000}
     assert matching.match_dynamic(few, many.limit(0), ["seq"]).count() == 0
+
+
+def test_lines_for_a_rule_table_are_never_broadcast(spark, tmp_path):
+    """A table of rules has no known size, a small file of lines has: Spark must not send the lines' words to all."""
+    spark.range(60_000).select(F.col("id").alias("seq"), F.concat(F.lit("host sshd[1]: Failed password for me and many other words from 10.0.0."), F.col("id") % 200).alias("line")).coalesce(1).write.parquet(str(tmp_path / "lines"))
+    lines_df = spark.read.parquet(str(tmp_path / "lines"))
+    rules = spark.createDataFrame([(0, expand_host("Failed password for .* from <HOST>"), 1)], "pattern_idx int, regex string, host_group int")
+    most = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "40m")
+    try:
+        for held in (matching.HELD_RULES, 0):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(matching, "HELD_RULES", held)
+                assert matching.match_dynamic(lines_df, rules, ["seq"]).where("pattern_idx = 0 and ip is not null").count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", most)
+
+
+def test_rules_are_indexed_by_what_tells_them_apart(spark):
+    """Equal expressions are one rule, and no key that all rules share takes them all."""
+    host = expand_host("<HOST>").removeprefix("(?d)")
+    own = [(100 + i, f": Failed password for user{i} from {host}", 1) for i in range(40)]
+    same = [(i, f"user[0-9]*0 from {host}", 1) for i in (70, 60, 80)]
+    rules = spark.createDataFrame(own + same, "pattern_idx int, regex string, host_group int")
+    index = matching._rule_keys(rules).collect()
+    assert [r["pattern_idx"] for r in index if "[0-9]*0" in r["regex"]] == [60] and len(index) == 41
+    assert {r["key"] for r in index if r["pattern_idx"] >= 100} == {f"user{i}" for i in range(40)}
+    lines_df = lines(spark, [f"sshd: Failed password for user{i} from 10.0.0.{i}" for i in range(40)])
+    got = {(r["seq"], r["pattern_idx"]) for r in matching.match_dynamic(lines_df, rules, ["seq"]).collect()}
+    assert got == {(i, 60 if i % 10 == 0 else 100 + i) for i in range(40)}
