@@ -41,6 +41,13 @@ FAILURES = f"""{lines()},
 found AS (SELECT seq, epoch(strptime(substr(line, 1, 19), '%Y-%m-%dT%H:%M:%S'))::BIGINT AS ts, {host(SSHD[0])} AS h0, {host(SSHD[1])} AS h1, {host(SSHD[2])} AS h2, {host(SSHD[3])} AS h3 FROM lines),
 failures AS (SELECT 'sshd' AS jail, coalesce(h0, h1) AS ip, ts, seq, CASE WHEN h0 IS NULL THEN 1 ELSE 0 END::INT AS pattern_idx FROM found WHERE coalesce(h0, h1) IS NOT NULL
   UNION ALL SELECT 'sshd-closed', coalesce(h2, h3), ts, seq, CASE WHEN h2 IS NULL THEN 1 ELSE 0 END::INT FROM found WHERE coalesce(h2, h3) IS NOT NULL)"""
+
+
+def number(ip: str) -> str:
+    """A plain IPv4 address as a number, of all its octets."""
+    return "(" + " + ".join(f"split_part({ip}, '.', {i})::BIGINT * {256 ** (4 - i)}" for i in range(1, 5)) + ")"
+
+
 BANS = f"""{FAILURES},
 bans AS (SELECT ip, jail, ts AS banned_at, CASE WHEN seq % 11 <> 0 THEN ts + 3600 * (1 + seq % 100) END AS expires_at FROM failures WHERE seq % 3 = 0)"""
 ACTIONS = f"""{BANS},
@@ -50,11 +57,11 @@ JAILS = "jails(jail) AS (VALUES ('sshd'), ('sshd-closed'), ('nginx'))"
 HITS = f"""{FAILURES},
 hits AS (SELECT *, coalesce(ts - lag(ts, 2) OVER (PARTITION BY jail, ip ORDER BY ts, seq) <= 86400, false) AS hit FROM failures),
 judged AS (SELECT jail, ip, count(*) AS failures, bool_or(hit) AS would_ban, min(CASE WHEN hit THEN ts END) AS first_hit_ts FROM hits GROUP BY jail, ip)"""
-NETWORKS = """nets AS (SELECT *, split_part(cidr, '/', 2)::INT AS prefix, split_part(split_part(cidr, '/', 1), '.', 3)::INT * 256 + split_part(split_part(cidr, '/', 1), '.', 4)::INT AS base FROM (
+NETWORKS = f"""nets AS (SELECT *, split_part(cidr, '/', 2)::INT AS prefix, {number("split_part(cidr, '/', 1)")} AS base FROM (
   SELECT '203.0.' || (n_nationkey // 8) || '.' || (n_nationkey % 8 * 32) || '/' || (29 - n_nationkey % 3) AS cidr, (64500 + n_nationkey)::INT AS asn, 'Net ' || n_name AS org, n_name AS country FROM nation
   UNION ALL VALUES ('203.0.0.0/16', 64400, NULL, 'WIDE'), ('203.0.4.0/22', 64401, 'Middle', NULL))),
-ranges AS (SELECT *, base - base % (1 << (32 - prefix)) AS lo, base - base % (1 << (32 - prefix)) + (1 << (32 - prefix)) - 1 AS hi FROM nets)"""
-LOW16 = "(split_part(ip, '.', 3)::INT * 256 + split_part(ip, '.', 4)::INT)"
+ranges AS (SELECT *, base - base % (1::BIGINT << (32 - prefix)) AS lo, base - base % (1::BIGINT << (32 - prefix)) + (1::BIGINT << (32 - prefix)) - 1 AS hi FROM nets)"""
+ADDRESS = number("ip")
 CUSTOMER_JAILS = """old AS (SELECT 'jail-' || c_custkey AS jail, CASE WHEN c_custkey % 1000 = 0 THEN 'iptables' ELSE 'nftables' END AS backend FROM customer WHERE c_custkey % 7 <> 1),
 new AS (SELECT 'jail-' || c_custkey AS jail, CASE WHEN c_custkey % 5 = 0 THEN 'iptables' ELSE 'nftables' END AS backend, c_custkey % 4 <> 0 AS reban FROM customer WHERE c_custkey % 7 <> 0),
 delta AS (SELECT coalesce(o.jail, n.jail) AS jail, unnest(CASE WHEN o.jail IS NULL THEN ['added'] WHEN n.jail IS NULL THEN ['removed'] WHEN o.backend = n.backend THEN ['kept'] ELSE ['removed', 'added'] END) AS change
@@ -177,11 +184,11 @@ SQL: dict[str, str] = {
         WHEN 2 THEN '10.1.' || (event_id % 256) || '.' || (event_id % 300) WHEN 3 THEN '10.1.2.' || (event_id % 256) ELSE '192.168.' || (event_id % 256) || '.' || ((event_id // 256) % 256) END AS token FROM events),
       p AS (SELECT event_id, CASE WHEN regexp_matches(token, '{V4}') THEN token WHEN event_id % 5 = 2 THEN '::ffff' END AS without_port FROM t), q AS (SELECT *, CASE WHEN event_id % 5 <> 3 AND without_port <> '::ffff' THEN without_port END AS ip FROM p)
       SELECT event_id, ip, CASE WHEN ip IS NOT NULL THEN {_HEX} END AS ip_hex, without_port FROM q""",
-    "ip_in_net": f"WITH {FAILURES} SELECT seq, {LOW16} BETWEEN 64 AND 127 AS inside FROM failures",
-    "drop_allowlisted": f"WITH {FAILURES} SELECT jail, ip, ts, seq FROM failures WHERE NOT ({LOW16} BETWEEN 0 AND 63 OR {LOW16} BETWEEN 272 AND 279 OR {LOW16} = 1287)",
-    "allowlist_anti_join": f"WITH {FAILURES}, {NETWORKS} SELECT jail, ip, ts, seq FROM failures WHERE NOT EXISTS (SELECT 1 FROM ranges WHERE asn > 64400 AND {LOW16} BETWEEN lo AND hi)",
-    "geo_enrich": f"WITH {BANS}, {NETWORKS}, a AS (SELECT ip, arg_max(struct_pack(asn := asn, country := country), prefix) AS n FROM (SELECT DISTINCT ip FROM bans), ranges WHERE {LOW16} BETWEEN lo AND hi GROUP BY ip) SELECT ip, jail, banned_at, n.asn AS asn, n.country AS country FROM bans LEFT JOIN a USING (ip)",
-    "asn_label": f"WITH {BANS}, {NETWORKS}, a AS (SELECT ip, arg_max(struct_pack(asn := asn, org := org), prefix) AS n FROM (SELECT DISTINCT ip FROM bans), ranges WHERE {LOW16} BETWEEN lo AND hi GROUP BY ip) SELECT ip, 'AS' || n.asn || coalesce(' (' || n.org || ')', '') AS label FROM (SELECT DISTINCT ip FROM bans) LEFT JOIN a USING (ip)",
+    "ip_in_net": f"WITH {FAILURES} SELECT seq, {ADDRESS} BETWEEN {number("'203.0.0.64'")} AND {number("'203.0.0.127'")} AS inside FROM failures",
+    "drop_allowlisted": f"WITH {FAILURES} SELECT jail, ip, ts, seq FROM failures WHERE NOT ({ADDRESS} BETWEEN {number("'203.0.0.0'")} AND {number("'203.0.0.63'")} OR {ADDRESS} BETWEEN {number("'203.0.1.16'")} AND {number("'203.0.1.23'")} OR {ADDRESS} = {number("'203.0.5.7'")})",
+    "allowlist_anti_join": f"WITH {FAILURES}, {NETWORKS} SELECT jail, ip, ts, seq FROM failures WHERE NOT EXISTS (SELECT 1 FROM ranges WHERE asn > 64400 AND {ADDRESS} BETWEEN lo AND hi)",
+    "geo_enrich": f"WITH {BANS}, {NETWORKS}, a AS (SELECT ip, arg_max(struct_pack(asn := asn, country := country), prefix) AS n FROM (SELECT DISTINCT ip FROM bans), ranges WHERE {ADDRESS} BETWEEN lo AND hi GROUP BY ip) SELECT ip, jail, banned_at, n.asn AS asn, n.country AS country FROM bans LEFT JOIN a USING (ip)",
+    "asn_label": f"WITH {BANS}, {NETWORKS}, a AS (SELECT ip, arg_max(struct_pack(asn := asn, org := org), prefix) AS n FROM (SELECT DISTINCT ip FROM bans), ranges WHERE {ADDRESS} BETWEEN lo AND hi GROUP BY ip) SELECT ip, 'AS' || n.asn || coalesce(' (' || n.org || ')', '') AS label FROM (SELECT DISTINCT ip FROM bans) LEFT JOIN a USING (ip)",
     "failure_counts": f"WITH {FAILURES} SELECT jail, ip, count(*) AS failures FROM failures GROUP BY jail, ip",
     "threshold_hits": f"WITH {HITS} SELECT jail, ip, ts, seq, hit FROM hits",
     "would_ban": f"WITH {HITS} SELECT * FROM judged",
