@@ -211,3 +211,39 @@ def test_failure_rates_of_a_stream(feed, spark):
     assert run() == want
     whole = failure_rates(spark.read.parquet(f"{feed.path}/in").where("ts <> 1055"), "100 seconds").where("window_start < 1300")
     assert sorted((r["jail"], r["window_start"], r["failures"]) for r in whole.collect()) == want
+
+
+def test_an_address_takes_few_messages_to_its_state():
+    """A turn of an address reads its state once and writes it once, however many jails and failures there are."""
+    from pyspark.sql import Row
+
+    from banstream.streaming.tracker import BanTracker
+
+    said = []
+
+    class Handle:
+        value = None
+
+        def __getattr__(self, name):
+            return lambda *a: said.append(name) or (self if name.startswith("get") and name != "get" else None)
+
+        def get(self):
+            said.append("get")
+            return self.value
+
+        def update(self, value):
+            said.append("update")
+            self.value = value
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    tracker, handle = BanTracker({"a": A, "b": B}, 0, "event"), Handle()
+    tracker.init(handle)
+    rows = [Row(kind="failure", ip="1", jail=j, ban_time=None, ts=1000 + i, seq=i) for i, j in enumerate("abababab")]
+    for part in (rows[:3], rows[3:]):
+        said.clear()
+        out = list(tracker.handleInputRows(("1",), iter(part), Times()))
+        assert (said.count("get"), said.count("update")) == (1, 1) and len(said) <= 6
+    assert handle.value is not None and [r.action for r in out] == ["ban", "ban"]
