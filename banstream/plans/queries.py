@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,11 +131,42 @@ def log_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.regexp_extract("source", "part=([0-9])", 1).cast("int").alias("part"), "seq", F.regexp_extract("line", r"\[([0-9]+)\]", 1).cast("long").alias("event_id"))
 
 
+#: Each file is sorted in so many pieces.
+PIECES = 16
+
+
+def _pieces(lines: DataFrame) -> DataFrame:
+    """(part, piece, value): the lines of four files in their order, a piece of a file in one task."""
+    placed = lines.select((F.col("seq") % 4).alias("part"), (F.col("seq") * 7919 % 10007).alias("place"), "seq", F.col("line").alias("value"))
+    cut = placed.withColumn("piece", F.floor(F.col("place") * PIECES / 10007).cast("int"))
+    return cut.repartition("part", "piece").sortWithinPartitions("part", "piece", "place", "seq").select("part", "piece", "value")
+
+
 def _log_files(spark: SparkSession, sf_dir: str) -> str:
-    """The log as four files in which dates go back and forth."""
-    folder = state.work_folder(spark, "log")
-    lines = log_lines(spark, sf_dir).select((F.col("seq") % 4).alias("part"), (F.col("seq") * 7919 % 10007).alias("place"), "seq", "line")
-    lines.repartition(4, "part").sortWithinPartitions("part", "place", "seq").select("part", F.col("line").alias("value")).write.partitionBy("part").text(folder)
+    """The log as four files in which dates go back and forth; sorted in pieces, whose bytes a task for each file then copies one after the other."""
+    folder, pieces = state.work_folder(spark, "log"), state.work_folder(spark, "pieces")
+    _pieces(log_lines(spark, sf_dir)).write.partitionBy("part", "piece").text(pieces)
+
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            for part in frame["id"]:
+                (system, source), (_, target) = fs.FileSystem.from_uri(pieces), fs.FileSystem.from_uri(folder)
+                own = f"{target}/part={part}"
+                system.create_dir(own, recursive=True)
+                draft = f"{own}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as out:
+                    for piece in range(PIECES):
+                        found = system.get_file_info(fs.FileSelector(f"{source}/part={part}/piece={piece}", allow_not_found=True))
+                        for path in sorted(f.path for f in found if f.base_name.startswith("part-")):
+                            with system.open_input_stream(path) as read:
+                                while chunk := read.read(1 << 20):
+                                    out.write(chunk)
+                system.move(draft, f"{own}/part-00000.txt")
+            yield frame
+
+    spark.range(0, 4, 1, 4).mapInPandas(join, "id long").write.format("noop").mode("overwrite").save()
     return folder
 
 

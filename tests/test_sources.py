@@ -48,3 +48,27 @@ def test_event_log_as_json(spark):
     events = spark.createDataFrame([(1, 'a "b"\n=', None), (2, "", 7)], "n int, text string, other int")
     got = [json.loads(r["line"]) for r in state.event_log(events, "seen", {"n": False, "text": True, "other": False}, fmt="json").collect()]
     assert got == [{"msg": "seen", "n": 1, "text": 'a "b"\n=', "other": None}, {"msg": "seen", "n": 2, "text": "", "other": 7}]
+
+
+def test_a_file_of_the_log_is_sorted_in_pieces(spark):
+    """No task sorts a whole file, and the pieces follow each other as the file's lines do."""
+    from pyspark.sql import functions as F
+
+    from banstream.plans import queries
+
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        made = queries._pieces(spark.range(20_000).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("line")))
+        rows = made.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    sizes = {t: sum(r["task"] == t for r in rows) for t in {r["task"] for r in rows}}
+    assert max(sizes.values()) < 20_000 / 8
+    for part in range(4):
+        own = [(r["piece"], int(r["value"])) for r in rows if r["part"] == part]
+        want = sorted(range(part, 20_000, 4), key=lambda i: (i * 7919 % 10007, i))
+        assert [v for _, v in sorted(own, key=lambda x: x[0])] == want
