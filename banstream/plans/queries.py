@@ -132,14 +132,14 @@ def log_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Each file is sorted in so many pieces.
-PIECES = 16
+PIECES = 32
 
 
 def _pieces(lines: DataFrame) -> DataFrame:
     """(part, piece, value): the lines of four files in their order, a piece of a file in one task."""
     placed = lines.select((F.col("seq") % 4).alias("part"), (F.col("seq") * 7919 % 10007).alias("place"), "seq", F.col("line").alias("value"))
     cut = placed.withColumn("piece", F.floor(F.col("place") * PIECES / 10007).cast("int"))
-    return cut.repartition("part", "piece").sortWithinPartitions("part", "piece", "place", "seq").select("part", "piece", "value")
+    return cut.repartition(4 * PIECES, "part", "piece").sortWithinPartitions("part", "piece", "place", "seq").select("part", "piece", "value")
 
 
 def _log_files(spark: SparkSession, sf_dir: str) -> str:
