@@ -247,3 +247,64 @@ def test_an_address_takes_few_messages_to_its_state():
         out = list(tracker.handleInputRows(("1",), iter(part), Times()))
         assert (said.count("get"), said.count("update")) == (1, 1) and len(said) <= 6
     assert handle.value is not None and [r.action for r in out] == ["ban", "ban"]
+
+
+def test_a_group_takes_as_few_messages_as_an_address(feed, spark):
+    """A turn of a group reads and writes its state once and has one timer, and groups change no action and no state."""
+    from pyspark.sql import Row
+
+    from banstream.streaming.tracker import BanTracker
+
+    said = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, *a):
+            return self
+
+        def get(self):
+            said.append("get")
+            return self.value
+
+        def update(self, value):
+            said.append("update")
+            self.value = value
+
+        def registerTimer(self, ms):
+            said.append(ms)
+
+        def deleteTimer(self, ms):
+            said.append(-ms)
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+        def getExpiryTimeInMs(self):
+            return 1077_000
+
+    tracker, handle = BanTracker({"a": A, "b": B}, 0, "event"), Handle()
+    tracker.init(handle)
+    rows = [Row(kind="failure", ip=str(i % 50), jail="a", ban_time=None, ts=1000 + i // 5, seq=i) for i in range(130)]
+    out = list(tracker.handleInputRows((7,), iter(rows), Times(0)))
+    assert said == ["get", "update", 1077_000] and len(out) == 30  # then a ring of two failures is out of reach
+    said.clear()
+    out = list(tracker.handleExpiredTimer((7,), Times(1122_000), Times(0)))
+    assert sorted(r.at for r in out) == [1120] * 5 + [1121] * 5 + [1122] * 5 and said == ["get", "update", 1123_000]
+
+    data = [[("a", str(i % 3), 1000 + 9 * i) for i in range(40)], [("b", str(i % 9), 1500 + i) for i in range(30)] + [("a", "1", 1000)], [("a", "99", 9000)]]
+    other, read = Feed(spark, f"{feed.path}/grouped"), ["ip", "jail", "action", "at", "expires_at", "level", "event_seq"]
+    for part in data:
+        feed.add(*part)
+        other.add(*part)
+        feed.run()
+        other.run(groups=2)
+        for what in (live.live_bans, live.live_rings, live.live_counts):
+            assert feed.state(what) == other.state(what)
+        assert feed.state(live.live_stats, [A, B]) == other.state(live.live_stats, [A, B])
+    found, want = (sorted(map(str, f.actions().select(read).collect())) for f in (other, feed))
+    assert found == want and any("unban" in r for r in found) and any("late" in r for r in found)
