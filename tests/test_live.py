@@ -308,3 +308,30 @@ def test_a_group_takes_as_few_messages_as_an_address(feed, spark):
         assert feed.state(live.live_stats, [A, B]) == other.state(live.live_stats, [A, B])
     found, want = (sorted(map(str, f.actions().select(read).collect())) for f in (other, feed))
     assert found == want and any("unban" in r for r in found) and any("late" in r for r in found)
+
+
+def test_a_tracker_has_partitions_by_its_rows(spark):
+    """A micro-batch pays for every partition of the state, whatever other shuffles of the session need."""
+    from banstream.plans import streams
+    from pyspark.sql import functions as F
+
+    assert [streams.state_partitions(n, 12) for n in (0, 3_000_000, 3_000_001, 21_600_000)] == [12, 12, 13, 87]
+    spark.conf.set(streams.PARTITIONS, "23")
+    try:
+        done = streams.track(spark, "/root/testdata/sf0.001", F.lit(0), 1)
+        assert spark.conf.get(streams.PARTITIONS) == "23" and spark.conf.get(streams.CHANGES, None) is None
+    finally:
+        spark.conf.set(streams.PARTITIONS, "4")
+    assert {r["numPartitions"] for r in spark.read.format("state-metadata").load(done.checkpoint).collect()} == {spark.sparkContext.defaultParallelism}
+
+
+def test_stats_read_the_state_once(feed, spark):
+    """A read of the state opens the store of every partition; totals and bans come from one."""
+    feed.add(*[("a", "1", 1000 + i) for i in range(3)], ("b", "2", 1000))
+    feed.run(groups=2)
+    stats = live.live_stats(spark, feed.checkpoint, [A, B])
+    assert stats._jdf.queryExecution().optimizedPlan().toString().count("storeName=") == 1
+    assert sorted(map(tuple, stats.collect())) == [("a", 1, 1, 0, 3), ("b", 0, 0, 0, 1)]
+    stored = spark.read.format("statestore").option("path", feed.checkpoint).option("stateVarName", "address").load()
+    assert {f.name: f.dataType.simpleString() for f in stored.schema["value"].dataType} == {"addresses": "string"}
+    assert stored.count() == 2
