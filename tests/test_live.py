@@ -335,3 +335,15 @@ def test_stats_read_the_state_once(feed, spark):
     stored = spark.read.format("statestore").option("path", feed.checkpoint).option("stateVarName", "address").load()
     assert {f.name: f.dataType.simpleString() for f in stored.schema["value"].dataType} == {"addresses": "string"}
     assert stored.count() == 2
+
+
+def test_a_tracker_takes_few_turns(spark):
+    """A group's turn has a fixed cost in every micro-batch: a partition of the state has no more than 32."""
+    from banstream.plans import streams
+    from pyspark.sql import functions as F
+
+    done = streams.track(spark, "/root/testdata/sf0.01", F.lit(0), 1)
+    stored = spark.read.format("statestore").option("path", done.checkpoint).option("stateVarName", "address").load()
+    numbers = [r[0] for r in stored.select("key.own").collect()]
+    assert len(numbers) == len(set(numbers)) and max(numbers) < 32 * spark.sparkContext.defaultParallelism
+    assert live.read_state(spark, done.checkpoint).select("ip").distinct().count() == 150
