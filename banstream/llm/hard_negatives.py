@@ -11,8 +11,10 @@ What matters is a task's own business: for each anchor the least score that can
 from the blocks that the task has seen. It only saves work; the best few of all tasks are ranked by Spark.
 
 Anchors, a query set that the caller states by a condition, meet all rows in blocks: blocks of rows are dealt to
-groups of ``GROUP`` blocks at most, blocks of anchors are copied to every group, and both are joined by the group. A task holds
-a block of each and the scores of the anchors it has seen last. First pass: the ``positives`` best rows of an anchor's
+groups of ``GROUP`` blocks at most, blocks of anchors are copied to every group, and both are joined by the group. Up to ``GROUP``
+groups there may be more than that takes, for work for all tasks. The copies are shuffled, never broadcast (Spark would judge them by
+the size of one), and go without summaries, which are made where they arrive. A task holds a block of each and the
+scores of the anchors it has seen last. First pass: the ``positives`` best rows of an anchor's
 own label. Second pass: for each positive the best ``negatives`` rows of another label whose score lies in the window
 given by the positive's. Vectors in random directions have most of what they are in their deviations: there the first two
 levels left 95 % of all pairs and the third 30 %, for the best five. What is left of a block is scored as a whole where
@@ -47,7 +49,9 @@ GROUP = 64
 REMEMBERED = 256
 #: If a larger share of a block's pairs is left, the block is scored as a whole.
 DENSE = 0.05
-NONE = np.iinfo(np.int64).min
+SUMMARY = ("means", "deviations")
+#: Less than any score; its negative is a number too.
+NONE = np.iinfo(np.int64).min + 1
 
 
 def summaries(vectors: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -102,8 +106,8 @@ def leading(key: np.ndarray, score: np.ndarray, ids: np.ndarray, most: int) -> n
     return order[place < most]
 
 
-def _pack(columns: dict[str, str], size: int):
-    """mapInArrow function: rows (id, label, vector, ..) to blocks of at most ``size`` vectors of one length."""
+def _pack(columns: dict[str, str], size: int, summed: bool):
+    """mapInArrow function: rows (id, label, vector, ..) to blocks of at most ``size`` vectors of one length, ``summed``: with their summaries."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,16 +117,16 @@ def _pack(columns: dict[str, str], size: int):
                 for i in range(0, len(at), size):
                     own = b.take(pa.array(at[i : i + size]))
                     vectors = own["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(len(own), dims)
-                    means, deviations, _ = summaries(vectors, SEGMENTS[-1])
+                    known = [x.tobytes() for x in summaries(vectors, SEGMENTS[-1])[:2]] if summed else []
                     rest = [own[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes() if kind == "array" else own[c].to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c, kind in columns.items()]
-                    yield pa.record_batch([pa.array([x], pa.int32() if isinstance(x, int) else pa.binary()) for x in (int(dims), vectors.tobytes(), means.tobytes(), deviations.tobytes(), *rest)], ["dims", "vectors", "means", "deviations", *columns])
+                    yield pa.record_batch([pa.array([x], pa.int32() if isinstance(x, int) else pa.binary()) for x in (int(dims), vectors.tobytes(), *known, *rest)], ["dims", "vectors", *SUMMARY[: len(known)], *columns])
 
     return pack
 
 
-def _blocks(rows: DataFrame, columns: dict[str, str], size: int, name: str) -> DataFrame:
-    kinds = ", ".join(f"{c} binary" for c in ("vectors", "means", "deviations", *columns))
-    return materialize(rows.mapInArrow(_pack(columns, size), f"dims int, {kinds}"), name)
+def _blocks(rows: DataFrame, columns: dict[str, str], size: int, name: str, summed: bool = False) -> DataFrame:
+    kinds = ", ".join(f"{c} binary" for c in ("vectors", *(SUMMARY if summed else ()), *columns))
+    return materialize(rows.mapInArrow(_pack(columns, size, summed), f"dims int, {kinds}"), name)
 
 
 class Block:
@@ -132,8 +136,11 @@ class Block:
         self.key, dims = row[f"{side}_ids"], row[f"{side}_dims"]
         self.ids, self.labels = (np.frombuffer(row[f"{side}_{c}"], np.int64) for c in ("ids", "labels"))
         self.vectors = np.frombuffer(row[f"{side}_vectors"], np.int32).reshape(len(self.ids), dims)
-        means, deviations = (np.frombuffer(row[f"{side}_{c}"], np.float64).reshape(len(self.ids), SEGMENTS[-1]) for c in ("means", "deviations"))
-        self.summary = (means, deviations, -(-dims // SEGMENTS[-1]))
+        if f"{side}_means" in row:
+            means, deviations = (np.frombuffer(row[f"{side}_{c}"], np.float64).reshape(len(self.ids), SEGMENTS[-1]) for c in SUMMARY)
+            self.summary = (means, deviations, -(-dims // SEGMENTS[-1]))
+        else:
+            self.summary = summaries(self.vectors, SEGMENTS[-1])
 
 
 class Seen(OrderedDict):
@@ -159,9 +166,13 @@ def _remember(best: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
 
 
 def _each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block, Block]]:
+    a = None
     for b in batches:
-        for row in b.to_pylist():
-            yield row, Block(row, "a"), Block(row, "r")
+        for i in range(b.num_rows):  # a pair has some MB
+            row = b.slice(i, 1).to_pylist()[0]
+            if a is None or a.key != row["a_ids"]:  # it stays for all blocks of its group
+                a = Block(row, "a")
+            yield row, a, Block(row, "r")
 
 
 def _best_of_label(most: int):
@@ -215,7 +226,11 @@ def _side(df: DataFrame, side: str) -> DataFrame:
 def _pairs(anchors: DataFrame, rows: DataFrame, groups: int) -> DataFrame:
     """Every block of anchors beside every block of rows of vectors as long."""
     spread = anchors.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return _side(spread, "a").join(_side(rows, "r"), "g").where("a_dims = r_dims")
+    return _side(spread, "a").hint("merge").join(_side(rows, "r"), "g").where("a_dims = r_dims")
+
+
+def group_count(blocks: int, partitions: int) -> int:
+    return max(1, -(-blocks // GROUP), min(blocks, partitions, GROUP))
 
 
 def hard_negatives(
@@ -238,9 +253,8 @@ def hard_negatives(
     given = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"), F.col(f"`{vector_col}`").alias("v"))
     kept = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite(F.col("v"))
     vectors = given.where(kept).select(F.col("id").alias("ids"), F.col("label").alias("labels"), scaled(F.col("v"), scale, kept).alias("vector"))
-    stored = _blocks(vectors, {"ids": "long", "labels": "long"}, BLOCK, "segments")
-    n = stored.count()
-    groups = max(1, -(-n // GROUP), min(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # work for all tasks
+    stored = _blocks(vectors, {"ids": "long", "labels": "long"}, BLOCK, "segments", summed=True)
+    groups = group_count(stored.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = stored.withColumn("g", F.pmod(F.xxhash64("ids", "vectors"), F.lit(groups)).cast("int"))
 
     one = vectors.withColumnRenamed("ids", "id").where(is_anchor).groupBy("id").agg(F.min(F.struct("labels", "vector")).alias("own"))
@@ -254,9 +268,9 @@ def hard_negatives(
     # of each anchor at most ``positives`` rows
     own = best.groupBy(F.col("anchor_id").alias("ids")).agg(F.array_sort(F.collect_list(F.struct("p", "positive_score"))).alias("s"))
     scored = F.transform(F.sequence(F.lit(0), F.lit(positives - 1)), lambda p: F.coalesce(F.get(F.col("s.positive_score"), p), F.lit(int(NONE))))
-    armed = chosen.join(own, "ids").select("ids", "labels", "vector", scored.alias("scores"))
+    armed = chosen.hint("merge").join(own, "ids").select("ids", "labels", "vector", scored.alias("scores"))
     pairs = _pairs(_blocks(armed, {"ids": "long", "labels": "long", "scores": "array"}, ANCHORS, "armed-blocks"), dealt, groups)
     hits = pairs.mapInArrow(_best_in_windows(negatives, positives, from_percent, to_percent), "anchor_id long, p int, negative_id long, negative_score long")
     rank = F.row_number().over(Window.partitionBy("anchor_id", "p").orderBy(F.desc("negative_score"), "negative_id"))
     ranked = hits.withColumn("rank", rank).where(F.col("rank") <= negatives)
-    return ranked.join(best, ["anchor_id", "p"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return ranked.join(best.hint("merge"), ["anchor_id", "p"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

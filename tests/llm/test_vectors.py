@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from banstream.llm import hard_negatives as module
 from banstream.llm.centroids import Marks, cluster_vectors, intervals, sure
 from banstream.llm.hard_negatives import bounds, coarser, hard_negatives, summaries
+from banstream.llm.shared import materialize
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cluster int, distance string, ids int"
 
@@ -125,3 +126,24 @@ def test_hard_negatives_of_none(spark):
     rows = [(10, [1.0, 0.0], 1), (20, [0.0, 1.0], 2)]
     assert hard_negatives(frame(spark, rows), F.col("id") % 10 == 0).count() == 0  # no positives
     assert hard_negatives(frame(spark, rows).where(F.lit(False)), F.col("id") % 10 == 0).count() == 0
+
+
+def test_copies_of_anchors_are_not_broadcast(spark):
+    """Spark judges copied blocks by the size of one copy: so many, small on disk, were broadcast through the driver."""
+    block = spark.createDataFrame([(2, bytes(8), bytes(8), bytes(8))], "dims int, vectors binary, ids binary, labels binary")
+    anchors, rows = (materialize(block, name) for name in ("anchors", "rows"))
+    pairs = module._pairs(anchors, rows.withColumn("g", F.lit(7)), 64)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert pairs.count() == 1
+
+
+def test_copies_of_anchors_stay_few():
+    assert [module.group_count(n, 200) for n in (0, 1, 10, 624, 64 * 64, 64 * 100)] == [1, 1, 10, 64, 64, 100]
+
+
+def test_best_scores_are_remembered():
+    best = np.full((3, 2), module.NONE)
+    module._remember(best, np.array([0, 2, 2]), np.array([5, -4, 9]))
+    module._remember(best, np.array([0, 2]), np.array([7, 1]))
+    assert best.tolist() == [[7, 5], [module.NONE, module.NONE], [9, 1]]
