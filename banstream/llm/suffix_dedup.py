@@ -6,7 +6,7 @@ A byte goes when it lies in a string of ``length`` bytes that is also found in a
 anchor, so equal strings have equal anchors wherever they are. About one byte in fourteen begins an anchor. What lies
 around an anchor, as far as strings of ``length`` bytes with it reach, is its context. Hashes of anchors are dealt to
 buckets (four bytes each, as planes of sorted bytes), which return a bit for each: whether another document has it. For
-those that are shared, a hash of anchor and context (128 bits) goes to buckets. A context that is also in a smaller
+those that are shared, a hash of anchor and context (96 bits beside the bucket) goes to buckets. A context that is also in a smaller
 document is covered as a whole. What is left to decide are the first documents of contexts whose anchor has several.
 
 *Suffix arrays.* The different contexts of an anchor, each from its first document, make a string for linear grouping
@@ -17,13 +17,16 @@ is left out before.
 
 *Hot anchors* aren't gathered. One in more than ``HOT_PARTS`` parts of the texts may have any number of contexts: these
 are dealt by context instead of by anchor. Contexts of such an anchor, and of one that has more than ``HOT`` different
-ones (the edges of a common passage), are cut into strings of ``length`` bytes, and the least identifiers of these come
-from an aggregation of partial minima.
+ones (the edges of a common passage), are cut into strings of ``length`` bytes, a place of a text once, however many anchors
+it has. A part sends a hash (96 bits) and its least identifier of each different string to buckets, which return a bit for
+each: whether a smaller document has it.
 
 Texts are shuffled once, to a table bucketed by part; the later passes over them bring bits and positions to the texts,
-not texts to these. Parts have ``PART_BYTES``, and more of very large tables, so that an anchor or context which is
-everywhere, and costs a bucket one entry for each part, stays small there. All else is bounded: a bucket by
-``BUCKET_ANCHORS`` on average and what ``HOT_PARTS`` parts hold at most, a task's numpy work by slices of a part.
+not texts to these. A pass ends in a table, which frees the disk that its shuffle took. Numbers go as planes of their bytes,
+in the order of hashes where they can, which the shuffle's compression makes small. Parts have ``PART_BYTES``, and more of
+very large tables, so that an anchor or context which is everywhere, and costs a bucket one entry for each part, stays
+small there. All else is bounded: a bucket by ``BUCKET_ANCHORS`` on average and what ``HOT_PARTS`` parts hold at most, a
+task's numpy work by slices of a part.
 
 Defined cases: a null text is empty; rows without an identifier come after all others and take nothing from each
 other; rows that repeat an identifier take nothing from each other; texts shorter than ``length`` stay as they are;
@@ -41,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from banstream.llm.shared import fresh_path, materialize
+from banstream.llm.shared import fresh_path, materialize, shuffles_removed
 from banstream.llm.shingles import mix, random64
 from banstream.llm.suffix_groups import spread, suffix_arrays
 
@@ -116,7 +119,7 @@ def _reach(at: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray,
     return text, np.maximum(at - (length - anchor_bytes(length)), starts[text]), np.minimum(at + length, starts[text + 1])
 
 
-def context_hashes(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def context_hashes(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, by: int = 13) -> np.ndarray:
     out = np.zeros(len(at), np.uint64)
     for i in range(0, len(at), 1 << 15):
         a, z = low[i : i + (1 << 15)], high[i : i + (1 << 15)]
@@ -126,7 +129,7 @@ def context_hashes(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.n
         raw[index >= z[:, None]] = 0
         h = mix((at[i : i + (1 << 15)] - a).astype(np.uint64) * _ODD[14] + (z - a).astype(np.uint64) * _ODD[15])
         for word in np.ascontiguousarray(raw).view("<u8").T:
-            h = mix(h * _ODD[13] ^ word)
+            h = mix(h * _ODD[by] ^ word)
         out[i : i + (1 << 15)] = h
     return out
 
@@ -148,13 +151,22 @@ def _data(column: pa.Array) -> bytes | pa.Buffer:
     return data[int(ends[0]) : int(ends[-1])] if data is not None and len(column) else b""
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers by the plane of their bytes; the high planes shrink to nearly nothing when compressed."""
-    return np.ascontiguousarray(values.astype(">u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(values: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of ``width`` bytes by the plane of their bytes; of sorted or small ones the high planes shrink to nearly nothing when compressed."""
+    return np.ascontiguousarray(values.astype(f">u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def _unplane(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(">u4").ravel().astype(np.uint64)
+def _unplane(raw: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f">u{width}").ravel().astype(np.uint64)
+
+
+def _unplaned(rows: pa.Table, name: str, width: int = 4) -> np.ndarray:
+    """The numbers of all rows of a column of planes."""
+    return np.concatenate([np.zeros(0, np.uint64), *(_unplane(x, width) for x in rows[name].to_pylist())])
+
+
+def _unpacked(packed: list[bytes], counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n).view(bool) for b, n in zip(packed, counts, strict=True))])
 
 
 def _rows(columns: dict[str, list], **types: pa.DataType) -> pa.Table:
@@ -234,6 +246,7 @@ def _contexts(length: int, buckets: int):
             text, low, high = _reach(at, starts, length)
             c = context_hashes(data, at, low, high)
             bucket = np.where(everywhere, _bucket(mix(h ^ c), buckets), bucket)
+            h = h & np.uint64(0xFFFFFFFF)  # with the bucket the anchor, with the context's hash 96 bits and more
             order = np.lexsort((at, c, h, bucket))
             at, h, c, bucket, everywhere, owner = at[order], h[order], c[order], bucket[order], everywhere[order], ids[text[order]]
             changed = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (bucket[1:] != bucket[:-1])
@@ -244,7 +257,7 @@ def _contexts(length: int, buckets: int):
             for a, z in zip((b := _cuts(bucket[cuts[:-1]]))[:-1], b[1:], strict=True):
                 i, j = cuts[a], cuts[z]
                 head = cuts[a:z]
-                out.append((int(bucket[i]), table["part"][0].as_py(), h[head].tobytes(), c[head].tobytes(), everywhere[head].tobytes(), least[a:z].tobytes(), n[a:z].astype(np.uint32).tobytes(), first[a:z].astype(np.uint32).tobytes(), at[i:j].astype(np.uint32).tobytes()))
+                out.append((int(bucket[i]), table["part"][0].as_py(), _planes(h[head]), c[head].tobytes(), np.packbits(everywhere[head]).tobytes(), _planes(least[a:z], 8), _planes(n[a:z]), _planes(first[a:z]), _planes(at[i:j])))
         return _rows(dict(zip(names, map(list, zip(*out, strict=True)) if out else [[]] * 9, strict=True)), bucket=pa.int32(), part=pa.int32())
 
     return contexts
@@ -254,9 +267,10 @@ def _decide(hot: int):
     """For each part's contexts in a bucket: the positions that are covered, and what suffix arrays have to decide."""
 
     def decide(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-        hs, cs, alls, leasts, ns, firsts, ats = (read(*x) for x in (("h", np.uint64), ("c", np.uint64), ("everywhere", np.bool_), ("least", np.int64), ("n", np.uint32), ("n_least", np.uint32), ("at", np.uint32)))
-        h, c, everywhere, least = map(np.concatenate, (hs, cs, alls, leasts))
+        hs, ns, firsts, ats = ([_unplane(x) for x in table[name].to_pylist()] for name in ("h", "n", "n_least", "at"))
+        h, c, least = np.concatenate(hs), np.frombuffer(b"".join(table["c"].to_pylist()), np.uint64), _unplaned(table, "least", 8).view(np.int64)
+        everywhere = _unpacked(table["everywhere"].to_pylist(), [len(x) for x in hs])
+        lane = h | np.uint64(table["bucket"][0].as_py() << 32)
         order = np.lexsort((c, h))
         sh, sc = h[order], c[order]
         changed = np.concatenate([[True], (sh[1:] != sh[:-1]) | (sc[1:] != sc[:-1])])
@@ -272,12 +286,12 @@ def _decide(hot: int):
         out, a = [], 0
         for i in range(table.num_rows):
             z = a + len(hs[i])
-            n, own, f, at = ns[i].astype(np.int64), firsts[i].astype(np.int64), first[a:z], ats[i]
+            n, own, f, at = ns[i].view(np.int64), firsts[i].view(np.int64), first[a:z], ats[i]
             begin = np.cumsum(n) - n
             skip = np.where(f, own, 0)
             covered = at[spread(begin + skip, n - skip)]
             ask = np.flatnonzero(f & many[a:z])
-            out.append((covered.tobytes(), hs[i][ask].tobytes(), crowd[a:z][ask].astype(np.uint8).tobytes(), own[ask].astype(np.uint32).tobytes(), at[spread(begin[ask], own[ask])].tobytes(), int(crowd[a:z][ask].sum())))
+            out.append((_planes(np.sort(covered)), _planes(lane[a:z][ask], 8), crowd[a:z][ask].astype(np.uint8).tobytes(), _planes(own[ask]), _planes(at[spread(begin[ask], own[ask])]), int(crowd[a:z][ask].sum())))
             a = z
         kinds = {"part": table["part"], "kind": pa.array([0] * len(out), pa.int32())}
         names = ("covered", "lane", "hot", "n", "at", "n_hot")
@@ -291,26 +305,21 @@ _DECIDED = "part int, kind int, covered binary, lane binary, hot binary, n binar
 
 def _asked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a part's decided rows: lane, hot, and for each the positions as (n, at) with the first one apart."""
-    read = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
-    n, at = read("n", np.uint32).astype(np.int64), read("at", np.uint32).astype(np.int64)
-    return read("lane", np.uint64), read("hot", np.uint8) > 0, n, at, at[np.cumsum(n) - n] if len(n) else at
+    n, at = (_unplaned(rows, name).view(np.int64) for name in ("n", "at"))
+    return _unplaned(rows, "lane", 8), np.frombuffer(b"".join(rows["hot"].to_pylist()), np.uint8) > 0, n, at, at[np.cumsum(n) - n] if len(n) else at
 
 
-def _cut(length: int, hot: bool):
-    """The contexts that suffix arrays compare, t: the bytes before the anchor (hot: the strings of the length in those of hot anchors, t: their places)."""
+def _cut(length: int):
+    """The contexts that suffix arrays compare, t: the bytes before the anchor."""
 
     def cut(table: pa.Table, rows: pa.Table) -> pa.Table:
         part, at, t, owner, lane, low, sizes, data = 0, *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         if table.num_rows and rows.num_rows:
             ids, data, starts = _texts(table)
             lane, crowd, _, _, at = _asked(rows)
-            lane, at, part = lane[crowd == hot], at[crowd == hot], table["part"][0].as_py()
+            lane, at, part = lane[~crowd], at[~crowd], table["part"][0].as_py()
             text, low, high = _reach(at, starts, length)
             sizes, owner, t = high - low, ids[text], at - low
-            if hot:
-                each = sizes - length + 1
-                lane, at, owner, t = np.repeat(lane, each), np.repeat(at, each), np.repeat(owner, each), spread(np.zeros(len(at), np.int64), each)
-                low, sizes = np.repeat(low, each) + t, np.full(len(at), length)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         context = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[spread(low, sizes)].tobytes())])
         return pa.table({"lane": pa.array(lane.view(np.int64)), "part": pa.array(np.full(len(at), part, np.int32)), "at": pa.array(at), "t": pa.array(t.astype(np.int32)), "id": pa.array(owner), "context": context})
@@ -321,6 +330,50 @@ def _cut(length: int, hot: bool):
 _CUT = "lane long, part int, at long, t int, id long, context binary"
 
 
+def _hot_strings(ids: np.ndarray, data: np.ndarray, starts: np.ndarray, decided: pa.Table, length: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """(begin, owner, bucket, two hashes) of the strings of the length in a part's contexts of hot anchors, and the cuts of equal ones; the first has the least owner."""
+    _, crowd, n, at, _ = _asked(decided)
+    _, low, high = _reach(at[np.repeat(crowd, n)], starts, length)
+    begin = np.unique(spread(low, high - low - length + 1))
+    h, c = (context_hashes(data, begin, begin, begin + length, by) for by in (12, 13))
+    c, bucket = c & np.uint64(0xFFFFFFFF), _bucket(h, buckets)
+    order = np.lexsort((begin, c, h, bucket))  # places, and so identifiers, ascend for equal strings
+    begin, bucket, h, c = begin[order], bucket[order], h[order], c[order]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])), len(h)) if len(h) else np.zeros(1, np.int64)
+    return begin, ids[np.searchsorted(starts, begin, side="right") - 1], bucket, h, c, cuts
+
+
+def _post_hot(length: int, buckets: int):
+    """A part's different strings of hot anchors with their least identifiers, a row for each bucket."""
+    names = ("bucket", "part", "h", "c", "least")
+
+    def post(table: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        if table.num_rows and rows.num_rows:
+            _, owner, bucket, h, c, cuts = _hot_strings(*_texts(table), rows, length, buckets)
+            head = cuts[:-1]
+            owner, bucket, h, c = owner[head], bucket[head], h[head], c[head]
+            own = _cuts(bucket)
+            out = [(int(bucket[a]), table["part"][0].as_py(), _planes(h[a:z], 8), _planes(c[a:z]), _planes(owner[a:z], 8)) for a, z in zip(own[:-1], own[1:], strict=True)]
+        return _rows(dict(zip(names, map(list, zip(*out, strict=True)) if out else [[]] * 5, strict=True)), bucket=pa.int32(), part=pa.int32())
+
+    return post
+
+
+def _later(table: pa.Table) -> pa.Table:
+    """For each string that a part has posted to a bucket, whether another part has it with a smaller identifier."""
+    h, c, least = _unplaned(table, "h", 8), _unplaned(table, "c"), _unplaned(table, "least", 8).view(np.int64)
+    counts = pc.binary_length(table["c"]).to_numpy() // 4
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    changed = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+    smallest = np.minimum.reduceat(least[order], np.flatnonzero(changed))
+    later = np.zeros(len(least), bool)
+    later[order] = least[order] > smallest[np.cumsum(changed) - 1]
+    bits = [np.packbits(x).tobytes() for x in np.split(later, np.cumsum(counts)[:-1])]
+    return pa.table({"part": table["part"], "kind": pa.array([2] * table.num_rows, pa.int32()), "bucket": table["bucket"], "later": pa.array(bits, pa.binary())})
+
+
 def later_repeats(lane: np.ndarray, ids: np.ndarray, data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """For contexts sorted by lane: bits of the places at which a string of the length begins that a smaller id of its lane has."""
     sizes = np.diff(starts)
@@ -417,7 +470,7 @@ def _sorted_lanes(length: int):
     return run
 
 
-def _spans(length: int):
+def _spans(length: int, hot_buckets: int):
     """Each text of a part with its removed spans and what is left."""
 
     def spans(table: pa.Table, rows: pa.Table) -> pa.Table:
@@ -434,7 +487,14 @@ def _spans(length: int):
 
         if rows.num_rows:
             decided, found = rows.filter(pc.equal(rows["kind"], 0)), rows.filter(pc.equal(rows["kind"], 1))
-            take(*_reach(np.frombuffer(b"".join(decided["covered"].to_pylist()), np.uint32).astype(np.int64), starts, length)[1:])
+            take(*_reach(_unplaned(decided, "covered").view(np.int64), starts, length)[1:])
+            told = rows.filter(pc.equal(rows["kind"], 2)).sort_by("bucket")
+            if told.num_rows:
+                begin, owner, bucket, _, _, cuts = _hot_strings(ids, data, starts, decided, length, hot_buckets)
+                head, same = cuts[:-1], np.diff(cuts)
+                later = _unpacked(told["later"].to_pylist(), np.diff(_cuts(bucket[head])))
+                own = begin[np.repeat(later, same) | (owner > np.repeat(owner[head], same))]
+                take(own, own + length)
             if found.num_rows:
                 _, _, n, at, rep = _asked(decided)
                 order = np.argsort(rep)
@@ -464,13 +524,15 @@ def _stored(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     """The texts as a table (id, text, part) bucketed by part, and their bytes."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    with shuffles_removed(spark):
+        total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // max(PART_BYTES, min(LARGEST_PART, total // MANY_PARTS))))
     tasks = max(1, -(-parts // PARTS))
     path = fresh_path(spark, "suffix-texts")
     name = "suffix_texts_" + path.rpartition("-")[2]
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
-    dealt.repartition(tasks, "part").write.option("path", path).option("compression", "zstd").bucketBy(tasks, "part").saveAsTable(name)
+    with shuffles_removed(spark):
+        dealt.repartition(tasks, "part").write.option("path", path).option("compression", "zstd").bucketBy(tasks, "part").saveAsTable(name)
     return spark.table(name), total
 
 
@@ -483,18 +545,22 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(1, round(2 * total / (length - size + 2) / BUCKET_ANCHORS))
     parts = lambda df: df.groupBy("part")
     posted = parts(texts).applyInArrow(_post(length, buckets), "bucket int, part int, anchors binary, several binary")
-    shared = posted.groupBy("bucket").applyInArrow(_share(hot_parts), "part int, bucket int, shared binary, everywhere binary")
-    found = parts(texts).cogroup(parts(shared)).applyInArrow(_contexts(length, buckets), "bucket int, part int, h binary, c binary, everywhere binary, least binary, n binary, n_least binary, at binary")
-    decided = materialize(found.groupBy("bucket").applyInArrow(_decide(hot), _DECIDED), "decided")
-    asked = decided.select("part", "lane", "hot", "n", "at")
-    cut = parts(texts).cogroup(parts(asked)).applyInArrow(_cut(length, False), _CUT)
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = cut.repartition(tasks, "lane").sortWithinPartitions("lane").mapInArrow(_sorted_lanes(length), "part int, rep long, bits long")
-    if decided.where("n_hot > 0").limit(1).count():
-        strings = materialize(parts(texts).cogroup(parts(asked)).applyInArrow(_cut(length, True), _CUT), "hot-strings")
-        least = strings.groupBy("context").agg(F.min("id").alias("least"))
-        later = strings.join(least, "context").where("id > least")
-        bits = bits.unionByName(later.groupBy("part", F.col("at").alias("rep")).agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("bits")))
-    both = decided.drop("n_hot").unionByName(materialize(bits, "bits").withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    out = parts(texts).cogroup(parts(both)).applyInArrow(_spans(length), "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    with shuffles_removed(docs.sparkSession):
+        shared = materialize(posted.groupBy("bucket").applyInArrow(_share(hot_parts), "part int, bucket int, shared binary, everywhere binary"), "shared")
+        found = parts(texts).cogroup(parts(shared)).applyInArrow(_contexts(length, buckets), "bucket int, part int, h binary, c binary, everywhere binary, least binary, n binary, n_least binary, at binary")
+        decided = materialize(found.groupBy("bucket").applyInArrow(_decide(hot), _DECIDED), "decided")
+        asked = decided.select("part", "lane", "hot", "n", "at")
+        cut = parts(texts).cogroup(parts(asked)).applyInArrow(_cut(length), _CUT)
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bits = cut.repartition(tasks, "lane").sortWithinPartitions("lane").mapInArrow(_sorted_lanes(length), "part int, rep long, bits long")
+        both = decided.drop("n_hot").unionByName(materialize(bits, "bits").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        n_hot = decided.agg(F.sum("n_hot").alias("n")).first()["n"] or 0
+        hot_buckets = max(1, round(n_hot * (length - size + 1) / BUCKET_ANCHORS))
+        if n_hot:
+            strings = parts(texts).cogroup(parts(asked)).applyInArrow(_post_hot(length, hot_buckets), "bucket int, part int, h binary, c binary, least binary")
+            later = materialize(strings.groupBy("bucket").applyInArrow(_later, "part int, kind int, bucket int, later binary"), "later")
+        else:
+            later = docs.sparkSession.createDataFrame([], "part int, kind int, bucket int, later binary")
+    both = both.unionByName(later, allowMissingColumns=True)
+    out = parts(texts).cogroup(parts(both)).applyInArrow(_spans(length, hot_buckets), "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return out.withColumnRenamed("id", id_col)

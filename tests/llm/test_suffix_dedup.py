@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,34 @@ def test_long_texts_and_none(spark):
     assert got[1]["spans"] == [] and bytes(got[3]["kept"]) == b"" and [tuple(s) for s in got[2]["spans"]] == [(0, 1200), (1201, 1501)]
     none = spark.createDataFrame(rows, "doc_id long, text string").where(F.lit(False))
     assert repeated_substrings(none).count() == 0
+
+
+def test_passes_leave_no_shuffle_files(spark):
+    def shuffled():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for i in range(blocks.size()) if (name := blocks.apply(i).name()).startswith("shuffle_")}
+
+    docs = spark.createDataFrame(documents(random.Random(2)), "doc_id long, text string")
+    before = shuffled()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(setting, None)
+    out = repeated_substrings(docs, hot=3)
+    assert not shuffled() - before and spark.conf.get(setting, None) == kept
+    assert out.count() == docs.count()
+
+
+def test_hot_strings_are_posted_once():
+    """Neighbouring anchors have strings in common, and a part has a string in several documents."""
+    line = "".join(random.Random(1).choices("abcdefgh ", k=300))
+    table = pa.table({"id": [4, 3, 9], "text": [line, line, "#" + line[:200]], "part": [0, 0, 0]})
+    ids, data, starts = suffix_dedup._texts(table)
+    at, _ = suffix_dedup.anchors(data, starts, 50)
+    planes = suffix_dedup._planes
+    asked = pa.table({"lane": [planes(np.ones(len(at)), 8)], "hot": [bytes([1] * len(at))], "n": [planes(np.ones(len(at)))], "at": [planes(at)]})
+    out = suffix_dedup._post_hot(50, 3)(table, asked)
+    least = suffix_dedup._unplaned(out, "least", 8)
+    want = {}
+    for i, text in zip(table["id"].to_pylist(), table["text"].to_pylist(), strict=True):
+        for k in range(len(text) - 49):
+            want[text[k : k + 50]] = min(i, want.get(text[k : k + 50], i))
+    assert out.num_rows == 3 and sorted(least.tolist()) == sorted(want.values())
